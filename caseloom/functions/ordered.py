@@ -26,6 +26,11 @@ def segment_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("caseloom.segment.rows", str(DEFAULT_LIMIT)))
 
 
+def surely_small(df: DataFrame, limit: int) -> bool:
+    """True if the optimizer's size estimate leaves no room for more than ``limit`` rows (no job needed)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= 8 * limit
+
+
 def _order_number(df: DataFrame, name: str) -> Column:
     kind = dict(df.dtypes)[name]
     if kind.startswith("timestamp"):
@@ -42,6 +47,8 @@ def segment(df: DataFrame, keys: list[str], order: str, limit: int | None = None
     if SEG in df.columns:
         df = df.drop(SEG)
     limit = segment_limit(df) if limit is None else limit
+    if surely_small(df, limit):
+        return df
     total = df.count()
     if total <= limit:
         return df
