@@ -42,12 +42,15 @@ def _order_number(df: DataFrame, name: str) -> Column:
     return F.floor(F.col(name)).cast("long")
 
 
-def segment(df: DataFrame, keys: list[str], order: str, limit: int | None = None) -> DataFrame:
-    """Add ``seg`` if some group of ``keys`` has more rows than the limit; else return ``df`` as it is."""
+def segment(df: DataFrame, keys: list[str], order: str, limit: int | None = None, bound: DataFrame | None = None) -> DataFrame:
+    """Add ``seg`` if some group of ``keys`` has more rows than the limit; else return ``df`` as it is.
+
+    ``bound`` is a simpler frame known to have at least as many rows, for the cheap size check.
+    """
     if SEG in df.columns:
         df = df.drop(SEG)
     limit = segment_limit(df) if limit is None else limit
-    if surely_small(df, limit):
+    if surely_small(df if bound is None else bound, limit):
         return df
     total = df.count()
     if total <= limit:

@@ -17,7 +17,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float])
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     counts = counts.join(sizes, keys) if keys else counts.crossJoin(F.broadcast(sizes))  # one-row side
-    ranked = scan(segment(counts, keys, value), keys, [value], {"_hi": ("sum", F.col("_n"), "upto")})
+    ranked = scan(segment(counts, keys, value, bound=df), keys, [value], {"_hi": ("sum", F.col("_n"), "upto")})
     ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_n"))
     picks = []
     for name, q in qs.items():
