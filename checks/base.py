@@ -114,6 +114,13 @@ def l7(spark, d):
     return segment(df, ["caseid"], "start_ts")
 
 
+def l8(spark, d):
+    """Sessions with the 50 task names."""
+    df = _raw2(spark, d).withColumn("task", F.concat("task", F.lit("_"), F.col("k").cast("string"))).drop("k")
+    df = df.withColumn("caseid", F.concat("caseid", F.lit("-"), F.day("start_ts").cast("string")))
+    return segment(df, ["caseid"], "start_ts")
+
+
 _U = "concat('r', cast(cast(regexp_extract(props,'([0-9]+)',1) as int) % 12 as varchar))"
 VIEWS = {
     "l1": f"select cast(user_id as varchar) caseid, event_type task, {_U} \"user\", ts start_ts, ts end_ts, event_id pos from events",
@@ -132,8 +139,9 @@ VIEWS = {
     "l6": "select cast(conv_id as varchar) caseid, role task, turn pos from conversations",
     "l7": """select caseid, concat(task,'_',cast(k as varchar)) task, "user", start_ts, end_ts, pos
              from l2 join (select event_id, cast(regexp_extract(props,'([0-9]+)',1) as int) % 10 k from events) e on event_id = pos""",
+    "l8": """select concat(caseid,'-',cast(day(start_ts) as varchar)) caseid, task, "user", start_ts, end_ts, pos from l7""",
 }
-_NEEDS = {"l3": ["l2"], "l4": ["l2"], "l4s": ["l2", "l3"], "l7": ["l2"]}
+_NEEDS = {"l8": ["l2", "l7"], "l3": ["l2"], "l4": ["l2"], "l4s": ["l2", "l3"], "l7": ["l2"]}
 
 
 def sql(views: str, body: str) -> str:
