@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import ordered as O
 from caseloom.model import END, LIFE_COLS, ORDER, START, SYSTEM_USER
+from caseloom.operators.profile import task_names
 from caseloom.operators.shape import add_start_end
+from caseloom.session import cut
 
 CASE = ["caseid"]
 
@@ -72,6 +74,27 @@ def keep_conformant(log: DataFrame, conf: DataFrame) -> DataFrame:
     return log.join(conf.filter("conformant"), CASE, "left_semi")
 
 
+def replace_nonconformant(log: DataFrame, conf: DataFrame) -> DataFrame:
+    """Replace each non-conformant case by its nearest conformant one (edit distance over the longer
+    length; the smallest case id on ties). Its id is the old id with ``R``.
+
+    Distances are made between distinct sequences, not between cases.
+    """
+    from caseloom.operators import metrics as M
+
+    names = task_names(log)
+    prof = O.gather(log.drop(O.SEG), CASE, ORDER, {"seq": "task"}).withColumn("codes", M._codes("seq", names))
+    prof = cut(prof.select("caseid", "codes").join(conf, CASE))
+    bad = prof.filter(~F.col("conformant"))
+    va, vb = M.variant_profiles(bad), M.variant_profiles(prof.filter("conformant"))
+    near = M.distance_to_all(va, vb, names, "dl").select(F.col("caseid").alias("rep"), "nearest")
+    reps = va.select(F.col("caseid").alias("rep"), "codes")
+    swap = bad.join(reps, "codes").join(near, "rep").select(F.col("caseid").alias("old"), F.col("nearest").alias("caseid"))
+    cols = ["task", "user", "start_ts", "end_ts", "pos"]
+    new = log.join(swap, CASE).select(F.concat("old", F.lit("R")).alias("caseid"), *cols)
+    return keep_conformant(log, conf).select("caseid", *cols).unionByName(new)
+
+
 def apply_alignment(life: DataFrame, cases: DataFrame, moves: DataFrame) -> DataFrame:
     """Repair cases by their alignment.
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions import distance as D
@@ -279,8 +279,10 @@ def auction(tiles: DataFrame, epsilon: float, rounds: int = 100_000) -> DataFram
         owned = state.filter("owner is not null").select(F.col("owner").alias("i"))
         free = left.join(owned, "i", "left_anti")
         value = cells.join(free, "i", "left_semi").join(state, "j").select("i", "j", (F.col("c") + F.col("price")).alias("v"), "price")
-        top = value.groupBy("i").agg(F.min(F.struct("v", "j", "price")).alias("b"), F.min_by("v", "v").alias("v1"), F.slice(F.sort_array(F.collect_list("v")), 1, 2).alias("vs"))
-        bids = top.select("i", F.col("b.j").alias("j"), (F.col("b.price") + F.coalesce(F.try_element_at("vs", F.lit(2)) - F.col("b.v"), F.lit(0.0)) + epsilon).alias("bid"))
+        # the two best offers per bidder; the rank filter drops the rest before the shuffle
+        two = value.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("v", "j"))).filter("r <= 2")
+        top = two.groupBy("i").agg(F.min(F.struct("v", "j", "price")).alias("b"), F.max("v").alias("second"))
+        bids = top.select("i", F.col("b.j").alias("j"), (F.col("b.price") + F.col("second") - F.col("b.v") + epsilon).alias("bid"))
         win = bids.groupBy("j").agg(F.max(F.struct("bid", "i")).alias("w"))
         nxt = cut(
             state.join(win, "j", "left").select(

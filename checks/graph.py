@@ -167,6 +167,17 @@ def _(spark, d):
     return C.keep_conformant(log, C.conformance(log, GR.next_tasks(*graph8(spark, d)))).select("caseid", "task", "pos")
 
 
+@query("c14_replacement", sql("l8", "with " + CONF + """,
+sq as (select caseid, string_agg(chr(47 + cd::int), '' order by start_ts, pos) s, bool_and(conformant) ok from l8 join (select task, dense_rank() over (order by task) cd from (select distinct task from l8) z) c using (task) join cf using (caseid) group by caseid),
+va as (select distinct s from sq where not ok), vb as (select s, min(caseid) caseid from sq where ok group by s),
+nr as (select va.s, arg_min(caseid, (damerau_levenshtein(va.s, vb.s)/greatest(len(va.s), len(vb.s)), caseid)) nearest from va, vb group by va.s)
+select l8.caseid, task, pos from l8 join cf using (caseid) where conformant
+union all select concat(sq.caseid, 'R'), l8.task, l8.pos from sq join nr using (s) join l8 on l8.caseid=nr.nearest where not ok"""))
+def _(spark, d):
+    log = l8(spark, d)
+    return C.replace_nonconformant(log, C.conformance(log, GR.next_tasks(*graph8(spark, d)))).select("caseid", "task", "pos")
+
+
 MOVES = """tn as (select count(*) filter (cast(caseid as int) >= 0) x from l4),
 mv as (select caseid, 3*pos + k m, case when k=0 then case when pos % 5 = 0 then 'L' else 'LMGOOD' end else 'MREAL' end move, case when k=0 then task else concat('x', cast(pos % 3 as varchar)) end task
   from l4, (select unnest([0,1,2]) k) kk where k=0 or (k=1 and pos % 7 = 1) or (k=2 and pos % 21 = 1)),
