@@ -165,6 +165,16 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], prev: dict | No
     return out.withColumns({n: F.col("_p_" + n)["v"] for n in (prev | next)}).drop(*outs)
 
 
+def lags(df: DataFrame, keys: list[str], order: list[str], cols: list[str], n: int) -> DataFrame:
+    """The values of the 1..n rows before, as columns ``<col>__<k>``."""
+    if SEG not in df.columns:
+        w = _window(df, keys, order)
+        return df.withColumns({f"{c}__{k}": F.lag(c, k).over(w) for c in cols for k in range(1, n + 1)})
+    for k in range(1, n + 1):
+        df = neighbours(df, keys, order, prev={f"{c}__{k}": c if k == 1 else f"{c}__{k - 1}" for c in cols})
+    return df
+
+
 def row_index(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """1-based row number inside the group."""
     if SEG not in df.columns:

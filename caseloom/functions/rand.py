@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TWO53 = float(2**53)
 
@@ -56,7 +57,7 @@ def lognormal(u1: Column, u2: Column, mean: Column, var: Column) -> Column:
     return F.exp(normal(u1, u2, F.log(mean) - s2 / 2, F.sqrt(s2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gamma(h: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
     """Gamma draws; ``h`` is a 64-bit hash that seeds each row (squeeze method, redrawn until accepted)."""
     out = np.full(len(h), np.nan)

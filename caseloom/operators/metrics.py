@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.functions import distance as D
 from caseloom.functions import ordered as O
 from caseloom.functions import times as T
+from caseloom.functions.distance import damerau_levenshtein, pad, timed_distance
 from caseloom.model import ORDER
 from caseloom.operators.flow import PARALLEL, footprint
 from caseloom.operators.profile import task_names
@@ -194,14 +194,14 @@ def _cost(metric: str, left, right, alphabet: int, parallel=None, max_mae: float
     if metric == "mae":
         return np.abs(left["cycle"].to_numpy()[:, None] - right["cycle"].to_numpy()[None, :]) / 1e6
     i, j = _grid(left, right)
-    (a, la), (b, lb) = D.pad(left["codes"]), D.pad(right["codes"])
+    (a, la), (b, lb) = pad(left["codes"]), pad(right["codes"])
     longest = np.maximum(la[i], lb[j])
     if metric == "tsd":
-        cols = [D.pad(s[c], dtype=float)[0] for s in (left, right) for c in ("p", "w")]
+        cols = [pad(s[c], dtype=float)[0] for s in (left, right) for c in ("p", "w")]
         pa, wa, pb, wb = cols
-        d = D.timed_distance(a[i], la[i], pa[i], wa[i], b[j], lb[j], pb[j], wb[j], parallel)
+        d = timed_distance(a[i], la[i], pa[i], wa[i], b[j], lb[j], pb[j], wb[j], parallel)
         return (d / longest).reshape(len(left), len(right))
-    dl = (D.damerau_levenshtein(a[i], la[i], b[j], lb[j], alphabet) / longest).reshape(len(left), len(right))
+    dl = (damerau_levenshtein(a[i], la[i], b[j], lb[j], alphabet) / longest).reshape(len(left), len(right))
     if metric == "dl":
         return dl
     mae = np.abs(left["cycle"].to_numpy()[:, None] - right["cycle"].to_numpy()[None, :])

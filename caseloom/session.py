@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the runtime options (UTC wall clock, adaptive execution) on an existing session."""
+    """Set the runtime options (UTC wall clock, adaptive execution) on an existing session.
+
+    The package's functions travel to the executors by value, so nothing has to be installed there.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["caseloom"])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
