@@ -23,7 +23,7 @@ DEFAULT_LIMIT = 4_000_000
 
 
 def segment_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("caseloom.segment.rows", str(DEFAULT_LIMIT)))
+    return int(df.sparkSession.conf.get("spark.caseloom.segment.rows", str(DEFAULT_LIMIT)))
 
 
 def surely_small(df: DataFrame, limit: int) -> bool:

@@ -63,12 +63,12 @@ t as (select w, win, weekday, count(*) n, avg(inter_time) mt, stddev_pop(inter_t
 c as (select w, win, weekday, date, count(*) c from g group by all),
 cq as (select w, win, weekday, quantile_cont(c, 0.15) a, quantile_cont(c, 0.85) b, count(*) n from c group by all),
 nm as (select w, win, weekday, cast(ceil(quantile_cont(c, 0.5)/2) as int) num from c join cq using (w, win, weekday) where n <= 2 or c between a-1e-9 and b+1e-9 group by all)
-select w, win "window", weekday, t.n n, round(mt,4) mean_trim, round(st,4) std_trim, mi min_trim, ma max_trim, num, round(m,4) mean, round(v,2) var
+select w, win "window", weekday, t.n n, round(mt,2) mean_trim, round(st,2) std_trim, mi min_trim, ma max_trim, num, round(m,2) mean, round(v,2) var
 from t join nm using (w, win, weekday) join q using (w, win, weekday)"""))
 def _(spark, d):
     s = A.window_stats(A.window_gaps(A.case_arrivals(l3(spark, d))))
-    r4 = {c: F.round(c, 4) for c in ("mean_trim", "std_trim", "mean")}
-    return s.withColumns(r4).withColumn("var", F.round("var", 2))
+    r2 = {c: F.round(c, 2) for c in ("mean_trim", "std_trim", "mean")}
+    return s.withColumns(r2).withColumn("var", F.round("var", 2))
 
 
 @query("a7_moving_count", sql("l3", ARR3 + """

@@ -85,6 +85,12 @@ def _(spark, d):
     return C.conformance(l8(spark, d), GR.next_tasks(*graph8(spark, d)))
 
 
+@query("c4b_token_replay", None)
+def _(spark, d):
+    g = graph8(spark, d)
+    return C.token_replay(l8(spark, d), *g, GR.next_tasks(*g))
+
+
 @query("c5_enabling_time", sql("l8", "with " + GRAPH + """,
 o as (select *, row_number() over (partition by caseid order by start_ts, pos) r from l8)
 select e.caseid, e.pos, e.task, coalesce(arg_max(p.end_ts, p.r), any_value(e.end_ts)) enable_ts

@@ -156,10 +156,10 @@ def _(spark, d):
 @query("f13_cumulative_bounds", sql("l3", "with " + SEQ.format(v="l3", o="start_ts,pos") + """,
 p as (select q[i] ctx, q[i+1] nxt from (select q, unnest(range(1, len(q))) i from s) z),
 m as (select ctx, nxt, count(*) n, round(count(*)/sum(count(*)) over (partition by ctx),10) prob from p group by 1,2)
-select ctx, nxt, round(sum(prob) over w - prob,9) cum_lo, case when lead(1) over w is null then 2.0 else round(sum(prob) over w,9) end cum_hi from m window w as (partition by ctx order by nxt)"""))
+select ctx, nxt, round(sum(prob) over w - prob,6) cum_lo, case when lead(1) over w is null then 2.0 else round(sum(prob) over w,6) end cum_hi from m window w as (partition by ctx order by nxt)"""))
 def _(spark, d):
     m = W.with_bounds(W.transitions(W.ngram_pairs(W.bounded_sequences(l3(spark, d)), 2)), ["ctx"], "nxt")
-    return m.select(F.array_join("ctx", ">").alias("ctx"), "nxt", F.round("cum_lo", 9).alias("cum_lo"), F.round("cum_hi", 9).alias("cum_hi"))
+    return m.select(F.array_join("ctx", ">").alias("ctx"), "nxt", F.round("cum_lo", 6).alias("cum_lo"), F.round("cum_hi", 6).alias("cum_hi"))
 
 
 def _cases(spark, d):
@@ -219,3 +219,12 @@ def _(spark, d):
     arr = A.case_arrivals(l3(spark, d))
     early = F.day("ts") <= 24
     return P.best_window(P.window_model(A.window_gaps(arr.filter(early))), arr.filter(~early))
+
+
+@query("flow_generate_log", None)
+def _(spark, d):
+    from caseloom.plans.generate import generate
+
+    train = l3(spark, d)
+    s = train.groupBy("caseid").agg(F.min("start_ts").alias("s")).agg(F.max("s").alias("t"), F.count("*").alias("n")).first()
+    return generate(train, l4s(spark, d), task_vectors(spark, d), s["n"], s["t"])
