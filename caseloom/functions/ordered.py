@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.session import store
+
 SEG = "seg"
 MAX_SEGMENTS = 256
 DEFAULT_LIMIT = 4_000_000
@@ -27,8 +29,12 @@ def segment_limit(df: DataFrame) -> int:
 
 
 def surely_small(df: DataFrame, limit: int) -> bool:
-    """True if the optimizer's size estimate leaves no room for more than ``limit`` rows (no job needed)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= 8 * limit
+    """True if all inputs of the plan together are a few megabytes: then no job has to count the rows.
+
+    Only a shortcut: a wrong answer costs time, not correctness.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) <= 8 * limit
 
 
 def _order_number(df: DataFrame, name: str) -> Column:
@@ -42,16 +48,19 @@ def _order_number(df: DataFrame, name: str) -> Column:
     return F.floor(F.col(name)).cast("long")
 
 
-def segment(df: DataFrame, keys: list[str], order: str, limit: int | None = None, bound: DataFrame | None = None) -> DataFrame:
+def segment(df: DataFrame, keys: list[str], order: str, limit: int | None = None, derived: bool = True) -> DataFrame:
     """Add ``seg`` if some group of ``keys`` has more rows than the limit; else return ``df`` as it is.
 
-    ``bound`` is a simpler frame known to have at least as many rows, for the cheap size check.
+    Sizes and cut points take up to three passes. A ``derived`` frame (joins, aggregates, windows) is
+    therefore written to the checkpoint folder first unless its inputs are small; a plain scan is not.
     """
     if SEG in df.columns:
         df = df.drop(SEG)
     limit = segment_limit(df) if limit is None else limit
-    if surely_small(df if bound is None else bound, limit):
+    if surely_small(df, limit):
         return df
+    if derived:
+        df = store(df)
     total = df.count()
     if total <= limit:
         return df

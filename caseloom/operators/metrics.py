@@ -16,7 +16,7 @@ from caseloom.model import ORDER
 from caseloom.operators.flow import PARALLEL, footprint
 from caseloom.operators.profile import task_names
 from caseloom.operators.shape import case_spans, scale_by_task
-from caseloom.session import cut
+from caseloom.session import cut, store
 
 TILE = 32
 
@@ -272,7 +272,7 @@ def auction(tiles: DataFrame, epsilon: float, rounds: int = 100_000) -> DataFram
     Prices are one small row per right case, and are written to the checkpoint folder every round.
     """
     cells = tiles.select("i", F.explode(F.arrays_zip("js", "costs")).alias("e")).select("i", F.col("e.js").alias("j"), F.col("e.costs").alias("c"))
-    cells = cut(cells)
+    cells = store(cells)
     left = cut(cells.select("i").distinct())
     state = cut(cells.select("j").distinct().select("j", F.lit(0.0).alias("price"), F.lit(None).cast("string").alias("owner")))
     for _ in range(rounds):
@@ -327,7 +327,7 @@ def matched_score(log: DataFrame, sim: DataFrame, metric: str, epsilon: float =
     """Mean score of the matched pairs: 1 - cost, or the cost itself for ``mae``."""
     a, b, names = paired_profiles(log, sim)
     rel = footprint(log) if metric == "tsd" else None
-    a, b = cut(a), cut(b)
+    a, b = store(a), store(b)
     left, right = (a, b) if a.count() <= b.count() else (b, a)
     if metric == "tsd" and left is b:
         tiles = transposed(cost_tiles(a, b, names, metric, rel))

@@ -41,7 +41,7 @@ def process_wip(log: DataFrame) -> DataFrame:
     """``(ts, wip)``: open cases after all events of each timestamp."""
     step = F.when((F.col("task") == START) & (F.col("change") == 1), 1).when((F.col("task") == END) & (F.col("change") == -1), -1).otherwise(0)
     per = _changes(log).groupBy("ts").agg(F.sum(step).alias("d"))
-    out = O.scan(O.segment(per, [], "ts", bound=log), [], ["ts"], {"wip": ("sum", F.col("d"), "upto")})
+    out = O.scan(O.segment(per, [], "ts"), [], ["ts"], {"wip": ("sum", F.col("d"), "upto")})
     return out.select("ts", "wip")
 
 
@@ -51,7 +51,7 @@ def task_wip(log: DataFrame) -> DataFrame:
     if "role" in log.columns:
         df = df.filter(F.col("role").isNotNull())
     per = df.groupBy("task", "ts").agg(F.sum("change").alias("d"))
-    out = O.scan(O.segment(per, ["task"], "ts", bound=log), ["task"], ["ts"], {"t_wip": ("sum", F.col("d"), "upto")})
+    out = O.scan(O.segment(per, ["task"], "ts"), ["task"], ["ts"], {"t_wip": ("sum", F.col("d"), "upto")})
     return out.select("task", "ts", "t_wip")
 
 
@@ -63,7 +63,7 @@ def role_occupancy(log: DataFrame, roles: DataFrame) -> DataFrame:
     """``(role, ts, occupancy)`` at each change: active instances over the role's users."""
     df = _changes(log).filter(~_is_edge() & F.col("role").isNotNull())
     per = df.groupBy("role", "ts").agg(F.sum("change").alias("d"))
-    out = O.scan(O.segment(per, ["role"], "ts", bound=log), ["role"], ["ts"], {"active": ("sum", F.col("d"), "upto")})
+    out = O.scan(O.segment(per, ["role"], "ts"), ["role"], ["ts"], {"active": ("sum", F.col("d"), "upto")})
     return out.join(role_sizes(roles), "role").select("role", "ts", (F.col("active") / F.col("size")).alias("occupancy"))
 
 
@@ -81,7 +81,7 @@ def all_occupancies(log: DataFrame, roles: DataFrame, most: int = 1000) -> DataF
         raise ValueError(f"more than {most} roles to turn into columns")
     hit = {r["role"]: F.sum(F.when((F.col("role") == r["role"]) & ~_is_edge(), F.col("change")).otherwise(0)) for r in sizes}
     per = _changes(log).groupBy("ts").agg(*[c.alias(_column(n) + "_d") for n, c in hit.items()])
-    out = O.scan(O.segment(per, [], "ts", bound=log), [], ["ts"], {_column(n) + "_a": ("sum", F.col(_column(n) + "_d"), "upto") for n in hit})
+    out = O.scan(O.segment(per, [], "ts"), [], ["ts"], {_column(n) + "_a": ("sum", F.col(_column(n) + "_d"), "upto") for n in hit})
     return out.select("ts", *[(F.col(_column(r["role"]) + "_a") / r["size"]).alias(_column(r["role"]) + "_oc") for r in sizes])
 
 
@@ -128,7 +128,7 @@ def mean_states(log: DataFrame) -> DataFrame:
     n = wip.agg(F.count("*").alias("all"))
     overall = wip.agg(F.lit(None).cast("string").alias("task"), (F.sum("wip") / F.count("*")).alias("mean"))
     t = task_wip(log).join(index.select("ts", "i"), "ts")
-    t = O.neighbours(O.segment(t, ["task"], "i", bound=log), ["task"], ["i"], next={"until": "i"}).crossJoin(F.broadcast(n))  # one row
+    t = O.neighbours(O.segment(t, ["task"], "i"), ["task"], ["i"], next={"until": "i"}).crossJoin(F.broadcast(n))  # one row
     held = F.coalesce("until", F.col("all") + 1) - F.col("i")
     per = t.groupBy("task").agg((F.sum(F.col("t_wip") * held) / F.max("all")).alias("mean"))
     return overall.unionByName(per)

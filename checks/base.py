@@ -47,19 +47,19 @@ def _raw2(spark, d):
 
 def l1(spark, d):
     """One-timestamp log: case = user."""
-    return segment(_raw2(spark, d).withColumn("end_ts", F.col("start_ts")).drop("k"), ["caseid"], "start_ts")
+    return segment(_raw2(spark, d).withColumn("end_ts", F.col("start_ts")).drop("k"), ["caseid"], "start_ts", derived=False)
 
 
 def l2(spark, d):
     """Interval log: case = user, end = start + value minutes."""
-    return segment(_raw2(spark, d).drop("k"), ["caseid"], "start_ts")
+    return segment(_raw2(spark, d).drop("k"), ["caseid"], "start_ts", derived=False)
 
 
 def l3(spark, d):
     """Session log: case = user and day of month."""
     df = _raw2(spark, d).drop("k")
     df = df.withColumn("caseid", F.concat("caseid", F.lit("-"), F.day("start_ts").cast("string")))
-    return segment(df, ["caseid"], "start_ts")
+    return segment(df, ["caseid"], "start_ts", derived=False)
 
 
 def lifecycle_of(log: DataFrame) -> DataFrame:
@@ -105,20 +105,20 @@ def l6(spark, d):
     """Sequences with explicit position: case = conversation."""
     c = table(spark, d, "conversations")
     df = c.select(F.col("conv_id").cast("string").alias("caseid"), F.col("role").alias("task"), F.col("turn").alias("pos"))
-    return segment(df, ["caseid"], "pos")
+    return segment(df, ["caseid"], "pos", derived=False)
 
 
 def l7(spark, d):
     """L2 with 50 task names."""
     df = _raw2(spark, d).withColumn("task", F.concat("task", F.lit("_"), F.col("k").cast("string"))).drop("k")
-    return segment(df, ["caseid"], "start_ts")
+    return segment(df, ["caseid"], "start_ts", derived=False)
 
 
 def l8(spark, d):
     """Sessions with the 50 task names."""
     df = _raw2(spark, d).withColumn("task", F.concat("task", F.lit("_"), F.col("k").cast("string"))).drop("k")
     df = df.withColumn("caseid", F.concat("caseid", F.lit("-"), F.day("start_ts").cast("string")))
-    return segment(df, ["caseid"], "start_ts")
+    return segment(df, ["caseid"], "start_ts", derived=False)
 
 
 _U = "concat('r', cast(cast(regexp_extract(props,'([0-9]+)',1) as int) % 12 as varchar))"
