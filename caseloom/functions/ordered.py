@@ -37,6 +37,15 @@ def surely_small(df: DataFrame, limit: int) -> bool:
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) <= 8 * limit
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """A join side with a known size: stored first unless its inputs are small.
+
+    Spark then broadcasts it if it is under the session's broadcast threshold, without shuffling the other
+    side by what may be a few hot keys; above the threshold it is a sort-merge join with skew handling.
+    """
+    return df if surely_small(df, segment_limit(df)) else store(df)
+
+
 def _order_number(df: DataFrame, name: str) -> Column:
     kind = dict(df.dtypes)[name]
     if kind.startswith("timestamp"):
@@ -206,7 +215,7 @@ def totals(df: DataFrame, keys: list[str], aggs: dict[str, Column], local: bool
         w = Window.partitionBy(*keys)
         return df.withColumns({n: c.over(w) for n, c in aggs.items()})
     agg = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(agg, keys, "left")
+    return df.join(sized(agg), keys, "left")
 
 
 def _field(name: str):

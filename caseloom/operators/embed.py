@@ -22,7 +22,7 @@ from caseloom.model import ORDER
 from caseloom.operators.profile import shares_per_task, task_names
 from caseloom.session import cut
 
-TILE = 256
+TILE = 1024
 
 
 def embedding_width(log: DataFrame) -> DataFrame:
@@ -161,7 +161,10 @@ def _tiles(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0))
+    out = np.empty((len(a), len(b)))
+    for k in range(0, len(a), 32):  # a few rows at a time keeps the differences in the cache
+        out[k : k + 32] = np.sqrt(((a[k : k + 32, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    return out
 
 
 def mean_shift(df: DataFrame, bandwidth: float, tol: float = 1e-3, most: int = 100) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.rand import exponential, uniform
 from caseloom.model import END, START
-from caseloom.session import cut
+from caseloom.session import cut, store
 
 STOPS = ["task", "start", "end"]
 
@@ -87,7 +87,7 @@ def build_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 def graph_of(dfg: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Graph of a directly-follows relation. The relation is written out first: the model reads it often."""
     nodes, edges = build_graph(*raw_model(cut(dfg)))
-    return cut(nodes), cut(edges)
+    return store(nodes), store(edges)
 
 
 def find_flow(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def next_tasks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     p = paths(nodes, edges, origins)
     name = nodes.select("node_id", "name")
     p = p.join(name.select(F.col("node_id").alias("origin"), F.col("name").alias("a")), "origin")
-    return p.join(name.select("node_id", F.col("name").alias("b")), "node_id").select("a", "b", "path")
+    return store(p.join(name.select("node_id", F.col("name").alias("b")), "node_id").select("a", "b", "path"))
 
 
 def entry_tasks(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from caseloom.functions import times as T
 from caseloom.functions.components import components
 from caseloom.functions.quantiles import quantiles
 from caseloom.model import END, START, SYSTEM_USER
+from caseloom.session import store
 
 # Distribution names of the parameter tables.
 NORMAL, LOGNORMAL, GAMMA = "NORMAL", "LOGNORMAL", "GAMMA"
@@ -274,7 +275,7 @@ def discover_roles(log: DataFrame, threshold: float = 0.7) -> DataFrame:
     comp = components(users, similar_users(log, threshold))
     sizes = comp.groupBy("root").agg(F.count("*").alias("size")).withColumn("neg", -F.col("size"))
     ranked = O.global_index(sizes, ["neg", "root"], "k")
-    return comp.join(ranked, "root").select(F.col("id").alias("user"), F.concat(F.lit("Role "), F.col("k").cast("string")).alias("role"))
+    return store(comp.join(ranked, "root").select(F.col("id").alias("user"), F.concat(F.lit("Role "), F.col("k").cast("string")).alias("role")))
 
 
 def work_sets(labelled: DataFrame) -> DataFrame:
