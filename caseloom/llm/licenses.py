@@ -71,24 +71,34 @@ def scan_licenses(
         need = math.ceil(round(threshold * len(ordered), 9))
         probes += [(w, "block", label, ordered, need, len(t)) for w in ordered[: len(ordered) - need + 1]]
     probe = F.broadcast(spark.createDataFrame(probes, "word string, kind string, label string, tokens array<string>, need int, span int"))
+    first_words = sorted({p[0] for p in probes})
+    reach = max(p[5] for p in probes)
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id"), F.xxhash64(text).alias("key"), letter_words(F.col("text")).alias("words"))
-    # the last element stands for the row itself, so rows without a match stay
-    rows = rows.select("doc_id", "key", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "word"))
-    rows = rows.join(probe, "word", "left")
-    n = F.size("words")
-    own = F.col("at") == n
-    phrase = (F.col("kind") == "phrase") & (F.slice("words", F.col("at") + 1, F.size("tokens")) == F.col("tokens"))
+
+    def place(word, at):
+        left = F.least(at, F.lit(reach - 1))
+        near = F.slice("words", at - left + 1, left + reach)
+        return F.when(word.isin(first_words), F.struct(at.alias("at"), word.alias("word"), left.alias("left"), near.alias("near")))
+
+    rows = rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.array_compact(F.transform("words", place)).alias("hits"))
+    rows = rows.select("doc_id", "key", "n_words", F.posexplode_outer("hits").alias("pos", "hit"))
+    rows = rows.select("doc_id", "key", "n_words", (F.coalesce("pos", F.lit(0)) == 0).alias("own"), "hit.*").withColumn("at", F.col("at").cast("long"))
+    # a place may probe several phrases and templates; only its first row stands for the document
+    probe = probe.groupBy("word").agg(F.collect_list(F.struct("kind", "label", "tokens", "need", "span")).alias("probes"))
+    rows = rows.join(F.broadcast(probe), "word", "left")
+    rows = rows.select("doc_id", "key", "n_words", "own", "at", "left", "near", F.posexplode_outer("probes").alias("p", "probe"))
+    rows = rows.withColumn("own", F.col("own") & (F.coalesce("p", F.lit(0)) == 0)).select("*", "probe.*").drop("probe", "p")
+    phrase = (F.col("kind") == "phrase") & (F.slice("near", F.col("left") + 1, F.size("tokens")) == F.col("tokens"))
     share = F.when(
-        (F.col("kind") == "block") & (n >= F.col("need")), _block_share(F.col("words"), F.col("at"), F.col("tokens"), F.col("span"))
+        (F.col("kind") == "block") & (F.col("n_words") >= F.col("need")),
+        _block_share(F.col("near"), F.col("left"), F.col("tokens"), F.col("span")),
     )
-    rows = rows.filter(own | F.col("kind").isNotNull())
     rows = rows.select(
-        "doc_id", "key", n.cast("long").alias("n_words"), own.alias("own"), F.coalesce(phrase, F.lit(False)).alias("phrase"), "at",
-        "label", F.when(share >= F.col("need"), share / F.size("tokens")).alias("share"),
+        "doc_id", "key", "n_words", "own", F.coalesce(phrase, F.lit(False)).alias("phrase"), "at", "label",
+        F.when(share >= F.col("need"), share / F.size("tokens")).alias("share"),
     )
-    rows = rows.filter(F.col("own") | F.col("phrase") | F.col("share").isNotNull())
     found = F.col("phrase") | F.col("share").isNotNull()
     out = rows.groupBy("doc_id", "key").agg(
         F.max("n_words").alias("n_words"),

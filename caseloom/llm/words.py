@@ -13,5 +13,5 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def letter_words(text: Column) -> Column:
     """Array of words of a lower-cased text; a null text has none."""
-    plain = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    plain = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, " ")
+    return F.array_remove(F.split(plain, " "), "")
