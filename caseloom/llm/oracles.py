@@ -17,4 +17,20 @@ select page_id, n::bigint payload_bytes,
 from b
 """
 
+OP6 = rf"""
+with d as (select doc_id, row_number() over () r, {_WORDS} w from documents),
+i as (select item_id, {_WORDS} w from benchmark),
+iw as (select item_id, w[s:s + least(10, len(w)) - 1] win
+  from i, unnest(range(1, greatest(len(w) - 10, 0)::bigint + 2)) t(s) where len(w) > 0),
+sizes as (select distinct len(win) k from iw),
+dw as (select r, s, k, w[s:s + k - 1] win from d, sizes, unnest(range(1, greatest(len(w) - k + 2, 1)::bigint)) t(s)),
+hit as (select distinct r, s, k, item_id from dw join iw using (win)),
+cover as (select r, count(distinct p) n_hit from hit, unnest(range(s, s + k)) t(p) group by r),
+its as (select r, count(*) n_items, string_agg(id, ',' order by id) ids
+  from (select distinct r, item_id::varchar id from hit) group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join cover using (r) left join its using (r)
+"""
+
 OP8 = None

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm import oracles, packing, simhash, warc
 from caseloom.llm.common import table
+from caseloom.llm.decontaminate import find_contamination
 from caseloom.llm.licenses import scan_licenses
 from caseloom.llm.registry import query
 
@@ -36,6 +37,11 @@ def op4_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), vocabulary_path())
 
 
+@query("op6_decontamination", oracles.OP6)
+def op6_decontamination(spark, d):
+    return find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query("op8_licenses", oracles.OP8)
 def op8_licenses(spark, d):
     return scan_licenses(table(spark, d, "documents"))
