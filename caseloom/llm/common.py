@@ -38,7 +38,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, per_bucket: int = 100_000) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, per_bucket: int = 20_000) -> DataFrame:
     """Gapless numbers from 0 within ``keys``, ordered by the small integer columns ``order``, then by hash.
 
     The first of ``order`` may be any small set of classes. Rows are dealt to buckets by a hash of all columns,

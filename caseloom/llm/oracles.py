@@ -3,6 +3,20 @@
 _WORDS = r"""coalesce(list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), [])"""
 
+# components by the smallest reachable id, by repeated relaxation over the direct links
+OP1 = """
+with recursive e as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings),
+ok as (select vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) n from e
+  where label is not null and v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0),
+n as (select * from ok where n > 0),
+l as (select a.vec_id a, b.vec_id b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.93),
+reach as (select vec_id a, vec_id b from e union select r.a, l.b from reach r join l on r.b = l.a),
+c as (select a vec_id, min(b) component_id from reach group by a),
+k as (select a vec_id, count(*) n from l group by a)
+select c.vec_id, coalesce(k.n, 0)::bigint n_links, component_id, c.vec_id = component_id kept from c left join k using (vec_id)
+"""
+
 # DuckDB has no base32: five bits of the digest at a time, through the alphabet.
 OP2 = """
 with p as (select page_id, encode(coalesce(html, '')) payload from pages),

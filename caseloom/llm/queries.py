@@ -9,6 +9,8 @@ from caseloom.llm.common import table
 from caseloom.llm.decontaminate import find_contamination
 from caseloom.llm.licenses import scan_licenses
 from caseloom.llm.registry import query
+from caseloom.llm.sharding import shard_documents
+from caseloom.llm.vectors import near_vectors
 
 
 def vocabulary_path() -> str:
@@ -17,6 +19,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_vectors", oracles.OP1)
+def op1_vectors(spark, d):
+    return near_vectors(table(spark, d, "embeddings"))
+
+
 @query("op2_warc", oracles.OP2)
 def op2_warc(spark, d):
     pages = table(spark, d, "pages")
@@ -32,6 +39,11 @@ def op2_warc(spark, d):
     )
 
 
+@query("op3_sharding")
+def op3_sharding(spark, d):
+    return shard_documents(table(spark, d, "documents"))
+
+
 @query("op4_packing")
 def op4_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), vocabulary_path())
