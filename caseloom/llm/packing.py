@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,9 @@ from caseloom.llm.common import store
 #: Pieces of one cell, about.
 CELL = 50_000
 #: Known chunks that one task remembers with their ids; above it the memory is emptied and refilled.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: UTF-8 of characters below U+0180 has lower bytes only; normalising does not change their lengths, but for one.
+PLAIN, DOTTED = 0xC6, "\u0130".encode()
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,29 +39,61 @@ class Encoder:
     """Token ids as little-endian bytes.
 
     The tokenizer never joins text across ASCII white space, so a text's ids are those of its chunks in turn, and
-    chunks seen before need no new call.
+    chunks seen before need no new call. It is broadcast, so a worker process keeps what it knows from task to task.
     """
 
     def __init__(self, vocabulary: str):
+        self.vocabulary, self.tokenizer, self.known = vocabulary, None, {}
+
+    def __getstate__(self):
+        return {"vocabulary": self.vocabulary, "tokenizer": None, "known": {}}
+
+    def _start(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(vocabulary), {}
+        self.tokenizer = Tokenizer.from_str(self.vocabulary)
+        tokens = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(tokens.values()) + 1, np.int64)  # bytes that each token stands for
+        for token, number in tokens.items():
+            self.size[number] = len(token.removesuffix("</w>"))
+
+    def _encode_each(self, chunks: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        self.known.update((c, array("I", f.ids).tobytes()) for c, f in zip(chunks, found))
+
+    def _encode_joined(self, chunks: list[bytes]) -> None:
+        """All chunks in one call; token lengths tell where each ends. If they do not fit, one by one."""
+        found = self.tokenizer.encode_batch_fast([b" ".join(chunks).decode()], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        at = np.cumsum(self.size[ids])
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        last = np.searchsorted(at, ends)
+        if len(ids) and last[-1] == len(ids) - 1 and (at[last] == ends).all():
+            data, cuts = ids.tobytes(), (4 * (last + 1)).tolist()
+            self.known.update((c, data[a:b]) for c, a, b in zip(chunks, [0, *cuts], cuts))
+        else:
+            self._encode_each(chunks)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.tokenizer is None:
+            self._start()
         chunks = [t.encode().split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set().union(*chunks).difference(self.known)) if chunks else []
-        found = self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)
-        self.known.update((c, np.array(f.ids, "<u4").tobytes()) for c, f in zip(new, found))
+        plain = [c for c in new if max(c) < PLAIN and b"<|" not in c and DOTTED not in c]
+        if plain:
+            self._encode_joined(plain)
+        if len(plain) < len(new):
+            self._encode_each(list(set(new).difference(plain)))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
 
-def pieces_of(vocabulary, length: int, end: int):
+def pieces_of(encoder, length: int, end: int):
     def run(batches):
-        encode, last = Encoder(vocabulary.value), np.array([end], "<u4").tobytes()
+        encode, last = encoder.value, np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a in range(0, len(ids), 200):
@@ -157,8 +192,8 @@ def pack(docs: DataFrame, vocabulary_path: str, length: int = 4096, end: int = 1
     """
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())
-    pieces = store(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces_of(vocabulary, length, end), PIECES))
+        encoder = spark.sparkContext.broadcast(Encoder(f.read()))
+    pieces = store(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces_of(encoder, length, end), PIECES))
     cells = max(1, round(pieces.count() / CELL))
     cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells))
     return pieces.withColumn("cell", cell).groupBy("cell").applyInPandas(_pack_cell(length), PIECES + ", sequence_id long, offset long")
