@@ -47,4 +47,17 @@ select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesc
 from d left join cover using (r) left join its using (r)
 """
 
+OP7 = r"""
+with d as (select doc_id, row_number() over () r,
+  list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+win as (select r, doc_id, s, w[s:s + 12] x from d, unnest(range(1, greatest(len(w) - 11, 1)::bigint)) t(s)),
+hit as (select r, s from (select r, s, doc_id, min(doc_id) over (partition by x) m from win) where doc_id > m),
+gone as (select distinct r, p from hit, unnest(range(s, s + 13)) t(p)),
+word as (select r, p, w[p] x from d, unnest(range(1, len(w)::bigint + 1)) t(p)),
+kept as (select r, count(gone.p) n_removed, string_agg(x, ' ' order by p) filter (where gone.p is null) k
+  from word left join gone using (r, p) group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(k, '')) kept_sha256
+from d left join kept using (r)
+"""
+
 OP8 = None

@@ -172,7 +172,7 @@ def best_two_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
 
 
 def _pack_cell(room: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ignore_index=True)
         lengths = pdf["length"].to_numpy()
         sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)

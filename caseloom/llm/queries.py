@@ -10,6 +10,7 @@ from caseloom.llm.decontaminate import find_contamination
 from caseloom.llm.licenses import scan_licenses
 from caseloom.llm.registry import query
 from caseloom.llm.sharding import shard_documents
+from caseloom.llm.substrings import remove_repeats
 from caseloom.llm.vectors import near_vectors
 
 
@@ -54,6 +55,11 @@ def op6_decontamination(spark, d):
     return find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query("op7_substrings", oracles.OP7)
+def op7_substrings(spark, d):
+    return remove_repeats(table(spark, d, "documents"))
+
+
 @query("op8_licenses", oracles.OP8)
 def op8_licenses(spark, d):
     return scan_licenses(table(spark, d, "documents"))

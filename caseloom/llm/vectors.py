@@ -104,7 +104,7 @@ def _windows(window: int, threshold: float):
 
 
 def _count_links(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf):
         out = []
         for _, g in pdf.groupby(["component", "size", "label"], sort=False):
             x = np.stack(g["v"].to_numpy())
