@@ -265,23 +265,23 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample: in
     return Field().fit(chains, np.array([r["label"] for r in rows], float))
 
 
-def _scorer(field: Field):
+def _scorer(field: Field, text: int, keep: int, out_name: str):
     def run(batches):
         for batch in batches:
-            texts, out = batch.column(batch.num_columns - 1), []
+            texts, out = batch.column(text), []
             for a in range(0, len(batch), 500):
                 out.append(field.scores([line_features(t) for t in texts.slice(a, 500).to_pylist()]))
             score = pa.array(np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], score], names=[*batch.schema.names[:keep], out_name])
 
     return run
 
 
-def score_quality(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``score``."""
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    schema = rows.drop("_text").withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(_scorer(field), schema)
+def score_quality(docs: DataFrame, field: Field, keep: list[str], out: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score, named ``out``."""
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    schema = docs.select(*keep, F.lit(0.0).alias(out)).schema
+    return rows.mapInArrow(_scorer(field, rows.columns.index("text"), len(keep), out), schema)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

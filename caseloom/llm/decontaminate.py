@@ -132,3 +132,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, span: int = 10) -> Dat
         F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def without_contamination(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFrame:
+    """The rows of ``docs`` that contain no window of an item."""
+    _, places, _ = contained_windows(docs, items, span)
+    hit = store(places.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct())
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left_anti")

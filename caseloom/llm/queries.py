@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.llm import oracles, packing, simhash, warc
+from caseloom.llm import crf, oracles, packing, simhash, warc
 from caseloom.llm.common import table
 from caseloom.llm.decontaminate import find_contamination
 from caseloom.llm.licenses import scan_licenses
 from caseloom.llm.registry import query
 from caseloom.llm.sharding import shard_documents
 from caseloom.llm.substrings import remove_repeats
+from caseloom.llm.suffix_lm import score_texts
 from caseloom.llm.vectors import near_vectors
 
 
@@ -50,6 +51,11 @@ def op4_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), vocabulary_path())
 
 
+@query("op5_suffix_lm")
+def op5_suffix_lm(spark, d):
+    return score_texts(table(spark, d, "documents"))
+
+
 @query("op6_decontamination", oracles.OP6)
 def op6_decontamination(spark, d):
     return find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
@@ -68,3 +74,16 @@ def op8_licenses(spark, d):
 @query("op9_simhash")
 def op9_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op10_quality")
+def op10_quality(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    field = crf.train_quality(docs, labels, ~crf.held_out(F.col("doc_id"), 5, 0))
+    scored = crf.score_quality(docs, field, ["doc_id"])
+    return scored.select(
+        "doc_id",
+        crf.held_out(F.col("doc_id"), 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )

@@ -239,3 +239,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     member = store(member.join(least, "root").select("fp", "component_id"))
     out = found.join(member, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, one for each id."""
+    found = store(near_duplicates(docs, distance))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    names = store(kept.distinct().withColumnRenamed("doc_id", "_kept"))
+    out = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id"]) if repeated else out

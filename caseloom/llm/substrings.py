@@ -234,12 +234,12 @@ def cut_text(text: str, gone: np.ndarray) -> str:
 
 
 def _remove(span: int, n: int, trees: int, heavy: np.ndarray, texts: bool):
-    kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64())]
-    schema = pa.schema([*kinds, ("kept_text", pa.string()), ("row", pa.int64())] if texts else [*kinds, ("kept_sha256", pa.string())])
+    digest = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(key, table, answers):
         if not table.num_rows:
-            return B.batch_of(schema, [])
+            none = pa.array([], pa.int64())
+            return table.drop_columns("block").append_column("n_words", none).append_column("n_removed", none) if texts else B.batch_of(digest, [])
         w = _windows_of(table, span)
         step = answers.column("step").to_numpy() if answers.num_rows else np.empty(0)
         alive = _survivors(w, answers.filter(pa.array(step == 1)), n)
@@ -250,18 +250,19 @@ def _remove(span: int, n: int, trees: int, heavy: np.ndarray, texts: bool):
         for p, data in zip(told.column("part").to_pylist(), told.column("keys").to_pylist()):
             smaller[cuts[p] : cuts[p + 1]] = B.unpack_bits(data, int(cuts[p + 1] - cuts[p]))
         gone = covered_words(w, alive, leaves, smaller)
+        lost = [gone[a:b] for a, b in zip(w.first, w.first[1:])]
+        n_lost = [int(x.sum()) for x in lost]
+        if texts:
+            kept = [cut_text(t, x) if k else t for t, x, k in zip(table.column("text").to_pylist(), lost, n_lost)]
+            at = table.schema.get_field_index("text")
+            table = table.set_column(at, table.schema.field(at), pa.array(kept, table.schema.field(at).type)).drop_columns("block")
+            table = table.append_column("n_words", pa.array(w.sizes)).append_column("n_removed", pa.array(n_lost, pa.int64()))
+            return table
         rows = []
-        everything = table.column("text").to_pylist()
-        more = table.column("row").to_pylist() if texts else None
         for k, (doc, words) in enumerate(zip(table.column("doc_id").to_pylist(), w.words)):
-            lost = gone[w.first[k] : w.first[k + 1]]
-            n_lost = int(lost.sum())
-            if texts:
-                rows.append((doc, len(words), n_lost, cut_text(everything[k], lost) if n_lost else everything[k], more[k]))
-                continue
-            kept = [x for x, l in zip(words, lost.tolist()) if not l] if n_lost else words
-            rows.append((doc, len(words), n_lost, hashlib.sha256(b" ".join(kept)).hexdigest()))
-        return B.batch_of(schema, rows)
+            kept = [x for x, l in zip(words, lost[k].tolist()) if not l] if n_lost[k] else words
+            rows.append((doc, len(words), n_lost[k], hashlib.sha256(b" ".join(kept)).hexdigest()))
+        return B.batch_of(digest, rows)
 
     return run
 
@@ -269,13 +270,12 @@ def _remove(span: int, n: int, trees: int, heavy: np.ndarray, texts: bool):
 def remove_repeats(docs: DataFrame, span: int = 13, texts: bool = False, range_keys: int = B.RANGE_KEYS) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_words, n_removed, kept_sha256)``, one row per row.
 
-    With ``texts``, a column ``row`` of docs is kept and ``kept_text`` takes the place of the digest.
+    With ``texts`` the result is ``docs`` itself, with what is left in ``text``, and ``n_words`` and ``n_removed``.
     """
-    spark = docs.sparkSession
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), *([F.col("row").cast("long").alias("row")] if texts else []), F.col("text")]
-    rows = docs.select(*columns)
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    table = B.bucketed(rows.mapInArrow(B.in_blocks(len(columns) - 1), f"block long, {kinds}"))
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = rows.select("doc_id", *([c for c in docs.columns if c not in ("doc_id", "text")] if texts else []), "text")
+    schema = rows.select(F.lit(0).cast("long").alias("block"), "*").schema
+    table = B.bucketed(rows.mapInArrow(B.in_blocks(len(rows.columns) - 1), schema))
     by_block = table.groupBy("block")
     size = table.agg(F.sum(F.octet_length("text")), F.count_distinct("block")).first()
     words = (size[0] or 0) // 6  # for the number of ranges only
@@ -290,7 +290,10 @@ def remove_repeats(docs: DataFrame, span: int = 13, texts: bool = False, range_k
     leaves = store(by_block.cogroup(first.groupBy("block")).applyInArrow(_send_leaves(span, n, n, heavy), SENT))
     second = store(leaves.groupBy("part").applyInArrow(_grow_trees, SENT))
     answers = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
-    out = "doc_id long, n_words long, n_removed long, " + ("kept_text string, row long" if texts else "kept_sha256 string")
+    if texts:
+        out = rows.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
+    else:
+        out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(_remove(span, n, n, heavy, texts), out)
 
 
