@@ -38,6 +38,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, per_bucket: int = 20_000) -> DataFrame:
     """Gapless numbers from 0 within ``keys``, ordered by the small integer columns ``order``, then by hash.
 
@@ -66,4 +74,4 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, per_buc
     )
 
 
-__all__ = ["ready", "table", "parts", "scratch", "store", "checkpoint_dir", "ascii_lower", "numbered"]
+__all__ = ["ready", "table", "parts", "scratch", "store", "checkpoint_dir", "ascii_lower", "fresh", "numbered"]

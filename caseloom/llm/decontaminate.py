@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import store
+from caseloom.llm.common import fresh, store
 from caseloom.llm.words import letter_words
 
 SHINGLE = 3
@@ -137,6 +137,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, span: int = 10) -> Dat
 def without_contamination(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFrame:
     """The rows of ``docs`` that contain no window of an item."""
     _, places, _ = contained_windows(docs, items, span)
-    hit = store(places.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct())
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left_anti")
+    doc, key = fresh(docs, "hit_doc"), fresh(docs, "hit_key")
+    hit = store(places.select(F.col("doc_id").alias(doc), F.col("key").alias(key)).distinct())
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(doc)) & (own == F.col(key)), "left_anti")

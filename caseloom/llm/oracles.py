@@ -60,4 +60,25 @@ select doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed,
 from d left join kept using (r)
 """
 
-OP8 = None
+
+def license_sql(phrases: dict[str, str], templates: dict[str, str], percent: int = 80) -> str:
+    """Every block of every text is looked at; a text without enough of a template's words is left out first."""
+    ph = ", ".join(f"(string_split('{p}', ' '), '{label}')" for p, label in phrases.items())
+    te = ", ".join(f"('{label}', string_split('{t}', ' '))" for label, t in templates.items())
+    return rf"""
+with d as (select doc_id, row_number() over () r, {_WORDS} w from documents),
+ph(p, label) as (values {ph}),
+te as (select label, list_distinct(t) t, len(t) span, (len(list_distinct(t)) * {percent} + 99) // 100 need from (values {te}) v(label, t)),
+base as (select r, label, s - 1 pos, 1.0::double share from d, ph, unnest(range(1, greatest(len(w) - len(p) + 2, 1)::bigint)) x(s)
+  where w[s:s + len(p) - 1] = p),
+near as (select r, w, te.* from d, te where len(list_intersect(w, t)) >= need),
+blk as (select r, label, max(len(list_intersect(w[s:s + span - 1], t))) / any_value(len(t)) share
+  from near, unnest(range(1, greatest(len(w) - span, 0)::bigint + 2)) x(s)
+  where len(list_intersect(w[s:s + span - 1], t)) >= need group by r, label),
+b as (select r, count(*) n_base, min(pos) first_word, max(pos) last_word, string_agg(distinct label, ',' order by label) base_labels from base group by r),
+a as (select r, string_agg(distinct label, ',' order by label) labels, max(share) score
+  from (select r, label, share from base union all select r, label, share from blk) group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word,
+  coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0)::double score
+from d left join b using (r) left join a using (r)
+"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseloom.llm import crf, oracles, packing, simhash, warc
 from caseloom.llm.common import table
 from caseloom.llm.decontaminate import find_contamination
-from caseloom.llm.licenses import scan_licenses
+from caseloom.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from caseloom.llm.registry import query
 from caseloom.llm.sharding import shard_documents
 from caseloom.llm.substrings import remove_repeats
@@ -66,7 +66,7 @@ def op7_substrings(spark, d):
     return remove_repeats(table(spark, d, "documents"))
 
 
-@query("op8_licenses", oracles.OP8)
+@query("op8_licenses", oracles.license_sql(PHRASES, TEMPLATES))
 def op8_licenses(spark, d):
     return scan_licenses(table(spark, d, "documents"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.components import components
-from caseloom.llm.common import store
+from caseloom.llm.common import fresh, store
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Residents of an anchor that one task holds.
@@ -245,7 +245,8 @@ def one_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, one for each id."""
     found = store(near_duplicates(docs, distance))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    names = store(kept.distinct().withColumnRenamed("doc_id", "_kept"))
-    out = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    name = fresh(docs, "kept")
+    names = store(kept.distinct().select(F.col("doc_id").alias(name)))
+    out = docs.join(names, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    repeated = kept.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if repeated else out

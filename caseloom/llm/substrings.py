@@ -267,13 +267,17 @@ def _remove(span: int, n: int, trees: int, heavy: np.ndarray, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, span: int = 13, texts: bool = False, range_keys: int = B.RANGE_KEYS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, span: int = 13, texts: bool = False, counts: tuple[str, str] = ("n_words", "n_removed"), range_keys: int = B.RANGE_KEYS
+) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_words, n_removed, kept_sha256)``, one row per row.
 
-    With ``texts`` the result is ``docs`` itself, with what is left in ``text``, and ``n_words`` and ``n_removed``.
+    With ``texts`` the result is ``docs`` itself, with what is left in ``text``, and the columns named by ``counts``.
     """
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = rows.select("doc_id", *([c for c in docs.columns if c not in ("doc_id", "text")] if texts else []), "text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if texts else []
+    rows = docs.select(
+        F.col("doc_id").cast("long"), *[docs[f"`{c}`"].alias(f"other_{k}") for k, c in enumerate(others)], F.col("text").cast("string")
+    )
     schema = rows.select(F.lit(0).cast("long").alias("block"), "*").schema
     table = B.bucketed(rows.mapInArrow(B.in_blocks(len(rows.columns) - 1), schema))
     by_block = table.groupBy("block")
@@ -294,7 +298,11 @@ def remove_repeats(docs: DataFrame, span: int = 13, texts: bool = False, range_k
         out = rows.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     else:
         out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_remove(span, n, n, heavy, texts), out)
+    done = by_block.cogroup(answers.groupBy("block")).applyInArrow(_remove(span, n, n, heavy, texts), out)
+    if not texts:
+        return done
+    back = {"doc_id": "doc_id", "text": "text"} | {c: f"other_{k}" for k, c in enumerate(others)}
+    return done.select(*[F.col(back[c]).alias(c) for c in docs.columns], *[F.col(a).alias(b) for a, b in zip(("n_words", "n_removed"), counts)])
 
 
 def _heavy_rows(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import crf, decontaminate, packing, simhash, substrings
-from caseloom.llm.common import ready, store, table
+from caseloom.llm.common import fresh, ready, store, table
 from caseloom.llm.queries import vocabulary_path
 
 KEEP_FROM = 0.3
@@ -32,8 +32,9 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     field = crf.train_quality(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    scored = crf.score_quality(docs, field, docs.columns, "_score")
-    return scored.filter(F.col("_score") >= KEEP_FROM).select(*docs.columns)
+    score = fresh(docs, "score")
+    scored = crf.score_quality(docs, field, docs.columns, score)
+    return scored.filter(F.col(score) >= KEEP_FROM).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +44,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    cut = substrings.remove_repeats(docs.withColumnRenamed("n_words", "_n_words") if "n_words" in docs.columns else docs, texts=True)
-    cut = cut.filter("n_removed = 0 or n_removed < n_words")
-    changed = F.when(F.col("n_removed") > 0, F.length("text"))
+    words, removed = fresh(docs, "n_words"), fresh(docs, "n_removed")
+    cut = substrings.remove_repeats(docs, texts=True, counts=(words, removed))
+    cut = cut.filter((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.coalesce(changed.cast(docs.schema["n_chars"].dataType), "n_chars"))
-    cut = cut.drop("n_words", "n_removed")
-    return (cut.withColumnRenamed("_n_words", "n_words") if "n_words" in docs.columns else cut).select(*docs.columns)
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, length).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
