@@ -13,6 +13,7 @@ the table was found to be under the limit.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,15 +47,37 @@ def sized(df: DataFrame) -> DataFrame:
     return df if surely_small(df, segment_limit(df)) else store(df)
 
 
-def _order_number(df: DataFrame, name: str) -> Column:
+def null_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equality join that also matches null keys; the key columns of ``left`` stay."""
+    right = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(right, cond, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def _order_value(df: DataFrame, name: str) -> Column:
+    """The order column in a form that literals can be compared with."""
     kind = dict(df.dtypes)[name]
     if kind.startswith("timestamp"):
         return F.unix_micros(F.col(name).cast("timestamp"))
-    if kind == "string":  # first seven bytes as a number: keeps the byte order
-        return F.conv(F.substring(F.rpad(F.hex(F.col(name)), 14, "0"), 1, 14), 16, 10).cast("long")
     if kind == "date":
         return F.unix_date(F.col(name)).cast("long")
-    return F.floor(F.col(name)).cast("long")
+    if kind.startswith("decimal") or kind == "float":
+        return F.col(name).cast("double")
+    return F.col(name)
+
+
+#: Values of a hot group that its cut points are taken from, about, where quantiles are not defined (strings).
+CUT_SAMPLE = 4000
+
+
+def _cut_points(slim: DataFrame, keys: list[str], size: str, steps: list[float]) -> DataFrame:
+    """Per group of ``slim(keys, _o, size)`` the values that part it in about equal pieces."""
+    if dict(slim.dtypes)["_o"] != "string":
+        return slim.groupBy(*keys).agg(F.percentile_approx("_o", steps, 10000).alias("_c"))
+    every = F.greatest(F.lit(1), F.floor(F.col(size) / CUT_SAMPLE))
+    some = slim.filter(F.pmod(F.xxhash64("_o", "_r"), every) == 0)
+    held = some.groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_s"))  # about CUT_SAMPLE values each
+    return held.select(*keys, F.array(*[F.get("_s", F.floor(F.size("_s") * q).cast("int")) for q in steps]).alias("_c"))
 
 
 def segment(df: DataFrame, keys: list[str], order: str, limit: int | None = None, derived: bool = True) -> DataFrame:
@@ -62,6 +85,7 @@ def segment(df: DataFrame, keys: list[str], order: str, limit: int | None = None
 
     Sizes and cut points take up to three passes. A ``derived`` frame (joins, aggregates, windows) is
     therefore written to the checkpoint folder first unless its inputs are small; a plain scan is not.
+    Rows with equal order values stay together.
     """
     if SEG in df.columns:
         df = df.drop(SEG)
@@ -74,8 +98,8 @@ def segment(df: DataFrame, keys: list[str], order: str, limit: int | None = None
     if total <= limit:
         return df
     limit = max(limit, math.ceil(total / MAX_SEGMENTS))
-    o = _order_number(df, order)
-    slim = df.select(*keys, o.alias("_o"))
+    o = _order_value(df, order)
+    slim = df.select(*keys, o.alias("_o"), F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]).alias("_r"))
     sizes = slim.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
     hot = sizes.collect()  # at most total/limit <= MAX_SEGMENTS rows
     if not hot:
@@ -86,29 +110,31 @@ def segment(df: DataFrame, keys: list[str], order: str, limit: int | None = None
     steps = [i / most for i in range(1, most)]
     spark = df.sparkSession
     if not keys:
-        cuts = slim.agg(F.percentile_approx("_o", steps, 10000).alias("_c")).collect()[0]["_c"]
-        return df.withColumn(SEG, _rank_in(F.array(*[F.lit(int(c)) for c in cuts]), o) + 1)
-    schema = df.select(*keys).schema
-    names = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], schema)
-    rows = (
-        slim.join(F.broadcast(names), keys)
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_o", steps, 10000).alias("_c"))
-        .collect()
-    )
-    table = spark.createDataFrame(
-        [tuple(r[k] for k in keys) + (sorted(set(r["_c"])),) for r in rows],
-        df.select(*keys, F.array(F.lit(0).cast("long")).alias("_c")).schema,
-    )
-    return (
-        df.join(F.broadcast(table), keys, "left")
-        .withColumn(SEG, F.when(F.col("_c").isNull(), 0).otherwise(_rank_in(F.col("_c"), o) + 1))
-        .drop("_c")
-    )
+        rows = _cut_points(slim.withColumn("_n", F.lit(total)), [], "_n", steps).collect()
+        cuts = sorted({c for c in rows[0]["_c"] if c is not None})
+        return _marked(df, _rank_in(F.array(*[F.lit(c) for c in cuts]), o) + 1, order) if cuts else df
+    names = spark.createDataFrame([tuple(r[k] for k in keys) + (r["_n"],) for r in hot], sizes.schema)
+    points = _cut_points(null_join(slim, F.broadcast(names), keys, "inner"), keys, "_n", steps)
+    rows = points.collect()
+    table = spark.createDataFrame([tuple(r[k] for k in keys) + (sorted({c for c in r["_c"] if c is not None}),) for r in rows], points.schema)
+    out = null_join(df, F.broadcast(table), keys)
+    return _marked(out, F.when(F.col("_c").isNull(), 0).otherwise(_rank_in(F.col("_c"), o) + 1), order).drop("_c")
+
+
+def _marked(df: DataFrame, number: Column, order: str) -> DataFrame:
+    """``seg`` remembers the column that its borders belong to."""
+    return df.withColumn(SEG, number.alias(SEG, metadata={"order": order}))
 
 
 def _rank_in(cuts: Column, o: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c < o))
+    return F.coalesce(F.size(F.filter(cuts, lambda c: c < o)), F.lit(0))
+
+
+def aligned(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with segments that follow its first order column; cut anew if they follow another."""
+    if SEG not in df.columns or df.schema[SEG].metadata.get("order") == order[0]:
+        return df
+    return segment(df, keys, order[0])
 
 
 def parts(df: DataFrame, keys: list[str]) -> list[str]:
@@ -127,6 +153,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], outs: dict[str, tuple
 
     kind: "sum", "max", "last" (nearest non-null value); reach: "upto" (with this row), "before", "after".
     """
+    df = aligned(df, keys, order)
     new, carry = {}, {}
     for name, (kind, col, reach) in outs.items():
         forward = reach != "after"
@@ -155,7 +182,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], outs: dict[str, tuple
         agg = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[kind]
         moved["_c_" + name] = agg(F.col("_c_" + name)).over(w.rowsBetween(Window.unboundedPreceding, -1))
     carried = summary.select(*keyed, SEG, *[c.alias(n) for n, c in moved.items()])
-    out = out.join(F.broadcast(carried), keyed + [SEG], "left")
+    out = null_join(out, F.broadcast(carried), keyed + [SEG])
     final = {}
     for name, (kind, _, _) in outs.items():
         c = F.col("_c_" + name)
@@ -170,6 +197,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], outs: dict[str, tuple
 
 def neighbours(df: DataFrame, keys: list[str], order: list[str], prev: dict | None = None, next: dict | None = None) -> DataFrame:
     """Values of the row before (``prev``) and after (``next``): new column -> column or expression."""
+    df = aligned(df, keys, order)
     prev = {n: F.col(c) if isinstance(c, str) else c for n, c in (prev or {}).items()}
     next = {n: F.col(c) if isinstance(c, str) else c for n, c in (next or {}).items()}
     if SEG not in df.columns:
@@ -185,6 +213,7 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], prev: dict | No
 
 def lags(df: DataFrame, keys: list[str], order: list[str], cols: list[str], n: int) -> DataFrame:
     """The values of the 1..n rows before, as columns ``<col>__<k>``."""
+    df = aligned(df, keys, order)
     if SEG not in df.columns:
         w = _window(df, keys, order)
         return df.withColumns({f"{c}__{k}": F.lag(c, k).over(w) for c in cols for k in range(1, n + 1)})
@@ -195,6 +224,7 @@ def lags(df: DataFrame, keys: list[str], order: list[str], cols: list[str], n: i
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """1-based row number inside the group."""
+    df = aligned(df, keys, order)
     if SEG not in df.columns:
         return df.withColumn(out, F.row_number().over(_window(df, keys, order)))
     return scan(df, keys, order, {out: ("sum", F.lit(1), "upto")}).withColumn(out, F.col(out).cast("int"))
@@ -215,7 +245,7 @@ def totals(df: DataFrame, keys: list[str], aggs: dict[str, Column], local: bool
         w = Window.partitionBy(*keys)
         return df.withColumns({n: c.over(w) for n, c in aggs.items()})
     agg = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(sized(agg), keys, "left")
+    return null_join(df, sized(agg), keys)
 
 
 def _field(name: str):
@@ -223,10 +253,7 @@ def _field(name: str):
 
 
 def gather(df: DataFrame, keys: list[str], order: list[str], fields: dict[str, str]) -> DataFrame:
-    """One row per group with arrays in order. A hot group gives one row per segment (``part``)."""
-    by = parts(df, keys)
+    """One row per group with arrays in order: the array is the group's value, so it is never parted."""
     packed = F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).alias("_f_" + n) for n, c in fields.items()])))
-    out = df.groupBy(*by).agg(packed.alias("_a"))
-    cols = [F.transform("_a", _field("_f_" + n)).alias(n) for n in fields]
-    part = [F.col(SEG).alias("part")] if SEG in df.columns else [F.lit(0).alias("part")]
-    return out.select(*keys, *part, *cols)
+    out = df.groupBy(*keys).agg(packed.alias("_a"))
+    return out.select(*keys, *[F.transform("_a", _field("_f_" + n)).alias(n) for n in fields])

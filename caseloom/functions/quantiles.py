@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.functions.ordered import scan, segment
+from caseloom.functions.ordered import null_join, scan, segment
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """One row per group with the quantiles ``qs`` (new column -> fraction) of the non-null values."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    counts = counts.join(sizes, keys) if keys else counts.crossJoin(F.broadcast(sizes))  # one-row side
+    counts = null_join(counts, sizes, keys, "inner") if keys else counts.crossJoin(F.broadcast(sizes))  # one-row side
     ranked = scan(segment(counts, keys, value), keys, [value], {"_hi": ("sum", F.col("_n"), "upto")})
     ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_n"))
     picks = []

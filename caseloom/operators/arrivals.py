@@ -83,7 +83,7 @@ def trim(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keep values within [q15, q85] of their group; groups of one or two stay whole."""
     qs = quantiles(df, keys, value, {"q15": 0.15, "q85": 0.85})
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    df = df.join(qs.join(sizes, keys), keys)
+    df = O.null_join(df, O.null_join(qs, sizes, keys, "inner"), keys, "inner")
     # the interpolated bounds are compared with a little slack for rounding
     inside = F.col(value).between(F.col("q15") - 1e-9, F.col("q85") + 1e-9)
     return df.filter((F.col("_n") <= 2) | inside).drop("q15", "q85", "_n")

@@ -50,76 +50,6 @@ def enabling_times(log: DataFrame, next_tasks: DataFrame) -> DataFrame:
     return df.select("caseid", *seg, F.col("target").alias("task"), "user", "start_ts", "end_ts", "pos", F.coalesce("enable_ts", "end_ts").alias("enable_ts"))
 
 
-def _shortest(follow: dict, a: str) -> dict:
-    """Shortest node path from ``a`` to every node it reaches (without ``a`` itself)."""
-    paths, front = {}, [(a, ())]
-    while front:
-        nxt = []
-        for node, path in front:
-            for b in follow.get(node, ()):
-                if b not in paths:
-                    paths[b] = path + (b,)
-                    nxt.append((b, paths[b]))
-        front = nxt
-    return paths
-
-
-def _replays(seq: list, paths: dict, tasks: set, forks: dict, direct: set) -> bool:
-    """Token replay of one sequence of task nodes over the open nodes.
-
-    Each task must be reached from the most recent open task that leads to it, with no task between.
-    Nodes it closes are dropped from the open list; a parallel gateway stays open until all its paths
-    have been taken.
-    """
-    held, taken = [seq[0]], {}
-    for node in seq[1:]:
-        if node == held[-1]:
-            continue
-        way = next((paths[t][node] for t in reversed(held) if t in tasks and node in paths[t]), ())
-        if sum(n in tasks for n in way) > 1:
-            return False
-        held = list(dict.fromkeys([*held, *way]))
-        closing = True
-        for n in held[-2::-1]:
-            if n in forks:
-                taken[n] = taken.get(n, 0) + 1
-                closing = taken[n] >= forks[n]
-            if closing and (n not in tasks or (n, node) in direct):
-                held.remove(n)
-    return True
-
-
-def token_replay(log: DataFrame, nodes: DataFrame, edges: DataFrame, next_tasks: DataFrame, most: int = 200_000) -> DataFrame:
-    """``(caseid, conformant)``: ``conformance`` and also the token replay with concurrency.
-
-    Distinct sequences are replayed once each. The graph goes to every task, so its size is checked.
-    """
-    links = edges.select("src", "dst").limit(most + 1).collect()
-    if len(links) > most:
-        raise ValueError(f"a process graph with more than {most} flows")
-    kinds = {r["node_id"]: (r["type"], r["name"]) for r in nodes.select("node_id", "type", "name").collect()}
-    follow: dict = {}
-    for r in sorted(links):
-        follow.setdefault(r["src"], []).append(r["dst"])
-    tasks = {n for n, (t, _) in kinds.items() if t == "task"}
-    node_of = {name: n for n, (t, name) in kinds.items() if t == "task"}
-    forks = {n: len(follow.get(n, ())) for n, (t, _) in kinds.items() if t == "gate3"}
-    direct = {(node_of[r["a"]], node_of[r["b"]]) for r in next_tasks.select("a", "b").collect() if r["a"] in node_of and r["b"] in node_of}
-    paths = {t: _shortest(follow, t) for t in tasks}
-
-    def replay(batches):
-        for pdf in batches:
-            pdf["ok"] = [_replays([node_of[t] for t in s], paths, tasks, forks, direct) for s in pdf["seq"]]
-            yield pdf[["seq", "ok"]]
-
-    seqs = O.gather(log.drop(O.SEG), CASE, ORDER, {"seq": "task"}).select("caseid", "seq")
-    base = conformance(log, next_tasks)
-    possible = seqs.join(base.filter("conformant"), CASE, "left_semi")
-    done = possible.select("seq").distinct().mapInPandas(replay, "seq array<string>, ok boolean")
-    good = possible.join(done.filter("ok"), "seq", "left_semi").select("caseid", F.lit(True).alias("good"))
-    return base.select("caseid").join(good, CASE, "left").select("caseid", F.coalesce("good", F.lit(False)).alias("conformant"))
-
-
 def edge_executions(log: DataFrame, next_tasks: DataFrame, edges: DataFrame, which: str = "conformant") -> DataFrame:
     """``(src, dst, executions)``: how often each flow was passed (conformant cases, or ``all``)."""
     pairs = consecutive(log)
@@ -145,19 +75,25 @@ def keep_conformant(log: DataFrame, conf: DataFrame) -> DataFrame:
 
 
 def replace_nonconformant(log: DataFrame, conf: DataFrame) -> DataFrame:
-    """Replace each non-conformant case by its nearest conformant one (edit distance over the longer
-    length; the smallest case id on ties). Its id is the old id with ``R``.
+    """Replace each non-conformant case by its nearest conformant one: the smallest number of edits, the
+    case that starts first on ties (then the smallest case id). Its id is the old id with ``R``.
 
     Distances are made between distinct sequences, not between cases.
     """
     from caseloom.operators import metrics as M
 
     names = task_names(log)
-    prof = O.gather(log.drop(O.SEG), CASE, ORDER, {"seq": "task"}).withColumn("codes", M._codes("seq", names))
-    prof = cut(prof.select("caseid", "codes").join(conf, CASE))
+    prof = O.gather(log, CASE, ORDER, {"seq": "task"}).withColumn("codes", M._codes("seq", names))
+    starts = log.groupBy("caseid").agg(F.min("start_ts").alias("start"))
+    prof = cut(prof.select("caseid", "codes").join(conf, CASE).join(starts, CASE))
     bad = prof.filter(~F.col("conformant"))
-    va, vb = M.variant_profiles(bad), M.variant_profiles(prof.filter("conformant"))
-    near = M.distance_to_all(va, vb, names, "dl").select(F.col("caseid").alias("rep"), "nearest")
+    va = M.variant_profiles(bad)
+    # the name of a good variant sorts by the start of its first case
+    first = prof.filter("conformant").groupBy("codes").agg(F.min(F.struct("start", "caseid")).alias("f"))
+    at = F.unix_micros(F.col("f.start").cast("timestamp")) + F.lit(1 << 62)
+    vb = first.select("codes", F.concat_ws("|", F.lpad(at.cast("string"), 20, "0"), "f.caseid").alias("caseid"), F.lit(1).cast("long").alias("cases"))
+    near = M.distance_to_all(va, vb, names, "edits").select(F.col("caseid").alias("rep"), F.substring_index("nearest", "|", 1).alias("_at"), "nearest")
+    near = near.select("rep", F.expr("substring(nearest, length(_at) + 2)").alias("nearest"))
     reps = va.select(F.col("caseid").alias("rep"), "codes")
     swap = bad.join(reps, "codes").join(near, "rep").select(F.col("caseid").alias("old"), F.col("nearest").alias("caseid"))
     cols = ["task", "user", "start_ts", "end_ts", "pos"]

@@ -117,24 +117,30 @@ def mae_to_all(log_spans: DataFrame, sim_spans: DataFrame) -> DataFrame:
 
 
 def mae_matching(log_spans: DataFrame, sim_spans: DataFrame) -> DataFrame:
-    """``(run_num, sim_val)``: mean cycle-time difference (s) of the best one-to-one matching.
+    """``(run_num, sim_val)``: mean cycle-time difference (s) of the best one-to-one matching, exactly.
 
-    For equal numbers of cases pairing by rank is optimal. With unequal numbers the shorter side is
-    matched to the longer one at evenly spread ranks, which is not always the optimum.
+    Some best matching keeps both sides in order, so it is a shortest path over the sorted cycle times: the i-th
+    value of the shorter side takes one of the ``n - m + 1`` places from i on. One run is one group, one number
+    per case; its work is the product of the shorter side and the difference of the sizes.
     """
-    a = O.global_index(cycle_times(log_spans).select("caseid", "cycle"), ["cycle", "caseid"], "i")
-    b = cycle_times(sim_spans).select("run_num", "caseid", "cycle")
-    b = O.row_index(O.segment(b, ["run_num"], "cycle"), ["run_num"], ["cycle", "caseid"], "j")
-    na, nb = a.agg(F.count("*").alias("na")), b.groupBy("run_num").agg(F.count("*").alias("nb"))
-    b = b.join(nb, "run_num").crossJoin(F.broadcast(na))  # one row
-    runs = nb.crossJoin(F.broadcast(na))
-    least = F.least("na", "nb")
-    slot = lambda rank, size: F.floor((rank - 1) * least / size) + 1
-    b = b.withColumn("slot", slot(F.col("j"), F.col("nb")))
-    a = a.crossJoin(F.broadcast(runs)).withColumn("slot", slot(F.col("i"), F.col("na")))  # runs are few
-    first = lambda df: df.groupBy("run_num", "slot").agg(F.min("cycle").alias("cycle"))
-    m = first(a).withColumnRenamed("cycle", "ca").join(first(b).withColumnRenamed("cycle", "cb"), ["run_num", "slot"])
-    return m.groupBy("run_num").agg((F.sum(F.abs(F.col("ca") - F.col("cb"))) / F.count("*") / 1e6).alias("sim_val"))
+    a = cycle_times(log_spans).select("cycle", F.lit(0).alias("side"))
+    b = cycle_times(sim_spans).select("run_num", "cycle", F.lit(1).alias("side"))
+    runs = b.select("run_num").distinct()
+    both = b.unionByName(a.crossJoin(F.broadcast(runs)).select("run_num", "cycle", "side"))  # runs are few; each meets the whole log
+    kind = dict(b.dtypes)["run_num"]
+
+    def match(key, pdf):
+        x, y = (np.sort(pdf["cycle"].to_numpy()[pdf["side"].to_numpy() == k].astype(np.int64)) for k in (0, 1))
+        short, long = (x, y) if len(x) <= len(y) else (y, x)
+        if not len(short):
+            return pd.DataFrame({"run_num": [], "sim_val": []}).astype({"sim_val": float})
+        free = len(long) - len(short)
+        cost = np.zeros(free + 1, np.int64)
+        for i, v in enumerate(short):
+            cost = np.minimum.accumulate(cost) + np.abs(long[i : i + free + 1] - v)
+        return pd.DataFrame({"run_num": [key[0]], "sim_val": [int(cost.min()) / len(short) / 1e6]})
+
+    return both.groupBy("run_num").applyInPandas(match, f"run_num {kind}, sim_val double")
 
 
 # ---- sequence distances
@@ -146,7 +152,7 @@ def _codes(seq: str, names: list[str]) -> Column:
 
 
 def sequence_profiles(log: DataFrame, names: list[str]) -> DataFrame:
-    """Per case: task codes, scaled times, cycle time. A hot case gives one row per part."""
+    """Per case: task codes, scaled times, cycle time."""
     df = O.gather(log, ["caseid"], ORDER, {"seq": "task", "p": "proc_us_norm", "w": "wait_us_norm"})
     cyc = cycle_times(case_spans(log))
     return df.withColumn("codes", _codes("seq", names)).join(cyc, "caseid").select("caseid", "codes", "p", "w", "cycle")
@@ -199,9 +205,13 @@ def _cost(metric: str, left, right, alphabet: int, parallel=None, max_mae: float
     if metric == "tsd":
         cols = [pad(s[c], dtype=float)[0] for s in (left, right) for c in ("p", "w")]
         pa, wa, pb, wb = cols
-        d = timed_distance(a[i], la[i], pa[i], wa[i], b[j], lb[j], pb[j], wb[j], parallel)
+        # the right side is the simulation, whose share of processing counts
+        d = timed_distance(b[j], lb[j], pb[j], wb[j], a[i], la[i], pa[i], wa[i], parallel)
         return (d / longest).reshape(len(left), len(right))
-    dl = (damerau_levenshtein(a[i], la[i], b[j], lb[j], alphabet) / longest).reshape(len(left), len(right))
+    edits = damerau_levenshtein(a[i], la[i], b[j], lb[j], alphabet)
+    if metric == "edits":
+        return edits.astype(float).reshape(len(left), len(right))
+    dl = (edits / longest).reshape(len(left), len(right))
     if metric == "dl":
         return dl
     mae = np.abs(left["cycle"].to_numpy()[:, None] - right["cycle"].to_numpy()[None, :])
@@ -264,7 +274,7 @@ def cost_tiles(a: DataFrame, b: DataFrame, names: list[str], metric: str, relati
     return _tiles(a, b).groupBy("ti", "tj").applyInPandas(tile, "i string, tj int, js array<string>, costs array<double>")
 
 
-def auction(tiles: DataFrame, epsilon: float, rounds: int = 100_000) -> DataFrame:
+def auction(tiles: DataFrame, epsilon: float) -> DataFrame:
     """``(i, j, cost)``: one-to-one matching whose total cost is within (pairs * epsilon) of the least.
 
     Every round all unmatched left cases bid for the right case with the best cost plus price, as a
@@ -275,7 +285,9 @@ def auction(tiles: DataFrame, epsilon: float, rounds: int = 100_000) -> DataFram
     cells = store(cells)
     left = cut(cells.select("i").distinct())
     state = cut(cells.select("j").distinct().select("j", F.lit(0.0).alias("price"), F.lit(None).cast("string").alias("owner")))
-    for _ in range(rounds):
+    if left.count() > state.count():
+        raise ValueError("the left side must not be larger")
+    while True:  # prices rise by epsilon or more with every bid, so it ends
         owned = state.filter("owner is not null").select(F.col("owner").alias("i"))
         free = left.join(owned, "i", "left_anti")
         value = cells.join(free, "i", "left_semi").join(state, "j").select("i", "j", (F.col("c") + F.col("price")).alias("v"), "price")

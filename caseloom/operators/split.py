@@ -63,13 +63,11 @@ def sample_size(population: int, level: int = 95, interval: float = 3.0) -> int:
     return math.ceil(n0 / (1 + (n0 - 1) / population))
 
 
-def sample_cases(log: DataFrame, seed: int = 1, above: int = 1000) -> DataFrame:
-    """A representative sample of the cases when there are more than ``above``."""
+def sample_cases(log: DataFrame, seed: int = 1, level: int = 95, interval: float = 3.0) -> DataFrame:
+    """A representative sample of the cases, for a confidence level and interval (percent)."""
     n = log.select("caseid").distinct().count()
-    if n <= above:
-        return log
     cases = log.select("caseid").distinct().orderBy(hash_order(seed, "caseid"), "caseid")
-    return log.join(cases.limit(sample_size(n)), "caseid", "left_semi")  # at most about 1,100 cases
+    return log.join(cases.limit(sample_size(n, level, interval) if n else 0), "caseid", "left_semi")
 
 
 def arrival_chunks(log: DataFrame, chunks: int = 6) -> DataFrame:

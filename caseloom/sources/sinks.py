@@ -21,16 +21,15 @@ def _pair(key: str, value):
 
 
 def xes_traces(life: DataFrame) -> DataFrame:
-    """One nested row per case (per part of a hot case), events by (time, record)."""
+    """One nested row per case, events by (time, record)."""
     event = F.struct(
         F.array(
             _pair(CONCEPT, F.col("task")), _pair(LIFECYCLE, F.col("transition")), _pair("user", F.coalesce("user", F.lit(NO_RESOURCE)))
         ).alias("string"),
         F.array(_pair(TIME, F.date_format("ts", TIME_FORMAT))).alias("date"),
     )
-    by = O.parts(life, ["caseid"])
     ev = F.array_sort(F.collect_list(F.struct("ts", "pos", event.alias("e"))))
-    df = life.groupBy(*by).agg(ev.alias("ev"))
+    df = life.groupBy("caseid").agg(ev.alias("ev"))
     return df.select(F.array(_pair(CONCEPT, F.col("caseid"))).alias("string"), F.transform("ev", lambda x: x["e"]).alias("event"))
 
 

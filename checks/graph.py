@@ -85,12 +85,6 @@ def _(spark, d):
     return C.conformance(l8(spark, d), GR.next_tasks(*graph8(spark, d)))
 
 
-@query("c4b_token_replay", None)
-def _(spark, d):
-    g = graph8(spark, d)
-    return C.token_replay(l8(spark, d), *g, GR.next_tasks(*g))
-
-
 @query("c5_enabling_time", sql("l8", "with " + GRAPH + """,
 o as (select *, row_number() over (partition by caseid order by start_ts, pos) r from l8)
 select e.caseid, e.pos, e.task, coalesce(arg_max(p.end_ts, p.r), any_value(e.end_ts)) enable_ts
@@ -174,9 +168,9 @@ def _(spark, d):
 
 
 @query("c14_replacement", sql("l8", "with " + CONF + """,
-sq as (select caseid, string_agg(chr(47 + cd::int), '' order by start_ts, pos) s, bool_and(conformant) ok from l8 join (select task, dense_rank() over (order by task) cd from (select distinct task from l8) z) c using (task) join cf using (caseid) group by caseid),
-va as (select distinct s from sq where not ok), vb as (select s, min(caseid) caseid from sq where ok group by s),
-nr as (select va.s, arg_min(caseid, (damerau_levenshtein(va.s, vb.s)/greatest(len(va.s), len(vb.s)), caseid)) nearest from va, vb group by va.s)
+sq as (select caseid, min(start_ts) st, string_agg(chr(47 + cd::int), '' order by start_ts, pos) s, bool_and(conformant) ok from l8 join (select task, dense_rank() over (order by task) cd from (select distinct task from l8) z) c using (task) join cf using (caseid) group by caseid),
+va as (select distinct s from sq where not ok), vb as (select s, caseid, st from sq where ok),
+nr as (select va.s, arg_min(caseid, (damerau_levenshtein(va.s, vb.s), st, caseid)) nearest from va, vb group by va.s)
 select l8.caseid, task, pos from l8 join cf using (caseid) where conformant
 union all select concat(sq.caseid, 'R'), l8.task, l8.pos from sq join nr using (s) join l8 on l8.caseid=nr.nearest where not ok"""))
 def _(spark, d):

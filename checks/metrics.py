@@ -114,7 +114,7 @@ def _(spark, d):
 def _(spark, d):
     log, sim = halves(spark, d)
     a, b, names = M.paired_profiles(log, sim)
-    return M.distance_to_all(a, b, names, "tsd", W.footprint(log.unionByName(sim)))
+    return M.distance_to_all(a, b, names, "tsd", W.footprint(log))
 
 
 @query("m5_mae_pairs", sql("l2", "with " + SP + """ select a.caseid, round(avg(abs((epoch_us(a.en)-epoch_us(a.st))-(epoch_us(b.en)-epoch_us(b.st)))),3) mean_mae,
@@ -131,11 +131,13 @@ def _(spark, d):
     return out.select("caseid", *[F.round(c, 9).alias(c) for c in ("mean_cost", "min_cost")])
 
 
-MAE = """mc as (select run_num, (select count(*) from lg) na, count(*) nb from sm group by run_num),
-ma as (select run_num, na, nb, epoch_us(en)-epoch_us(st) c, row_number() over (partition by run_num order by epoch_us(en)-epoch_us(st), caseid) i from lg, mc),
-mb as (select sm.run_num, na, nb, epoch_us(en)-epoch_us(st) c, row_number() over (partition by sm.run_num order by epoch_us(en)-epoch_us(st), caseid) i from sm join mc on mc.run_num=sm.run_num),
-sa as (select run_num, (i-1)*least(na,nb) // na sl, min(c) c from ma group by 1,2), sb as (select run_num, (i-1)*least(na,nb) // nb sl, min(c) c from mb group by 1,2),
-mm as (select run_num, sum(abs(sa.c-sb.c))/count(*)/1e6 sim_val from sa join sb using (run_num, sl) group by run_num)"""
+# the shorter side, in order, takes places of the longer one: least cost over all places so far, one value after another
+MAE = """cy as (select sm.run_num, 1 k, epoch_us(en)-epoch_us(st) c from sm union all select r.run_num, 0, epoch_us(en)-epoch_us(st) from lg, (select distinct run_num from sm) r),
+sd as (select run_num, list_sort(list(c) filter (k = 0)) a, list_sort(list(c) filter (k = 1)) b from cy group by run_num),
+ss as (select run_num, case when len(a) <= len(b) then a else b end s, case when len(a) <= len(b) then b else a end l from sd),
+mm as (with recursive dp as (select run_num, s, l, 0 i, list_transform(range(len(l) - len(s) + 1), lambda x: 0::bigint) d from ss
+  union all select run_num, s, l, i + 1, list_transform(range(1, len(d) + 1), lambda x: list_min(d[1:x]) + abs(l[i + x] - s[i + 1])) from dp where i < len(s))
+  select run_num, list_min(d) / len(s) / 1e6 sim_val from dp where i = len(s))"""
 
 
 @query("m7_mae_match", sql("l2", "with " + SP + ", " + MAE + " select run_num, round(sim_val,6) sim_val from mm"))

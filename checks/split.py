@@ -51,7 +51,7 @@ def _(spark, d):
 
 
 @query("p5_sample", sql("l3", """with n as (select count(distinct caseid) n from l3)
-select cast(case when n <= 1000 then n else ceil((1.96*1.96*0.25/0.0009)/(1+((1.96*1.96*0.25/0.0009)-1)/n)) end as bigint) cases from n"""))
+select cast(ceil((1.96*1.96*0.25/0.0009)/(1+((1.96*1.96*0.25/0.0009)-1)/n)) as bigint) cases from n"""))
 def _(spark, d):
     return P.sample_cases(l3(spark, d)).agg(F.countDistinct("caseid").alias("cases"))
 

@@ -153,18 +153,6 @@ def test_gateway_cycle_ends(spark):
     assert got == {("Start", "A"), ("Start", "End"), ("A", "A"), ("A", "End")}
 
 
-def test_parallel_replay(spark):
-    nodes = spark.createDataFrame(
-        [("s", "start", "Start", "s"), ("e", "end", "End", "e"), ("f", "gate3", "", "f"), ("j", "gate3", "", "j")] + [(x, "task", x.upper(), x) for x in "abcd"],
-        "node_id string, type string, name string, element_id string",
-    )
-    edges = spark.createDataFrame([("s", "a"), ("a", "f"), ("f", "b"), ("f", "c"), ("b", "j"), ("c", "j"), ("j", "d"), ("d", "e")], "src string, dst string")
-    log = seqs(spark, "ABD", "ACD", "ABCD")
-    nxt = GR.next_tasks(nodes, edges)
-    got = {r["caseid"]: r["conformant"] for r in C.token_replay(log, nodes, edges, nxt).collect()}
-    assert got == {"c0": True, "c1": True, "c2": False}
-
-
 def test_emd_is_zero_for_identical_logs(spark):
     log = seqs(spark, "ABC", "AD")
     spans = S.case_spans(log)
