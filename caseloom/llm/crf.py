@@ -258,7 +258,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample: in
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # bounded by ``sample``
     names = spark.createDataFrame([tuple(r) for r in chosen], known.schema)
-    rows = docs.join(F.broadcast(names), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(names), "doc_id")
     rows = rows.select("doc_id", "label", "text").mapInArrow(_sampled, "label int, x binary, sizes binary").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["sizes"]), bytes(r["x"])))
     chains = [(np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES), np.frombuffer(r["sizes"], "<f4").astype(float)) for r in rows]
