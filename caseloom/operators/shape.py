@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import ordered as O
 from caseloom.functions import times as T
-from caseloom.functions.quantiles import quantiles
 from caseloom.model import END, LOG_COLS, NO_USER, ORDER, START
+from caseloom.session import store
 
 CASE = ["caseid"]
 
@@ -231,21 +231,40 @@ def next_values(log: DataFrame, cols: dict[str, str]) -> DataFrame:
 
 
 def duration_edges(log: DataFrame) -> DataFrame:
-    """One row: the distinct quantile edges of the durations (seconds), ``n = int(range / mean)`` bins."""
-    df = log.select((T.span_us("start_ts", "end_ts") / 1e6).alias("dur"))
-    s = df.agg(F.min("dur").alias("a"), F.max("dur").alias("b"), F.avg("dur").alias("m")).first()
-    n = int((s["b"] - s["a"]) / s["m"]) if s["m"] else 0
-    n = max(n, 1)
-    qs = {f"q{i}": i / n for i in range(n + 1)}
-    return quantiles(df, [], "dur", qs).select(F.array_distinct(F.array(*qs)).alias("edges"))
+    """``(k, edge)``: the quantile edges of the durations (seconds) for ``n = int(range / mean)`` bins.
+
+    Durations are counted by value; each value then answers for the edges whose ranks it covers, so the
+    number of bins may be large.
+    """
+    df = log.select((T.span_us("start_ts", "end_ts") / 1e6).alias("dur")).filter("dur is not null")
+    counts = store(df.groupBy("dur").agg(F.count("*").alias("n")))
+    s = counts.agg(F.min("dur").alias("a"), F.max("dur").alias("b"), F.sum("n").alias("n"), (F.sum(F.col("dur") * F.col("n")) / F.sum("n")).alias("m")).first()
+    bins = max(int((s["b"] - s["a"]) / s["m"]) if s["m"] else 0, 1)
+    ranked = O.scan(O.segment(counts, [], "dur"), [], ["dur"], {"hi": ("sum", F.col("n"), "upto")})
+    ranked = O.neighbours(ranked, [], ["dur"], next={"above": "dur"})
+    # edge k lies at rank k / bins * (n - 1): between this value and the next if its ceiling is past this value's last rank
+    last = F.lit(s["n"] - 1)
+    at = lambda k: k / F.lit(float(bins)) * last
+    first = F.greatest(F.ceil((F.col("hi") - F.col("n")) * F.lit(float(bins)) / F.greatest(last, F.lit(1))) - 1, F.lit(0))
+    upto = F.least(F.floor(F.col("hi") * F.lit(float(bins)) / F.greatest(last, F.lit(1))) + 1, F.lit(bins))
+    e = ranked.filter(first <= upto).withColumn("k", F.explode(F.sequence(first.cast("long"), upto.cast("long"))))
+    e = e.withColumn("at", at(F.col("k"))).filter((F.floor("at") >= F.col("hi") - F.col("n")) & (F.floor("at") < F.col("hi")))
+    up = F.when(F.ceil("at") >= F.col("hi"), F.col("above")).otherwise(F.col("dur"))
+    return e.select("k", (F.col("dur") + (up - F.col("dur")) * (F.col("at") - F.floor("at"))).alias("edge"))
 
 
 def duration_bins(log: DataFrame) -> DataFrame:
-    """Bin number of the activity's duration; bins are right-closed, the lowest value is in bin 0."""
-    df = log.withColumn("dur", T.span_us("start_ts", "end_ts") / 1e6)
-    df = df.crossJoin(F.broadcast(duration_edges(log)))  # one row of edges
-    below = F.size(F.filter("edges", lambda e: e < F.col("dur")))
-    return df.withColumn("bin", F.greatest(below - 1, F.lit(0))).drop("edges")
+    """Bin number of the activity's duration; bins are right-closed, the lowest value is in bin 0.
+
+    Edges and durations run past each other in one ordered pass.
+    """
+    edges = store(duration_edges(log).select("edge").distinct())
+    df = log.drop(O.SEG).withColumn("dur", T.span_us("start_ts", "end_ts") / 1e6)
+    marks = edges.select(F.col("edge").alias("dur"), F.lit(1).alias("after"))
+    both = df.withColumn("after", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    both = O.scan(O.segment(both, [], "dur"), [], ["dur", "after"], {"below": ("sum", F.col("after").cast("long"), "before")})
+    out = both.filter("after = 0").withColumn("bin", F.greatest(F.col("below") - 1, F.lit(0)).cast("int"))
+    return out.select(*df.columns, "bin")
 
 
 def occurrence_labels(log: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -66,13 +66,25 @@ def simulator_filter(life: DataFrame) -> DataFrame:
     return life.filter((F.col("source") != SIMULATOR_SOURCE) | ~typed | prefix[0].isin(ELEMENT_TYPES))
 
 
-def read_xes(spark: SparkSession, path: str, source: str = "") -> DataFrame:
-    """Lifecycle log from XES: one task reads many traces, split at the trace tags."""
+def xes_sources(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, source)``: the ``source`` attribute of each log, from what stands before its first trace."""
+    head = spark.read.option("lineSep", "<trace").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    tag = F.regexp_extract("value", r"<string\s[^>]*key=\"source\"[^>]*>", 0)
+    return head.filter(F.col("value").contains("<log")).select("file", F.regexp_extract(tag, r"value=\"([^\"]*)\"", 1).alias("source"))
+
+
+def read_xes(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+    """Lifecycle log from XES: one task reads many traces, split at the trace tags.
+
+    ``source`` overrides the attribute of the same name that a log has.
+    """
     raw = prepare(spark).read.format("xml").option("rowTag", "trace").option("ignoreNamespace", True).schema(XES_SCHEMA).load(path)
     attr = lambda c: F.map_from_entries(c)
-    df = raw.select(attr("string")[CONCEPT].alias("caseid"), F.posexplode("event").alias("pos", "e"))
+    raw = raw.withColumn("file", F.col("_metadata.file_path"))
+    df = raw.select("file", attr("string")[CONCEPT].alias("caseid"), F.posexplode("event").alias("pos", "e"))
     s, d = attr("e.string"), attr("e.date")
     df = df.select(
+        "file",
         "caseid",
         s[CONCEPT].alias("task"),
         F.coalesce(*[s[k] for k in USER_KEYS]).alias("user"),
@@ -80,11 +92,14 @@ def read_xes(spark: SparkSession, path: str, source: str = "") -> DataFrame:
         s[LIFECYCLE].alias("transition"),
         F.col("pos").cast("long").alias("pos"),
         s[ELEMENT].alias("element_id"),
-        F.lit(source).alias("source"),
     )
+    if source is None:
+        df = df.join(xes_sources(spark, path), "file", "left").withColumn("source", F.coalesce("source", F.lit("")))
+    else:
+        df = df.withColumn("source", F.lit(source))
     df = df.filter(~F.col("task").isin(XES_DROPPED) & F.col("transition").isin(TRANSITIONS))
     df = df.withColumn("element_id", F.coalesce("element_id", F.lit("")))
-    return simulator_filter(df).drop("element_id", "source")
+    return simulator_filter(df).drop("element_id", "source", "file")
 
 
 def unzip_lines(files: DataFrame, suffix: str = "") -> DataFrame:
@@ -112,15 +127,22 @@ def unzip_lines(files: DataFrame, suffix: str = "") -> DataFrame:
 
 
 def csv_of_lines(lines: DataFrame, columns: list[str]) -> DataFrame:
-    """Parse the lines of CSV members; the first line of each is the header and is left out."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return lines.filter("n > 0").select(F.from_csv("line", schema).alias("r")).select("r.*")
-
-
-def read_zip_csv(spark: SparkSession, path: str, columns: list[str], names: dict[str, str] | None = None, **options) -> DataFrame:
+    """Parse the lines of CSV members. The first line of each names its columns; ``columns`` are taken by name,
+    and one that a member does not have is null there."""
+    width = lines.filter("n = 0").agg(F.max(F.size(F.split("line", ",")))).first()[0] or 1
+    fields = ", ".join(f"c{k} string" for k in range(width))
+    cells = F.from_csv("line", fields)
+    values = F.array(*[cells[f"c{k}"] for k in range(width)])
+    heads = lines.filter("n = 0").select("file", F.transform(values, lambda c: F.trim(c)).alias("head"))  # one row per member
+    rows = lines.filter("n > 0").select("file", values.alias("cells")).join(heads, "file")
+    return rows.select(*[F.get("cells", F.nullif(F.array_position("head", F.lit(c)), F.lit(0)).cast("int") - 1).alias(c) for c in columns])
+
+
+def read_zip_csv(spark: SparkSession, path: str, columns: list[str] | None = None, names: dict[str, str] | None = None, **options) -> DataFrame:
     """Interval log from CSV files in zip archives (one task per archive)."""
     files = prepare(spark).read.format("binaryFile").load(path)
-    return shape_csv(csv_of_lines(unzip_lines(files, ".csv"), columns), names or CSV_NAMES, **options)
+    names = names or CSV_NAMES
+    return shape_csv(csv_of_lines(unzip_lines(files, ".csv"), columns or list(names)), names, **options)
 
 
 def read_log(spark: SparkSession, path: str, columns: list[str] | None = None, **options) -> DataFrame:
@@ -130,5 +152,5 @@ def read_log(spark: SparkSession, path: str, columns: list[str] | None = None, *
     if path.endswith((".csv", ".csv.gz")):
         return read_csv(spark, path, **options)
     if path.endswith(".zip"):
-        return read_zip_csv(spark, path, columns or list(CSV_NAMES), **options)
+        return read_zip_csv(spark, path, columns, **options)
     raise IOError(f"unknown extension of {path}: expected one of {EXTENSIONS}")

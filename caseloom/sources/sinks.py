@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +53,14 @@ def write_embedding(vectors: DataFrame, path: str, mode: str = "error") -> None:
     vectors.select(line.alias("value")).write.mode(mode).text(path)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def reuse(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stored table, or the built one after storing it."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
-        return spark.read.parquet(path)
+    """The stored table if it is complete, else the built one after storing it."""
+    if not is_complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -82,7 +82,7 @@ def _(spark, d):
         for k, pdf in enumerate(batches):
             buf = io.BytesIO()
             with zipfile.ZipFile(buf, "w") as z:
-                z.writestr("log.csv", "\n".join(["header", *pdf["line"]]))
+                z.writestr("log.csv", "\n".join([",".join(cols), *pdf["line"]]))
             yield pd.DataFrame({"path": [f"part{k}.zip"], "content": [buf.getvalue()]})
 
     files = lines.mapInPandas(pack, "path string, content binary")
@@ -312,6 +312,9 @@ def _(spark, d):
     )
 
 
-@query("k14_ids", None)
+@query("k14_ids", """with m as (select event_id, md5(event_id::varchar) h from events)
+select event_id, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) label from m""")
 def _(spark, d):
-    return table(spark, d, "events").select("event_id", F.uuid().alias("label"))
+    digest = F.md5(F.col("event_id").cast("string"))
+    label = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return table(spark, d, "events").select("event_id", label.alias("label"))

@@ -48,6 +48,34 @@ def test_zip(spark, tmp_path):
     check(L.read_log(spark, str(path)))
 
 
+def test_zip_columns_go_by_name(spark, tmp_path):
+    path = tmp_path / "b.zip"
+    head, *rows = CSV.strip().split("\n")
+    turned = "\n".join(",".join(reversed(line.split(","))) for line in [head + ",Cost", *[r + ",7" for r in rows]])
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("a.csv", turned)
+    check(L.read_log(spark, str(path)))
+
+
+def test_xes_source(spark, tmp_path):
+    event = '<event><string key="concept:name" value="A"/><string key="lifecycle:transition" value="start"/><string key="elementId" value="%s_1"/><date key="time:timestamp" value="2024-01-01T01:00:00"/></event>'
+    body = "<trace><string key=\"concept:name\" value=\"c\"/>" + event % "Task" + event % "Gateway" + "</trace></log>"
+    simulated = write(tmp_path / "s.xes", f'<log><string key="source" value="{L.SIMULATOR_SOURCE}"/>{body}')
+    other = write(tmp_path / "o.xes", f'<log><string key="name" value="x"/>{body}')
+    assert L.read_log(spark, simulated).count() == 1 and L.read_log(spark, other).count() == 2
+    assert L.read_log(spark, other, source=L.SIMULATOR_SOURCE).count() == 1
+
+
+def test_reuse_needs_a_complete_table(spark, tmp_path):
+    from caseloom.sources import sinks
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    (tmp_path / "t" / "_SUCCESS").unlink()
+    assert sinks.reuse(spark, path, lambda: spark.range(5)).count() == 5
+    assert sinks.reuse(spark, path, lambda: spark.range(9)).count() == 5
+
+
 def test_unknown_extension(spark):
     with pytest.raises(IOError):
         L.read_log(spark, "a.doc")
