@@ -253,7 +253,7 @@ def _send_pairs(model: Model, depth: int):
         counts = np.bincount(place, weights=b.train[at], minlength=len(keys))
         some = np.zeros(len(keys), np.int64)
         some[place] = np.arange(len(at))  # any occurrence of the pair: context and parent's chance are the same in all
-        return _send(b.number, depth, model.n[depth], keys, counts, [which[some].astype(np.int32), chance[at[some]]])
+        return _send(b.number, depth, model.n[depth], keys, counts, [which[some].astype(np.int32), chance[at[some]].astype(np.float32)])
 
     return run
 
@@ -262,7 +262,7 @@ def _sum_pairs(depth: int, counts_of: np.ndarray, least: float):
     def run(key, table):
         keys, totals, place, sizes = _sum(table)
         which, chance = np.empty(len(keys), np.int32), np.empty(len(keys))
-        got = [_more(x, ["i4", "f8"]) for x in table.column("more").to_pylist()]
+        got = [_more(x, ["i4", "f4"]) for x in table.column("more").to_pylist()]
         which[place] = np.concatenate([g[0] for g in got])
         chance[place] = np.concatenate([g[1] for g in got])
         seen = totals > 0
@@ -281,6 +281,13 @@ def _sum_pairs(depth: int, counts_of: np.ndarray, least: float):
     return run
 
 
+def _gain_rows(batches):
+    for batch in batches:
+        for used, gains in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = B.unpack(gains, "f8").reshape(len(STRENGTHS), -1).T
+            yield pa.RecordBatch.from_arrays([pa.array(B.unpack(used, "i4")), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["context", "gains"])
+
+
 def _score(model: Model, depth: int):
     schema = pa.schema([
         ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -311,7 +318,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, range
     least = max(LEAST, share * tokens)
     # pairs per block are at most its tokens; packed codes take about two bytes each
     n = [B.ranges(size[0] or 0, range_keys)] + [B.ranges((size[2] or 0) // 4, range_keys)] * depth
-    sent = store(by_block.applyInArrow(_send_words(n[0]), SENT))
+    sent = by_block.applyInArrow(_send_words(n[0]), SENT)
     done = store(sent.groupBy("part").applyInArrow(_sum_words(least), SENT))
     distinct = sum(int(B.unpack(r["counts"], "i8")[0]) for r in done.filter(F.col("block") == _STATS).collect())
     model = Model(tokens, distinct, n, [])
@@ -326,12 +333,13 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, range
         told = answers[0]
         for a in answers[1:]:
             told = told.unionByName(a)
-        sent = store(by_block.cogroup(told.groupBy("block")).applyInArrow(_send_pairs(model, d), SENT))
+        sent = by_block.cogroup(told.groupBy("block")).applyInArrow(_send_pairs(model, d), SENT)
         done = store(sent.groupBy("part").applyInArrow(_sum_pairs(d, level.counts, least), SENT))
         gains = np.zeros((len(STRENGTHS), len(keys)))
-        for r in done.filter(F.col("block") == _STATS).select("keys", "counts").collect():
-            used = B.unpack(r["keys"], "i4")
-            gains[:, used] += B.unpack(r["counts"], "f8").reshape(len(STRENGTHS), -1)
+        stats = done.filter(F.col("block") == _STATS).select("keys", "counts").mapInArrow(_gain_rows, "context int, gains array<double>")
+        stats = stats.groupBy("context").agg(F.array(*[F.sum(F.get("gains", k)) for k in range(len(STRENGTHS))]).alias("gains"))
+        for r in stats.collect():  # one row per context
+            gains[:, r["context"]] = r["gains"]
         if len(keys):
             level.strength = STRENGTHS[gains.argmax(axis=0)]
             level.state = gains.max(axis=0) / np.maximum(level.counts, 1) >= GAIN
