@@ -93,7 +93,13 @@ def _(spark, d):
     return C.enabling_times(l8(spark, d), GR.next_tasks(*graph8(spark, d))).select("caseid", "pos", "task", "enable_ts")
 
 
-@query("c5_replay_times", None)
+@query("c5_replay_times", sql("l8", "with " + GRAPH + """,
+o as (select *, row_number() over (partition by caseid order by start_ts, pos) r from l8),
+en as (select e.caseid, e.pos, e.task, any_value(e.start_ts) s, any_value(e.end_ts) e, coalesce(arg_max(p.end_ts, p.r), any_value(e.end_ts)) n
+  from o e left join (o p join g on g.a=p.task) on p.caseid=e.caseid and p.r<e.r and g.b=e.task group by 1,2,3),
+x as (select caseid, pos, task, epoch_us(s)-epoch_us(n) gap, epoch_us(e)-epoch_us(s) d, epoch_us(e)-epoch_us(n) aft from en)
+select caseid, pos, task, case when gap >= 0 then gap else 0 end wait_us, case when gap < 0 and aft > 0 then aft else d end proc_us,
+  case when gap >= 0 then 0 when aft > 0 then -gap else d end multi_us from x"""))
 def _(spark, d):
     log = C.enabling_times(l8(spark, d), GR.next_tasks(*graph8(spark, d)))
     return S.replay_metrics(log).select("caseid", "pos", "task", "wait_us", "proc_us", "multi_us")
