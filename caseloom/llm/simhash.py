@@ -243,10 +243,12 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
 
 def one_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, one for each id."""
-    found = store(near_duplicates(docs, distance))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    name = fresh(docs, "kept")
-    names = store(kept.distinct().select(F.col("doc_id").alias(name)))
-    out = docs.join(names, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    repeated = kept.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = near_duplicates(docs, distance).groupBy("doc_id").agg(F.max(kept).alias("kept"), F.count("*").alias("rows"))
+    ids = store(ids)
+    name = fresh(docs, "lost")
+    lost = ids.filter("not kept").select(F.col("doc_id").alias(name))
+    # the list grows with the corpus: the same plan, which does not broadcast it, at every size
+    out = docs.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    repeated = ids.filter("kept and rows > 1").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if repeated else out
