@@ -1,8 +1,8 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Each pass hashes every vector to the signs of random projections and sorts the vectors of a label by that bit string.
-Each vector is compared with its next ``window`` neighbours; pairs at or above the cosine threshold are kept, and the
-pairs of all passes are united to components. Near vectors share long prefixes, so some pass puts a pair, or a chain of
+Each vector is compared with its next ``window`` neighbours; of the pairs at or above the cosine threshold a forest
+that links the same vectors is kept, and the forests of all passes are united to components. Near vectors share long prefixes, so some pass puts a pair, or a chain of
 linked vectors between its ends, within a window.
 
 A window bounds the comparisons of one pass, not the links of a vector: within each component found, every pair is
@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.components import components
 from caseloom.llm.common import parts, store
+from caseloom.llm.simhash import forest
 
 PASSES = 16
 WINDOW = 16
 BITS = 64
 #: Vectors of one tile.
-TILE = 1024
+TILE = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def _windows(window: int, threshold: float):
                     second.append(own[near])
                 keys, ids, vecs = np.tile(key, (1, 1)), own[-window:], x[-window:]
                 if first:
-                    p, q = np.concatenate(first), np.concatenate(second)
+                    p, q = forest(np.concatenate(first), np.concatenate(second))
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return run
@@ -130,7 +131,7 @@ def _count_links(threshold: float):
 
 
 def linked_pairs(rows: DataFrame, threshold: float, passes: int = PASSES, window: int = WINDOW, seed: int = 7) -> DataFrame:
-    """Usable rows -> distinct pairs ``(a, b)`` found in some pass."""
+    """Usable rows -> distinct pairs ``(a, b)`` that link what the passes found."""
     spark = rows.sparkSession
     hashed = rows.select("vec_id", "label", "size", "v").mapInArrow(
         _hashes(passes, seed), "vec_id long, label long, size int, v array<double>, hashes array<binary>"
