@@ -1,16 +1,17 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Tokens are lower-cased (A-Z) words and one end per document; the end also stands before the first word. The root
-is the add-one unigram distribution. A context of one to ``depth`` tokens is a candidate if it makes up at least ``SHARE`` of the
-training tokens (and occurs ``LEAST`` times), so a level has at most 1 / SHARE candidates, whatever the corpus. A
-candidate becomes a state if its next-token distribution diverges from its parent's: the mean log ratio of its
+is the add-one unigram distribution. A context of one to ``depth`` tokens is a candidate if it occurs ``LEAST`` times in the
+training part, whatever the size of the corpus (an optional ``share`` of the training tokens raises that). A candidate becomes a state if its next-token distribution diverges from its parent's: the mean log ratio of its
 smoothed, leave-one-out predictions to the parent's must be ``GAIN`` nats or more. Smoothing adds
 ``strength`` pseudo-counts of the parent's distribution; each state takes the strength that predicts best. A token is
 scored by the longest suffix of what stands before it that is a state.
 
 Every level counts all (context, next token) pairs of the corpus. Counting goes by blocks (see ``blocks``): documents become word
-codes in one pass, and each level sends one packed list of distinct pairs per block and key range. Words and pairs are
-known by 64-bit hashes.
+codes in one pass, and each level sends one packed list of distinct pairs per block and key range. Words, contexts and pairs are
+known by 64-bit hashes; a pair's first 16 bits are its context's, so a range holds all pairs of its contexts and decides alone
+which of them are states. It answers each pair with its count and its context's strength. A pair is the next level's
+context, so a block reads the counts of its contexts from the last level's answers, and no list of contexts is gathered anywhere.
 
 Defined results: a null or empty text is one end token. A null ``doc_id`` belongs to the training part. Repeated rows count and are
 scored once each. Without training rows all counts are 0. An empty table gives no rows. Only ``doc_id`` and
@@ -30,8 +31,8 @@ from caseloom.llm import blocks as B
 from caseloom.llm.common import store
 
 DEPTH = 3
-#: Least share of the training tokens, and least number, of a context.
-SHARE, LEAST = 2e-5, 8
+#: Least number of a context.
+LEAST = 8
 #: Least mean gain over the parent, in nats.
 GAIN = 0.02
 STRENGTHS = np.array([4.0, 32.0, 256.0])
@@ -44,7 +45,9 @@ _CODED = pa.schema([
     ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("held", pa.binary()), ("codes", pa.binary()),
     ("words", pa.binary()), ("n_keys", pa.int64()), ("train_tokens", pa.int64()),
 ])
-_STATS, _FREQUENT = -1, -2
+_STATS = -1
+#: Bits of a pair's key that are its context's; ranges are cut by these only.
+_OF_CONTEXT = np.uint64(0xFFFF << 48)
 
 
 class _Codes(dict):
@@ -109,14 +112,27 @@ def _extend(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return _mix(context * np.uint64(0xD6E8FEB86659FD93) + token + np.uint64(0x632BE59BD9B4E019))
 
 
+def _pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return (context & _OF_CONTEXT) | (_extend(context, token) & ~_OF_CONTEXT)
+
+
 class Level:
-    """What the driver knows of one depth: candidate contexts (sorted hashes), their counts, and which are states."""
+    """What a key range knows of one depth: its contexts (sorted hashes), their counts, and which are states."""
 
     def __init__(self, contexts: np.ndarray, counts: np.ndarray):
         order = np.argsort(contexts)
         self.contexts, self.counts = contexts[order], counts[order].astype(float)
-        self.state = np.zeros(len(contexts), bool)
-        self.strength = np.full(len(contexts), STRENGTHS[0])
+        self.strength = np.zeros(len(contexts), np.uint8)
+
+    def decide(self, which: np.ndarray, total: np.ndarray, parent: np.ndarray) -> None:
+        """``strength`` from all seen pairs: one more than the place in STRENGTHS of a state's, 0 for the others."""
+        own = self.counts[which]
+        gains = np.array([
+            np.bincount(which, weights=total * np.log((total - 1 + s * parent) / (own - 1 + s) / parent), minlength=len(self.contexts))
+            for s in STRENGTHS
+        ])
+        state = gains.max(axis=0) / np.maximum(self.counts, 1) >= GAIN
+        self.strength = np.where(state, gains.argmax(axis=0) + 1, 0).astype(np.uint8)
 
 
 class Block:
@@ -147,43 +163,52 @@ class Block:
             h = _extend(h, before[j : j + n])
         return h, place >= depth - 1
 
-    def pairs(self, depth: int, level: Level):
-        """Tokens whose context is a candidate: (places, candidate, sorted distinct pairs, their place among them)."""
+    def first_contexts(self, count: np.ndarray) -> np.ndarray:
+        """Of each place, the corpus count of the token before it."""
+        return self.next_contexts(count, count[self.sizes[0] - 1])
+
+    def next_contexts(self, total: np.ndarray, at_first: int = 0) -> np.ndarray:
+        """Of each place, the count of the context that the place before makes with its own."""
+        own = np.concatenate([[0], total[:-1]])
+        own[self.first] = at_first
+        return own
+
+    def pairs(self, depth: int, own: np.ndarray, least: float):
+        """Tokens whose context is a candidate: (places, contexts, sorted distinct pairs, their place among them)."""
         h, ok = self.contexts(depth)
-        if not len(level.contexts):
-            empty = np.empty(0, np.int64)
-            return empty, empty, np.empty(0, np.uint64), empty
-        which = np.minimum(np.searchsorted(level.contexts, h), len(level.contexts) - 1)
-        at = np.flatnonzero(ok & (level.contexts[which] == h))
-        keys, place = np.unique(_extend(h[at], self.hash[at]), return_inverse=True)
-        return at, which[at], keys, place
-
-
-def _answers(answers: pa.Table, level: int, keys: np.ndarray, n: int) -> np.ndarray:
-    """Corpus counts of a block's sorted keys."""
-    out = np.zeros(len(keys), np.int64)
+        at = np.flatnonzero(ok & (own >= least))
+        keys, place = np.unique(_pair_keys(h[at], self.hash[at]), return_inverse=True)
+        return at, h[at], keys, place
+
+
+def _answers(answers: pa.Table, level: int, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts of a block's sorted keys, and the strengths of their contexts."""
+    out, strength = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint8)
     cuts = B.range_cuts(keys, n)
     mine = answers.filter(pa.compute.equal(answers.column("level"), level))
-    for p, data in zip(mine.column("part").to_pylist(), mine.column("counts").to_pylist()):
+    for p, data, more in zip(*(mine.column(c).to_pylist() for c in ("part", "counts", "more"))):
         out[cuts[p] : cuts[p + 1]] = B.unpack(data, "i8")
-    return out
+        if more is not None:
+            strength[cuts[p] : cuts[p + 1]] = B.unpack(more, "u1")
+    return out, strength
 
 
-def _send(number: int, level: int, n: int, keys: np.ndarray, counts: np.ndarray, more: list[np.ndarray] = ()) -> pa.Table:
+def _send(number: int, level: int, n: int, keys: np.ndarray, counts: np.ndarray, more=None) -> pa.Table:
+    """``more(a, b)``: what goes with the keys from place a to b."""
     cuts = B.range_cuts(keys, n)
     rows = []
     for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if b > a:
-            extra = b"".join(len(x := B.pack(m[a:b])).to_bytes(8, "little") + x for m in more)
+            extra = b"".join(len(x).to_bytes(8, "little") + x for x in (more(a, b) if more else ()))
             rows.append((number, p, level, B.pack_sorted(keys[a:b]), B.pack(counts[a:b].astype(np.int64)), extra))
     return B.batch_of(_SENT, rows)
 
 
-def _more(data: bytes, kinds: list[str]) -> list[np.ndarray]:
+def _more(data: bytes) -> list[bytes]:
     out, at = [], 0
-    for kind in kinds:
+    while at < len(data):
         n = int.from_bytes(data[at : at + 8], "little")
-        out.append(B.unpack(data[at + 8 : at + 8 + n], kind))
+        out.append(data[at + 8 : at + 8 + n])
         at += 8 + n
     return out
 
@@ -205,42 +230,40 @@ def _sum(table: pa.Table):
     return keys, totals, place, [len(s) for s in sent]
 
 
-def _reply(table: pa.Table, part: int, level: int, totals, place, sizes, extra: list[tuple]) -> pa.Table:
-    told = np.split(totals[place], np.cumsum(sizes)[:-1])
-    rows = [(b, part, level, None, B.pack(t), None) for b, t in zip(table.column("block").to_pylist(), told)]
-    return B.batch_of(_SENT, rows + extra)
+def _reply(table: pa.Table, part: int, level: int, totals, place, sizes, strengths=None, extra: list[tuple] = ()) -> pa.Table:
+    cuts = np.cumsum(sizes)[:-1]
+    told = [B.pack(t) for t in np.split(totals[place], cuts)]
+    more = [None] * len(told) if strengths is None else [B.pack(t) for t in np.split(strengths[place], cuts)]
+    rows = [(b, part, level, None, t, m) for b, t, m in zip(table.column("block").to_pylist(), told, more)]
+    return B.batch_of(_SENT, rows + list(extra))
 
 
-def _sum_words(least: float):
-    def run(key, table):
-        keys, totals, place, sizes = _sum(table)
-        often = totals >= least
-        extra = [
-            (_STATS, key[0].as_py(), 0, None, B.pack(np.array([(totals > 0).sum()], np.int64)), None),
-            (_FREQUENT, key[0].as_py(), 0, B.pack(keys[often]), B.pack(totals[often]), None),
-        ]
-        return _reply(table, key[0].as_py(), 0, totals, place, sizes, extra)
-
-    return run
+def _sum_words(key, table):
+    keys, totals, place, sizes = _sum(table)
+    distinct = (_STATS, key[0].as_py(), 0, None, B.pack(np.array([(totals > 0).sum()], np.int64)), None)
+    return _reply(table, key[0].as_py(), 0, totals, place, sizes, extra=[distinct])
 
 
 class Model:
-    def __init__(self, tokens: int, distinct: int, n: list[int], levels: list[Level]):
-        self.tokens, self.distinct, self.n, self.levels = tokens, distinct, n, levels
+    def __init__(self, tokens: int, distinct: int, n: list[int], least: float):
+        self.tokens, self.distinct, self.n, self.least = tokens, distinct, n, least
 
     def chances(self, b: Block, answers: pa.Table, depth: int):
-        """(corpus count of each token, its chance after the longest state of at most ``depth`` tokens)."""
-        count = _answers(answers, 0, b.words, self.n[0])[b.codes]
+        """(corpus count of each token, its chance after the longest state of at most ``depth`` tokens, counts of the contexts of one token more)."""
+        count = _answers(answers, 0, b.words, self.n[0])[0][b.codes]
         chance = (count + 1) / (self.tokens + self.distinct + 1)
+        own = b.first_contexts(count)
         for d in range(1, depth + 1):
-            level = self.levels[d - 1]
-            at, which, keys, place = b.pairs(d, level)
-            total = _answers(answers, d, keys, self.n[d])[place]
-            on = level.state[which]
-            at, which, total = at[on], which[on], total[on]
-            strength = level.strength[which]
-            chance[at] = (total + strength * chance[at]) / (level.counts[which] + strength)
-        return count, chance
+            at, _, keys, place = b.pairs(d, own, self.least)
+            told, strengths = _answers(answers, d, keys, self.n[d])
+            total = np.zeros(len(b.codes), np.int64)
+            total[at] = told[place]
+            which = strengths[place]
+            at, which = at[which > 0], which[which > 0]
+            strength = STRENGTHS[which - 1]
+            chance[at] = (total[at] + strength * chance[at]) / (own[at] + strength)
+            own = b.next_contexts(total)
+        return count, chance, own
 
 
 def _send_pairs(model: Model, depth: int):
@@ -248,46 +271,42 @@ def _send_pairs(model: Model, depth: int):
         if not table.num_rows:
             return B.batch_of(_SENT, [])
         b = Block(table)
-        _, chance = model.chances(b, answers, depth - 1)
-        at, which, keys, place = b.pairs(depth, model.levels[depth - 1])
+        _, chance, own = model.chances(b, answers, depth - 1)
+        at, context, keys, place = b.pairs(depth, own, model.least)
         counts = np.bincount(place, weights=b.train[at], minlength=len(keys))
         some = np.zeros(len(keys), np.int64)
         some[place] = np.arange(len(at))  # any occurrence of the pair: context and parent's chance are the same in all
-        return _send(b.number, depth, model.n[depth], keys, counts, [which[some].astype(np.int32), chance[at[some]].astype(np.float32)])
+        context, own, chance = context[some], own[at[some]], chance[at[some]].astype(np.float32)
+
+        def more(a, b):
+            contexts, first, which = np.unique(context[a:b], return_index=True, return_inverse=True)
+            return [B.pack(which.astype(np.int32)), B.pack(chance[a:b]), B.pack_sorted(contexts), B.pack(own[a:b][first])]
+
+        return _send(b.number, depth, model.n[depth], keys, counts, more)
 
     return run
 
 
-def _sum_pairs(depth: int, counts_of: np.ndarray, least: float):
+def _sum_pairs(depth: int):
     def run(key, table):
         keys, totals, place, sizes = _sum(table)
-        which, chance = np.empty(len(keys), np.int32), np.empty(len(keys))
-        got = [_more(x, ["i4", "f4"]) for x in table.column("more").to_pylist()]
-        which[place] = np.concatenate([g[0] for g in got])
-        chance[place] = np.concatenate([g[1] for g in got])
+        context, own, chance = np.empty(len(keys), np.uint64), np.empty(len(keys), np.int64), np.empty(len(keys))
+        at = 0
+        for data, n in zip(table.column("more").to_pylist(), sizes):
+            which, parent, contexts, counts = _more(data)
+            which, mine = B.unpack(which, "i4"), place[at : at + n]
+            context[mine], own[mine] = B.unpack_sorted(contexts, "u8")[which], B.unpack(counts, "i8")[which]
+            chance[mine] = B.unpack(parent, "f4")
+            at += n
+        used, first, which = np.unique(context, return_index=True, return_inverse=True)
+        level = Level(used, own[first])
         seen = totals > 0
-        c, w, p, own = totals[seen].astype(float), which[seen], chance[seen], counts_of[which[seen]]
-        used, group = np.unique(w, return_inverse=True)
-        gains = [
-            np.bincount(group, weights=c * np.log((c - 1 + s * p) / (own - 1 + s) / p), minlength=len(used)) for s in STRENGTHS
-        ]
-        often = totals >= least
-        extra = [
-            (_STATS, key[0].as_py(), depth, B.pack(used.astype(np.int32)), B.pack(np.concatenate(gains) if gains else np.empty(0)), None),
-            (_FREQUENT, key[0].as_py(), depth, B.pack(keys[often]), B.pack(totals[often]), None),
-        ]
-        return _reply(table, key[0].as_py(), depth, totals, place, sizes, extra)
+        level.decide(which[seen], totals[seen].astype(float), chance[seen])
+        return _reply(table, key[0].as_py(), depth, totals, place, sizes, level.strength[which])
 
     return run
 
 
-def _gain_rows(batches):
-    for batch in batches:
-        for used, gains in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows = B.unpack(gains, "f8").reshape(len(STRENGTHS), -1).T
-            yield pa.RecordBatch.from_arrays([pa.array(B.unpack(used, "i4")), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["context", "gains"])
-
-
 def _score(model: Model, depth: int):
     schema = pa.schema([
         ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -298,7 +317,7 @@ def _score(model: Model, depth: int):
         if not table.num_rows:
             return B.batch_of(schema, [])
         b = Block(table)
-        count, chance = model.chances(b, answers, depth)
+        count, chance, _ = model.chances(b, answers, depth)
         sums = [
             np.add.reduceat(x, b.first)
             for x in ((count > 0).astype(np.int64), np.log10((count + 1) / (model.tokens + model.distinct + 1)), np.log10(chance))
@@ -309,7 +328,7 @@ def _score(model: Model, depth: int):
     return run
 
 
-def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, range_keys: int = B.RANGE_KEYS) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, range_keys: int = B.RANGE_KEYS) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per row: token counts, unigram score and suffix-tree score (log10)."""
     coded = B.bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_code, CODED))
     by_block = coded.groupBy("block")
@@ -318,34 +337,14 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, range
     least = max(LEAST, share * tokens)
     # pairs per block are at most its tokens; packed codes take about two bytes each
     n = [B.ranges(size[0] or 0, range_keys)] + [B.ranges((size[2] or 0) // 4, range_keys)] * depth
+    n[1:] = [min(x, 1 << 16) for x in n[1:]]  # a context's pairs stay together
     sent = by_block.applyInArrow(_send_words(n[0]), SENT)
-    done = store(sent.groupBy("part").applyInArrow(_sum_words(least), SENT))
-    distinct = sum(int(B.unpack(r["counts"], "i8")[0]) for r in done.filter(F.col("block") == _STATS).collect())
-    model = Model(tokens, distinct, n, [])
-    answers = [done.filter("block >= 0")]
+    done = store(sent.groupBy("part").applyInArrow(_sum_words, SENT))
+    distinct = sum(int(B.unpack(r["counts"], "i8")[0]) for r in done.filter(F.col("block") == _STATS).collect())  # one row per range
+    model = Model(tokens, distinct, n, least)
+    told = done.filter("block >= 0")
     for d in range(1, depth + 1):
-        # at most 1 / share contexts
-        found = done.filter(F.col("block") == _FREQUENT).select("keys", "counts").collect()
-        keys = np.concatenate([np.empty(0, np.uint64)] + [B.unpack(r["keys"], "u8") for r in found])
-        counts = np.concatenate([np.empty(0, np.int64)] + [B.unpack(r["counts"], "i8") for r in found])
-        level = Level(keys, counts)
-        model.levels.append(level)
-        told = answers[0]
-        for a in answers[1:]:
-            told = told.unionByName(a)
         sent = by_block.cogroup(told.groupBy("block")).applyInArrow(_send_pairs(model, d), SENT)
-        done = store(sent.groupBy("part").applyInArrow(_sum_pairs(d, level.counts, least), SENT))
-        gains = np.zeros((len(STRENGTHS), len(keys)))
-        stats = done.filter(F.col("block") == _STATS).select("keys", "counts").mapInArrow(_gain_rows, "context int, gains array<double>")
-        stats = stats.groupBy("context").agg(F.array(*[F.sum(F.get("gains", k)) for k in range(len(STRENGTHS))]).alias("gains"))
-        for r in stats.collect():  # one row per context
-            gains[:, r["context"]] = r["gains"]
-        if len(keys):
-            level.strength = STRENGTHS[gains.argmax(axis=0)]
-            level.state = gains.max(axis=0) / np.maximum(level.counts, 1) >= GAIN
-        answers.append(done.filter("block >= 0"))
-    told = answers[0]
-    for a in answers[1:]:
-        told = told.unionByName(a)
+        told = told.unionByName(store(sent.groupBy("part").applyInArrow(_sum_pairs(d), SENT)))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by_block.cogroup(told.groupBy("block")).applyInArrow(_score(model, depth), out)

@@ -440,3 +440,19 @@ def test_stages_carry_odd_columns(spark, tmp_path):
         out.count()
         empty = stage(spark, table.limit(0), d)
         assert empty.count() == 0
+
+
+# ---- nothing is left out
+
+
+def test_suffix_tree_keeps_contexts_of_a_large_corpus(spark):
+    """A context of 10 occurrences counts in a corpus of 600,000 tokens as in a small one."""
+    r = random.Random(6)
+    rare = [(k, "zeta eta theta iota") for k in range(12)]
+    many = [(100 + k, " ".join(f"v{r.randrange(3000)}" for _ in range(6000))) for k in range(117)]
+    train = [k for k, _ in rare if not suffix_lm.is_held_out(k)]
+    assert len(train) >= suffix_lm.LEAST
+    for rows in (rare, rare + many):
+        got = {x["doc_id"]: x for x in suffix_lm.score_texts(docs(spark, rows)).collect()}
+        assert (got[0]["train_tokens"] > 500_000) == (rows is not rare)
+        assert got[train[0]]["score"] > -2.8 if rows is rare else got[train[0]]["score"] > got[train[0]]["base_score"] / 2
