@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.components import components
@@ -53,13 +53,15 @@ def fingerprint(text: str | None, k: int = 4) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], "<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+        found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], "<u8").view("<i8")
+        rest = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(found)], names=[*rest, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp)``; fp holds the 64 bits as a signed number."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, fp)``, with ``key`` between them if given; fp holds the 64 bits as a signed number."""
+    keys, kind = ([], "") if key is None else ([key.alias("key")], "key long, ")
+    return docs.select(F.col("doc_id").cast("long"), "text", *keys).mapInArrow(_fingerprints, f"doc_id long, {kind}fp long")
 
 
 def _parity_table() -> np.ndarray:
@@ -226,29 +228,39 @@ def near_pairs(fps: DataFrame, distance: int = 4, chunk: int = CHUNK) -> DataFra
     return rows.mapInArrow(compare(distance), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fingerprint, component_id)``, one row per row."""
-    found = store(fingerprints(docs))
-    groups = store(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def _with_least(found: DataFrame, value: Column, distance: int) -> DataFrame:
+    """``found(..., fp)`` with ``least``, the smallest ``value`` of each row's component."""
+    groups = store(found.groupBy("fp").agg(F.min(value).alias("least")))
     links = store(near_pairs(groups, distance))
     nodes = links.select(F.col("a").alias("id")).union(links.select("b"))
     roots = components(nodes, links)
     member = groups.join(roots, groups["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     member = store(member)
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = store(member.join(least, "root").select("fp", "component_id"))
-    out = found.join(member, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = member.groupBy("root").agg(F.min("least").alias("of_all"))
+    member = store(member.join(least, "root").select("fp", F.col("of_all").alias("least")))
+    return found.join(member, "fp")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, fingerprint, component_id)``, one row per row."""
+    out = _with_least(store(fingerprints(docs)), F.col("doc_id"), distance)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, one for each id."""
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = near_duplicates(docs, distance).groupBy("doc_id").agg(F.max(kept).alias("kept"), F.count("*").alias("rows"))
-    ids = store(ids)
-    name = fresh(docs, "lost")
-    lost = ids.filter("not kept").select(F.col("doc_id").alias(name))
+    """One row of each component: that of the smallest id, rows without an id last; among equal ids that of the smallest row hash.
+
+    Rows are told apart by id and a hash of all columns (maps aside), so ids may repeat or be null. Equal rows are copies: one stays.
+    """
+    key = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    value = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key")
+    rows = _with_least(store(fingerprints(docs, key)), value, distance)
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
+    rows = store(rows.groupBy("doc_id", "key").agg(F.max(kept).alias("kept"), F.count("*").alias("rows")))
+    name, hashed, own = fresh(docs, "lost"), fresh(docs, "lost_key"), fresh(docs, "row_key")
+    lost = rows.filter("not kept").select(F.col("doc_id").alias(name), F.col("key").alias(hashed))
     # the list grows with the corpus: the same plan, which does not broadcast it, at every size
-    out = docs.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
-    repeated = ids.filter("kept and rows > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(own) == F.col(hashed))
+    out = docs.withColumn(own, key).join(lost.hint("merge"), same, "left_anti")
+    repeated = rows.filter("kept and rows > 1").limit(1).count()
+    return (out.dropDuplicates(["doc_id", own]) if repeated else out).drop(own)

@@ -4,14 +4,14 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 ``run`` writes the result of each as Parquet in the shared folder and reads it again for the next.
 
 * quality: documents that the classifier rejects (score below 0.3) go. Its field is fitted on the labels of ``sf_dir``.
-* near_duplicates: of each SimHash component the document with the smallest id stays.
+* near_duplicates: of each SimHash component one row stays, that of the smallest id (rows without an id last).
 * substrings: words of passages (13 words or more) that a document with a smaller id also has are cut out; a document
   of which nothing is left goes.
 * decontamination: documents that contain a window of a benchmark item go.
 * packing: what is left becomes sequences.
 
 Defined results: documents without text pass the first stage, are near duplicates of each other, and are packed as
-an end id. Rows without an id are one document to the second stage unless a row with an id is near. An empty
+an end id. Rows that share an id, or have none, are documents of their own to the second stage. An empty
 table gives no rows. Columns beyond those of documents are carried along.
 """
 

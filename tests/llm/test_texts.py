@@ -255,3 +255,20 @@ def test_forest_keeps_components():
     b = np.array([6, 7, 8, 2, 1], np.uint64)
     x, y = simhash.forest(a, b)
     assert Counter(x.tolist()) == Counter({5: 3, 1: 2}) and set(y.tolist()) == {6, 7, 8, 2, 9}
+
+
+def test_one_of_each_drops_near_duplicates_only(spark):
+    """Rows without an id, and rows that share one, are documents of their own."""
+    own = [" ".join(words(500 + k, 60)) for k in range(8)]
+    near = own[0].split()
+    near[30] = "changed"
+    rows = [(None, own[0]), (None, own[1]), (None, own[2]), (None, own[2]), (5, own[3]), (5, own[4]), (6, own[4]), (7, own[5]), (None, own[5]), (8, own[6]), (8, own[6])]
+    rows += [(9, own[7]), (4, own[7]), (9, own[1] + " x")] + ([(None, " ".join(near))] if (plain_fingerprint(own[0]) ^ plain_fingerprint(" ".join(near))).bit_count() <= 4 else [])
+    fps = [plain_fingerprint(t) for _, t in rows]
+    groups = plain_components(fps, list(range(len(rows))), 4)
+    got = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(docs(spark, rows)).collect()]
+    assert len(got) == len(set(groups))
+    for g in set(groups):
+        mine = [r for r, c in zip(rows, groups) if c == g]
+        kept = [r for r in got if r in mine]
+        assert len(kept) == 1 and kept[0][0] == min((d for d, _ in mine if d is not None), default=None)
