@@ -456,3 +456,21 @@ def test_suffix_tree_keeps_contexts_of_a_large_corpus(spark):
         got = {x["doc_id"]: x for x in suffix_lm.score_texts(docs(spark, rows)).collect()}
         assert (got[0]["train_tokens"] > 500_000) == (rows is not rare)
         assert got[train[0]]["score"] > -2.8 if rows is rare else got[train[0]]["score"] > got[train[0]]["base_score"] / 2
+
+
+def test_vectors_of_a_large_label(spark):
+    """Lone pairs just above the threshold, against all pairs by brute force; a small window stands for a larger label."""
+    r = np.random.default_rng(11)
+    x = r.standard_normal((12_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.standard_normal((400, 32))
+    side -= (side * x[:400]).sum(axis=1, keepdims=True) * x[:400]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[400:800] = 0.932 * x[:400] + math.sqrt(1 - 0.932**2) * side
+    want = np.concatenate([(x[a : a + 2000] @ x.T >= 0.93).sum(axis=1) - 1 for a in range(0, len(x), 2000)])
+    assert want.sum() >= 800
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {g["vec_id"]: g["n_links"] for g in vectors.near_vectors(df, window=4).collect()}
+    missed = sum(int(want[k]) - got[k] for k in range(len(x))) // 2
+    assert missed == 0
+    assert vectors.passes_for(10_000_000, 0.93) > vectors.passes_for(100_000, 0.93) > vectors.PASSES
