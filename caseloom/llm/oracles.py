@@ -82,3 +82,64 @@ select doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first
   coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0)::double score
 from d left join b using (r) left join a using (r)
 """
+
+OP11 = """
+with e as (select row_number() over () r, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end label,
+    list_transform(embedding, lambda x: x::double) d from embeddings where embedding is not null),
+n as (select r, vec_id, label, list_transform(d, lambda x: floor(256 * x)) v from e
+  where label is not null and len(list_filter(d, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.r, b.r r2, a.vec_id anchor_id, b.r <> a.r and a.label = b.label same, a.label <> b.label other, b.vec_id id,
+    list_dot_product(a.v, b.v)::bigint score
+  from n a join n b on a.vec_id % 100 = 0 and len(a.v) = len(b.v)),
+pos as (select * from p where same qualify row_number() over (partition by r order by score desc, id) <= 5),
+neg as (select pos.anchor_id, pos.id positive_id, p.id negative_id, pos.score positive_score, p.score negative_score,
+    row_number() over (partition by pos.r, pos.r2 order by p.score desc, p.id)::int rank
+  from pos join p on p.r = pos.r and p.other and 80 * pos.score <= 100 * p.score and 100 * p.score <= 100 * pos.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from neg where rank <= 5
+"""
+
+# The grammar's states: 0 nothing, 1 s, 2 a user turn is open, 3 all turns are answered. ``tops`` holds the least (cost, audit, state,
+# text) of each state; a row, then an insertion before the next one, leads to the next tops. Two insertions in a row are never cheapest.
+_MOVES = "[" + ", ".join(f"{{'f': {f}, 'y': '{y}', 'n': '{n}', 'g': {g}}}" for f, y, n, g in [
+    (0, "s", "system", 1), (0, "u", "user", 2), (1, "u", "user", 2), (3, "u", "user", 2), (2, "a", "assistant", 3)]) + "]"
+_LEAST = "list_filter(list_transform([0, 1, 2, 3], lambda s: list_sort(list_filter({}, lambda x: x.s = s))[1]), lambda x: x is not null)"
+_INSERT = _LEAST.format(
+    f"""list_concat(tops, flatten(list_transform(tops, lambda o: list_transform(list_filter({_MOVES}, lambda m: m.f = o.s and m.y <> 's'),
+      lambda m: {{'c': o.c + 5, 'a': o.a || 'I', 's': m.g, 't': list_append(o.t, m.n || ':')}}))))"""
+)
+_ROW = _LEAST.format(
+    f"""flatten(list_transform(tops, lambda o: list_concat([{{'c': o.c + 2, 'a': o.a || 'D', 's': o.s, 't': o.t}}],
+      list_transform(list_filter({_MOVES}, lambda m: m.f = o.s and pen is not null and m.y = sym),
+        lambda m: {{'c': o.c + pen, 'a': o.a || 'K', 's': m.g, 't': list_append(o.t, role || ':' || text)}}),
+      list_transform(list_filter({_MOVES}, lambda m: m.f = o.s and pen is not null and m.y <> 's'),
+        lambda m: {{'c': o.c + pen + 1, 'a': o.a || 'R', 's': m.g, 't': list_append(o.t, m.n || ':' || text)}}))))"""
+)
+OP13 = rf"""
+with recursive k as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+    list_transform(string_split_regex(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::ubigint) b from conversations),
+h as (select *, xor(list_reduce(list_concat([4294967295::ubigint], b), lambda c, d:
+    list_reduce(list_concat([xor(c, d)], [0::ubigint for z in range(8)]), lambda x, y: xor(x >> 1, 3988292384::ubigint * (x & 1)))), 4294967295::ubigint) % 20 kind from k),
+d as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from h, unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) t(n)),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i, coalesce(nullif(left(role, 1), ''), ' ') sym,
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) fin from d),
+f as (select *, case when fin = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate' when fin not in ('.', '!', '?') then 'truncated' else '' end fault,
+    lag(sym) over (partition by conv_id order by i) prev from o),
+r as (select *, case fault when '' then 0 when 'truncated' then 5 end pen from f),
+run as (
+  select conv_id, 0::bigint i, {_INSERT} tops from (select distinct conv_id, [{{'c': 0, 'a': '', 's': 0, 't': []::varchar[]}}] tops from conversations)
+  union all
+  select conv_id, i, {_INSERT} from (
+    select conv_id, i, {_ROW} tops from (
+      select r.*, run.tops from run join r on r.conv_id is not distinct from run.conv_id and r.i = run.i + 1))),
+done as (select conv_id, list_sort(list_filter(arg_max(tops, i), lambda x: x.s in (0, 3)))[1] b from run group by conv_id),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint gaps, count(*) filter (fault = 'blank') blank,
+    count(*) filter (fault = 'duplicate') duplicate, count(*) filter (fault = 'truncated') truncated,
+    count(*) filter (prev || sym not in ('su', 'ua', 'au')) illegal from r group by conv_id)
+select done.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+  coalesce(illegal, 0) illegal, b.c::bigint as cost, b.a audit, sha256(array_to_string(b.t, chr(10))) repaired_sha256
+from done left join n on n.conv_id is not distinct from done.conv_id
+"""

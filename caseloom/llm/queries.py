@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseloom.llm import crf, oracles, packing, simhash, warc
-from caseloom.llm.common import table
+from caseloom.llm.common import store, table
+from caseloom.llm.conversations import damage, repair_conversations
 from caseloom.llm.decontaminate import find_contamination
+from caseloom.llm.languages import identify, learn_profiles
 from caseloom.llm.licenses import PHRASES, TEMPLATES, scan_licenses
+from caseloom.llm.negatives import hard_negatives
 from caseloom.llm.registry import query
 from caseloom.llm.sharding import shard_documents
 from caseloom.llm.substrings import remove_repeats
@@ -87,3 +90,21 @@ def op10_quality(spark, d):
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op11_negatives", oracles.OP11)
+def op11_negatives(spark, d):
+    label = F.col("label").cast("long")
+    return hard_negatives(table(spark, d, "embeddings"), F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+@query("op12_languages")
+def op12_languages(spark, d):
+    docs, held = table(spark, d, "documents"), crf.held_out(F.col("doc_id"), 4, 2)
+    named = identify(docs, store(learn_profiles(docs, ~held)), ["doc_id"])
+    return named.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op13_conversations", oracles.OP13)
+def op13_conversations(spark, d):
+    return repair_conversations(damage(table(spark, d, "conversations")))
