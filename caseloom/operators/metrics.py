@@ -14,6 +14,7 @@ from caseloom.functions import times as T
 from caseloom.functions.distance import damerau_levenshtein, pad, timed_distance
 from caseloom.model import ORDER
 from caseloom.operators.flow import PARALLEL, footprint
+from caseloom.operators.matching import match_on_line
 from caseloom.operators.profile import task_names
 from caseloom.operators.shape import case_spans, scale_by_task
 from caseloom.session import cut, store
@@ -117,30 +118,11 @@ def mae_to_all(log_spans: DataFrame, sim_spans: DataFrame) -> DataFrame:
 
 
 def mae_matching(log_spans: DataFrame, sim_spans: DataFrame) -> DataFrame:
-    """``(run_num, sim_val)``: mean cycle-time difference (s) of the best one-to-one matching, exactly.
-
-    Some best matching keeps both sides in order, so it is a shortest path over the sorted cycle times: the i-th
-    value of the shorter side takes one of the ``n - m + 1`` places from i on. One run is one group, one number
-    per case; its work is the product of the shorter side and the difference of the sizes.
-    """
-    a = cycle_times(log_spans).select("cycle", F.lit(0).alias("side"))
-    b = cycle_times(sim_spans).select("run_num", "cycle", F.lit(1).alias("side"))
-    runs = b.select("run_num").distinct()
-    both = b.unionByName(a.crossJoin(F.broadcast(runs)).select("run_num", "cycle", "side"))  # runs are few; each meets the whole log
-    kind = dict(b.dtypes)["run_num"]
-
-    def match(key, pdf):
-        x, y = (np.sort(pdf["cycle"].to_numpy()[pdf["side"].to_numpy() == k].astype(np.int64)) for k in (0, 1))
-        short, long = (x, y) if len(x) <= len(y) else (y, x)
-        if not len(short):
-            return pd.DataFrame({"run_num": [], "sim_val": []}).astype({"sim_val": float})
-        free = len(long) - len(short)
-        cost = np.zeros(free + 1, np.int64)
-        for i, v in enumerate(short):
-            cost = np.minimum.accumulate(cost) + np.abs(long[i : i + free + 1] - v)
-        return pd.DataFrame({"run_num": [key[0]], "sim_val": [int(cost.min()) / len(short) / 1e6]})
-
-    return both.groupBy("run_num").applyInPandas(match, f"run_num {kind}, sim_val double")
+    """``(run_num, sim_val)``: mean cycle-time difference (s) of the best one-to-one matching, exactly (see ``matching``)."""
+    one = cycle_times(log_spans).select(F.col("cycle").alias("v"))
+    many = cycle_times(sim_spans).select(F.col("run_num").alias("run"), F.col("cycle").alias("v"))
+    found = match_on_line(one, many)
+    return found.select(F.col("run").alias("run_num"), (F.col("cost").cast("double") / F.col("pairs") / 1e6).alias("sim_val"))
 
 
 # ---- sequence distances
