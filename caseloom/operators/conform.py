@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import ordered as O
 from caseloom.model import END, LIFE_COLS, ORDER, START, SYSTEM_USER
-from caseloom.operators.profile import task_names
+from caseloom.operators.nearest import nearest
 from caseloom.operators.shape import add_start_end
 from caseloom.session import cut
 
@@ -78,24 +78,19 @@ def replace_nonconformant(log: DataFrame, conf: DataFrame) -> DataFrame:
     """Replace each non-conformant case by its nearest conformant one: the smallest number of edits, the
     case that starts first on ties (then the smallest case id). Its id is the old id with ``R``.
 
-    Distances are made between distinct sequences, not between cases.
+    Distances are made between distinct sequences, not between cases, and only where pieces of them agree (see ``nearest``).
     """
-    from caseloom.operators import metrics as M
-
-    names = task_names(log)
-    prof = O.gather(log, CASE, ORDER, {"seq": "task"}).withColumn("codes", M._codes("seq", names))
+    prof = O.gather(log, CASE, ORDER, {"seq": "task"})
     starts = log.groupBy("caseid").agg(F.min("start_ts").alias("start"))
-    prof = cut(prof.select("caseid", "codes").join(conf, CASE).join(starts, CASE))
+    prof = cut(prof.select("caseid", "seq").join(conf, CASE).join(starts, CASE))
     bad = prof.filter(~F.col("conformant"))
-    va = M.variant_profiles(bad)
-    # the name of a good variant sorts by the start of its first case
-    first = prof.filter("conformant").groupBy("codes").agg(F.min(F.struct("start", "caseid")).alias("f"))
-    at = F.unix_micros(F.col("f.start").cast("timestamp")) + F.lit(1 << 62)
-    vb = first.select("codes", F.concat_ws("|", F.lpad(at.cast("string"), 20, "0"), "f.caseid").alias("caseid"), F.lit(1).cast("long").alias("cases"))
-    near = M.distance_to_all(va, vb, names, "edits").select(F.col("caseid").alias("rep"), F.substring_index("nearest", "|", 1).alias("_at"), "nearest")
-    near = near.select("rep", F.expr("substring(nearest, length(_at) + 2)").alias("nearest"))
-    reps = va.select(F.col("caseid").alias("rep"), "codes")
-    swap = bad.join(reps, "codes").join(near, "rep").select(F.col("caseid").alias("old"), F.col("nearest").alias("caseid"))
+    # a variant is known by its first case
+    va = bad.groupBy("seq").agg(F.min("caseid").alias("a"))
+    vb = prof.filter("conformant").groupBy("seq").agg(F.min(F.struct("start", "caseid")).alias("f"))
+    vb = cut(vb.select(F.col("f.caseid").alias("b"), F.col("f.start").alias("start"), F.col("seq").alias("y")))
+    near = nearest(va.select("a", F.col("seq").alias("x")), vb.select("b", "y"), swaps=True).join(vb.select("b", "start"), "b")
+    near = near.groupBy("a").agg(F.min(F.struct("start", "b"))["b"].alias("nearest"))
+    swap = bad.join(va, "seq").join(near, "a").select(F.col("caseid").alias("old"), F.col("nearest").alias("caseid"))
     cols = ["task", "user", "start_ts", "end_ts", "pos"]
     new = log.join(swap, CASE).select(F.concat("old", F.lit("R")).alias("caseid"), *cols)
     return keep_conformant(log, conf).select("caseid", *cols).unionByName(new)

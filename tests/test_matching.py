@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
+from caseloom.functions.distance import damerau_levenshtein, levenshtein, pad
 from caseloom.operators import matching
+from caseloom.operators import nearest as N
 
 
 def plain(x, y):
@@ -65,3 +67,45 @@ def test_a_hot_value_and_a_long_shift(spark, monkeypatch):
     a = spark.createDataFrame([(int(v),) for v in one], "v long")
     b = spark.createDataFrame([(1, int(v)) for v in other], "run int, v long")
     assert int(matching.match_on_line(a, b).first()["cost"]) == plain(one, other)
+
+
+def all_pairs(left, right, swaps):
+    ids = {c: k + 1 for k, c in enumerate(sorted({c for x in [*left, *right] for c in x}))}
+    code = lambda side: pad([[ids[c] for c in x] for x in side])
+    (x, lx), (y, ly) = code([a for a in left for _ in right]), code([b for _ in left for b in right])
+    d = damerau_levenshtein(x, lx, y, ly, len(ids)) if swaps else levenshtein(x, lx, y, ly)
+    return d.reshape(len(left), len(right))
+
+
+def sequences(r, n, mean):
+    base = [[r.choice("ABCDE") for _ in range(max(0, int(r.gauss(mean, mean / 3))))] for _ in range(n // 3)]
+    out = set()
+    for _ in range(n):
+        s = list(r.choice(base))
+        for _ in range(r.choice([0, 1, 1, 2, 4])):
+            k = r.randrange(len(s) + 1)
+            s[k : k + r.randint(0, 2)] = r.choice(["", "A", "F", "BC"])
+            if len(s) > 2 and r.random() < 0.5:
+                k = r.randrange(len(s) - 1)
+                s[k], s[k + 1] = s[k + 1], s[k]
+        out.add("".join(s))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("swaps", [False, True])
+def test_nearest_sequences(spark, swaps):
+    r = random.Random(5)
+    left = sequences(r, 60, 9) + ["", "Q", "ZZZZZZZZZZZZZZZZZZZZZZ"]
+    right = sequences(r, 60, 9) + sequences(r, 20, 2)
+    right = sorted(set(right))
+    a = spark.createDataFrame([(k, list(x)) for k, x in enumerate(left)] + [(999, None)], "a long, x array<string>")
+    b = spark.createDataFrame([(k, list(y)) for k, y in enumerate(right)], "b long, y array<string>")
+    d = all_pairs(left, right, swaps)
+    want = {(i, j, int(d[i, j])) for i in range(len(left)) for j in np.flatnonzero(d[i] == d[i].min()).tolist()}
+    assert {tuple(row) for row in N.nearest(a, b, swaps).collect()} == want
+    assert N.nearest(a, b.limit(0), swaps).collect() == [] == N.nearest(a.limit(0), b, swaps).collect()
+    # the index keeps every pair in reach, and few others
+    for limit in (1, 2):
+        pairs = {tuple(row) for row in N.candidates(a.filter("x is not null"), b, limit, swaps).collect()}
+        assert {(i, j) for i, j in np.argwhere(d <= limit).tolist()} <= pairs
+        assert limit > 1 or len(pairs) < 0.25 * d.size
