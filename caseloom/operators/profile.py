@@ -58,10 +58,28 @@ def densities(x: Column) -> dict[str, Column]:
     }
 
 
+#: Bins of a histogram that are taken one by one; further ones by stretches of doubling length, with so many places each.
+SINGLE_BINS, PLACES = 8192, 2048
+
+
+def _bin_places(stats: DataFrame) -> DataFrame:
+    """``stats(bins, ...)`` with a row per place ``b`` at which a density stands for ``weight`` bins."""
+    near = stats.withColumn("b", F.explode(F.sequence(F.lit(0), F.least(F.col("bins"), F.lit(SINGLE_BINS)).cast("int") - 1)))
+    near = near.withColumns({"b": F.col("b").cast("double"), "weight": F.lit(1.0)})
+    far = stats.filter(F.col("bins") > SINGLE_BINS)
+    doubling = F.sequence(F.lit(0), F.floor(F.log2(F.col("bins") / SINGLE_BINS)).cast("int"))
+    far = far.withColumn("k", F.explode(doubling)).withColumn("start", SINGLE_BINS * F.pow(F.lit(2.0), F.col("k"))).filter(F.col("start") < F.col("bins"))
+    far = far.withColumn("weight", (F.least(2 * F.col("start"), F.col("bins")) - F.col("start")) / PLACES)
+    far = far.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
+    far = far.withColumn("b", F.col("start") + (F.col("j") + 0.5) * F.col("weight") - 0.5)
+    return near.unionByName(far.select(*near.columns))
+
+
 def distribution_errors(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Squared error between the density histogram (automatic bin width) and each fitted density.
 
-    One row per group and distribution, for groups of 100 values or more that are not constant.
+    One row per group and distribution, for groups of 100 values or more that are not constant. The bins that hold no value enter by the
+    sum of the squared density alone, so a far outlier costs nothing.
     """
     v = F.col(value).cast("double")
     ln = F.when(v > 0, F.log(v))
@@ -80,16 +98,20 @@ def distribution_errors(df: DataFrame, keys: list[str], value: str) -> DataFrame
     sturges = rng / (F.log2("n") + 1)
     fd = 2 * (F.col("q75") - F.col("q25")) / F.cbrt("n")
     width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
-    stats = stats.join(q, keys).withColumn("bins", F.ceil(rng / width).cast("int")).withColumn("step", rng / F.col("bins"))
+    # a far outlier makes more bins than any number of rows: bins are doubles, and only occupied ones become rows
+    stats = O.sized(stats.join(q, keys).withColumn("bins", F.when(rng / width < 1e15, F.ceil(rng / width).cast("double")).otherwise(rng / width)))
+    stats = stats.withColumn("bins", F.greatest("bins", F.lit(1.0))).withColumn("step", rng / F.col("bins"))
     binned = df.join(stats.select(*keys, "lo", "step", "bins"), keys)
-    at = F.least(F.floor((v - F.col("lo")) / F.col("step")), F.col("bins") - 1).cast("int")
-    counts = binned.groupBy(*keys, at.alias("b")).agg(F.count("*").alias("c"))
-    grid = stats.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    grid = grid.join(counts, keys + ["b"], "left")
+    place = (v - F.col("lo")) / F.col("step")
+    at = F.least(F.when(place < 1e15, F.floor(place).cast("double")).otherwise(place), F.col("bins") - 1)
+    counts = binned.groupBy(*keys, at.alias("b")).agg(F.count("*").alias("c")).join(stats, keys)
     x = F.col("lo") + (F.col("b") + 0.5) * F.col("step")
-    height = F.coalesce("c", F.lit(0)) / (F.col("n") * F.col("step"))
-    sse = [F.sum((height - p) ** 2).alias(n) for n, p in densities(x).items()]
-    wide = grid.groupBy(*keys).agg(*sse)
+    height = F.col("c") / (F.col("n") * F.col("step"))
+    # (h - p)^2 over all bins is h (h - 2p) over the occupied ones and p^2 over all
+    seen = counts.groupBy(*keys).agg(*[F.sum(height * (height - 2 * p)).alias(n) for n, p in densities(x).items()])
+    model = _bin_places(stats)
+    model = model.groupBy(*keys).agg(*[F.sum(F.col("weight") * p * p).alias(n) for n, p in densities(x).items()])
+    wide = seen.unionByName(model).groupBy(*keys).agg(*[F.when(F.count(n) == 2, F.greatest(F.sum(n), F.lit(0.0))).alias(n) for n in densities(x)])
     names = list(densities(F.lit(1.0)))
     return wide.select(
         *keys,

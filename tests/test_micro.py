@@ -267,3 +267,25 @@ def test_moving_count_has_open_left_end(spark):
     rows = [("a", at(0)), ("b", at(180)), ("c", at(359))]
     df = spark.createDataFrame(rows, "caseid string, ts timestamp_ntz")
     assert {r["caseid"]: r["arrivals"] for r in A.moving_count(df).collect()} == {"a": 1, "b": 1, "c": 2}
+
+
+def test_a_far_outlier_makes_no_bins(spark):
+    from caseloom.operators import profile as G
+
+    r = random.Random(9)
+    body = [r.gauss(100, 10) for _ in range(1200)]
+    rows = [("far", v) for v in body + [1e9]] + [("farther", v) for v in body + [1e18]] + [("plain", v) for v in body]
+    df = spark.createDataFrame(rows, "task string, v double")
+    got = {x["task"]: x["dname"] for x in G.fit_distributions(df, ["task"], "v").collect()}
+    assert set(got) == {"far", "farther", "plain"} and got["plain"] in ("NORMAL", "LOGNORMAL", "GAMMA")
+
+
+def test_errors_by_places_equal_those_of_all_bins(spark, monkeypatch):
+    from caseloom.operators import profile as G
+
+    r = random.Random(10)
+    df = spark.createDataFrame([("a", r.expovariate(0.01)) for _ in range(2000)] + [("a", 60_000.0)], "task string, v double")
+    whole = {x["dname"]: x["sse"] for x in G.distribution_errors(df, ["task"], "v").collect()}
+    monkeypatch.setattr(G, "SINGLE_BINS", 64)
+    parts = {x["dname"]: x["sse"] for x in G.distribution_errors(df, ["task"], "v").collect()}
+    assert whole == pytest.approx(parts, rel=1e-3)
