@@ -67,8 +67,17 @@ def role_occupancy(log: DataFrame, roles: DataFrame) -> DataFrame:
     return out.join(role_sizes(roles), "role").select("role", "ts", (F.col("active") / F.col("size")).alias("occupancy"))
 
 
-def _column(role: str) -> str:
-    return re.sub(r"\W+", "_", role.strip().lower())
+def role_columns(roles: list[str]) -> dict[str, str]:
+    """A column name per role, from the letters and digits of its name; names that look alike are numbered."""
+    out: dict[str, str] = {}
+    for role in roles:
+        base = name = re.sub(r"\W+", "_", role.strip().lower())
+        k = 1
+        while name in out.values():
+            k += 1
+            name = f"{base}_{k}"
+        out[role] = name
+    return out
 
 
 def all_occupancies(log: DataFrame, roles: DataFrame, most: int = 1000) -> DataFrame:
@@ -79,10 +88,11 @@ def all_occupancies(log: DataFrame, roles: DataFrame, most: int = 1000) -> DataF
     sizes = role_sizes(roles).orderBy("role").limit(most + 1).collect()
     if len(sizes) > most:
         raise ValueError(f"more than {most} roles to turn into columns")
-    hit = {r["role"]: F.sum(F.when((F.col("role") == r["role"]) & ~_is_edge(), F.col("change")).otherwise(0)) for r in sizes}
-    per = _changes(log).groupBy("ts").agg(*[c.alias(_column(n) + "_d") for n, c in hit.items()])
-    out = O.scan(O.segment(per, [], "ts"), [], ["ts"], {_column(n) + "_a": ("sum", F.col(_column(n) + "_d"), "upto") for n in hit})
-    return out.select("ts", *[(F.col(_column(r["role"]) + "_a") / r["size"]).alias(_column(r["role"]) + "_oc") for r in sizes])
+    names = role_columns([r["role"] for r in sizes])
+    hit = {n: F.sum(F.when((F.col("role") == r) & ~_is_edge(), F.col("change")).otherwise(0)) for r, n in names.items()}
+    per = _changes(log).groupBy("ts").agg(*[c.alias(n + "_d") for n, c in hit.items()])
+    out = O.scan(O.segment(per, [], "ts"), [], ["ts"], {n + "_a": ("sum", F.col(n + "_d"), "upto") for n in hit})
+    return out.select("ts", *[(F.col(names[r["role"]] + "_a") / r["size"]).alias(names[r["role"]] + "_oc") for r in sizes])
 
 
 def attach_features(log: DataFrame, roles: DataFrame, mode: str = "all", dual: bool = True) -> DataFrame:

@@ -79,19 +79,20 @@ def read_xes(spark: SparkSession, path: str, source: str | None = None) -> DataF
     ``source`` overrides the attribute of the same name that a log has.
     """
     raw = prepare(spark).read.format("xml").option("rowTag", "trace").option("ignoreNamespace", True).schema(XES_SCHEMA).load(path)
-    attr = lambda c: F.map_from_entries(c)
+    # the last attribute of a name counts
+    attr = lambda c, key: F.try_element_at(F.filter(c, lambda e: e["_key"] == key), F.lit(-1))["_value"]
     raw = raw.withColumn("file", F.col("_metadata.file_path"))
-    df = raw.select("file", attr("string")[CONCEPT].alias("caseid"), F.posexplode("event").alias("pos", "e"))
-    s, d = attr("e.string"), attr("e.date")
+    df = raw.select("file", attr("string", CONCEPT).alias("caseid"), F.posexplode("event").alias("pos", "e"))
+    s, d = (lambda key, c=c: attr(c, key) for c in ("e.string", "e.date"))
     df = df.select(
         "file",
         "caseid",
-        s[CONCEPT].alias("task"),
-        F.coalesce(*[s[k] for k in USER_KEYS]).alias("user"),
-        wall_clock(F.coalesce(d[TIME], s[TIME])).alias("ts"),
-        s[LIFECYCLE].alias("transition"),
+        s(CONCEPT).alias("task"),
+        F.coalesce(*[s(k) for k in USER_KEYS]).alias("user"),
+        wall_clock(F.coalesce(d(TIME), s(TIME))).alias("ts"),
+        s(LIFECYCLE).alias("transition"),
         F.col("pos").cast("long").alias("pos"),
-        s[ELEMENT].alias("element_id"),
+        s(ELEMENT).alias("element_id"),
     )
     if source is None:
         df = df.join(xes_sources(spark, path), "file", "left").withColumn("source", F.coalesce("source", F.lit("")))

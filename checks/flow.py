@@ -176,7 +176,8 @@ jj as (select token, item from ff join tk using (caseid, step))
 select token, item, count(*) n, round(count(*)/sum(count(*)) over (partition by token),10) prob from jj group by 1,2"""))
 def _(spark, d):
     m = B.block_model(B.add_boundaries(l4s(spark, d)))
-    return m.filter("kind = 'first'").select("token", "item", "n", "prob")
+    names = F.transform("item", lambda e: F.element_at(e["names"], 1))
+    return m.filter("kind = 'first'").select("token", F.array_join(names, "+").alias("item"), "n", "prob")
 
 
 @query("f15_role_sequences", sql("l2", R2 + """, c as (select task, role, count(*) n from l2 join roles using ("user") group by 1,2),

@@ -106,3 +106,11 @@ def test_embedding_check(spark, tmp_path):
     assert {(r["name"], r["side"]) for r in TB.embedding_mismatch(v, tasks).collect()} == {("B", "embedding"), ("C", "log")}
     with pytest.raises(ValueError):
         TB.checked_embedding(v, tasks)
+
+
+def test_a_repeated_xes_attribute(spark, tmp_path):
+    twice = '<string key="concept:name" value="old"/><string key="concept:name" value="A"/><string key="lifecycle:transition" value="start"/>'
+    event = f'<event>{twice}<date key="time:timestamp" value="2023-01-01T01:00:00"/><date key="time:timestamp" value="2024-01-01T01:00:00"/></event>'
+    path = write(tmp_path / "d.xes", f'<log><trace><string key="concept:name" value="x"/><string key="concept:name" value="c"/>{event}</trace></log>')
+    (r,) = L.read_log(spark, path).collect()
+    assert (r["caseid"], r["task"], r["ts"].year) == ("c", "A", 2024)

@@ -106,11 +106,25 @@ def test_parallel_block(spark):
 
 def test_block_model_with_sub_block(spark):
     text = "A+ A- B+ C+ B- D+ E+ D- E- C- F+ F-"
-    rows = {(r["kind"], r["key"], r["item"]) for r in B.block_model(life(spark, text)).collect()}
-    assert ("first", "", "B+C") in rows
-    assert ("seq", "B", "B>(D+E)") in rows
-    assert ("seq", "C", "C") in rows
-    assert ("sub", "(D+E)>D", "D") in rows and ("sub", "(D+E)>E", "E") in rows
+    items = lambda r: tuple("".join(e["names"]) if not e["sub"] else tuple(e["names"]) for e in r["item"])
+    rows = {(r["kind"], tuple(r["key"]), items(r)) for r in B.block_model(life(spark, text)).collect()}
+    assert ("first", (), ("B", "C")) in rows
+    assert ("seq", ("B",), ("B", ("D", "E"))) in rows
+    assert ("seq", ("C",), ("C",)) in rows
+    assert ("sub", ("D", "D", "E"), ("D",)) in rows and ("sub", ("E", "D", "E"), ("E",)) in rows
+
+
+def test_names_are_no_syntax(spark):
+    """Activities whose names hold the signs of blocks come back from the model."""
+    new = {"A": "[A | F]", "B": "x+y>(z)", "C": "(c", "D": "d>|", "E": "\\e,;", "F": "f]"}
+    rows = life(spark, "A+ A- B+ C+ B- D+ E+ D- E- C- F+ F-").replace(new, subset=["task"])
+    tokens = [r["token"] for r in B.step_sequence(rows).orderBy("step").collect()]
+    seq = spark.createDataFrame([(1, ["addstart", *tokens, "addend"])], "caseid long, seq array<string>")
+    got = {r["act"]: r for r in P.expand_blocks(seq, B.block_model(rows)).collect()}
+    name = {r["idx"]: a for a, r in got.items()}
+    nxt = {a: sorted(name[i] for i in r["next"] or []) for a, r in got.items()}
+    a, b, c, d, e, f = new.values()
+    assert nxt == {"addstart": [a], a: sorted([b, c]), b: sorted([d, e]), c: [f], d: [f], e: [f], f: ["addend"], "addend": []}
 
 
 def test_expanded_block_links(spark):
@@ -289,3 +303,10 @@ def test_errors_by_places_equal_those_of_all_bins(spark, monkeypatch):
     monkeypatch.setattr(G, "SINGLE_BINS", 64)
     parts = {x["dname"]: x["sse"] for x in G.distribution_errors(df, ["task"], "v").collect()}
     assert whole == pytest.approx(parts, rel=1e-3)
+
+
+def test_roles_that_look_alike_keep_their_columns(spark):
+    from caseloom.operators import wip as WI
+
+    names = WI.role_columns(["Role 1", "Role-1", "role_1", "Other"])
+    assert names == {"Role 1": "role_1", "Role-1": "role_1_2", "role_1": "role_1_3", "Other": "other"}
