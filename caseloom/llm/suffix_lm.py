@@ -8,11 +8,15 @@ smoothed, leave-one-out predictions to the parent's must be ``GAIN`` nats or mor
 scored by the longest suffix of what stands before it that is a state.
 
 Every level counts all (context, next token) pairs of the corpus. Counting goes by blocks (see ``blocks``): documents become word
-codes in one pass, and each level sends one packed list of distinct pairs per block and key range. Words, contexts and pairs are
-known by 64-bit hashes; a pair's first 16 bits are its context's, so a range holds all pairs of its contexts and decides alone
-which of them are states. It answers each pair with its count and its context's strength. A pair is the next level's
+codes in one pass, and each level sends one packed list of distinct pairs and contexts per block and key range. Words, contexts and pairs are
+known by 64-bit hashes; a pair's first 24 bits are its context's, so a range holds all pairs of its contexts and decides alone
+which of them are states. It answers each pair with its count and each context with its strength. A pair is the next level's
 context, so a block reads the counts of its contexts from the last level's answers, and no list of contexts is gathered anywhere.
 
+A pair occurs no more often than the pair without its context's first token, which the last level has counted. Where that is 0 the
+pair's count is 0, and where it is 1 at a token of the training part it is 1. Such pairs are not sent: a context is told how many of its
+followers occur once, and that is all a divergence test needs of them.
+
 Defined results: a null or empty text is one end token. A null ``doc_id`` belongs to the training part. Repeated rows count and are
 scored once each. Without training rows all counts are 0. An empty table gives no rows. Only ``doc_id`` and
 ``text`` are read.
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm import blocks as B
-from caseloom.llm.common import store
+from caseloom.llm.common import release, store
 
 DEPTH = 3
 #: Least number of a context.
@@ -47,7 +51,7 @@ _CODED = pa.schema([
 ])
 _STATS = -1
 #: Bits of a pair's key that are its context's; ranges are cut by these only.
-_OF_CONTEXT = np.uint64(0xFFFF << 48)
+_OF_CONTEXT = np.uint64(0xFFFFFF << 40)
 
 
 class _Codes(dict):
@@ -124,11 +128,15 @@ class Level:
         self.contexts, self.counts = contexts[order], counts[order].astype(float)
         self.strength = np.zeros(len(contexts), np.uint8)
 
-    def decide(self, which: np.ndarray, total: np.ndarray, parent: np.ndarray) -> None:
-        """``strength`` from all seen pairs: one more than the place in STRENGTHS of a state's, 0 for the others."""
+    def decide(self, which: np.ndarray, total: np.ndarray, parent: np.ndarray, singles: np.ndarray) -> None:
+        """``strength`` from all seen pairs: one more than the place in STRENGTHS of a state's, 0 for the others.
+
+        ``singles``: per context, how many followers that occur once are not among the pairs; their parent's chance cancels.
+        """
         own = self.counts[which]
         gains = np.array([
             np.bincount(which, weights=total * np.log((total - 1 + s * parent) / (own - 1 + s) / parent), minlength=len(self.contexts))
+            + singles * np.log(s / (self.counts - 1 + s))
             for s in STRENGTHS
         ])
         state = gains.max(axis=0) / np.maximum(self.counts, 1) >= GAIN
@@ -173,33 +181,47 @@ class Block:
         own[self.first] = at_first
         return own
 
-    def pairs(self, depth: int, own: np.ndarray, least: float):
-        """Tokens whose context is a candidate: (places, contexts, sorted distinct pairs, their place among them)."""
+    def pairs(self, depth: int, own: np.ndarray, shorter: np.ndarray, least: float) -> "_Pairs":
+        """The tokens whose context is a candidate; ``shorter``: counts of their pairs at the level before."""
         h, ok = self.contexts(depth)
         at = np.flatnonzero(ok & (own >= least))
-        keys, place = np.unique(_pair_keys(h[at], self.hash[at]), return_inverse=True)
-        return at, h[at], keys, place
-
-
-def _answers(answers: pa.Table, level: int, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Corpus counts of a block's sorted keys, and the strengths of their contexts."""
-    out, strength = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint8)
-    cuts = B.range_cuts(keys, n)
+        out = _Pairs()
+        out.at, less = at, shorter[at]
+        single = (less == 1) & self.train[at]
+        out.asked = np.flatnonzero((less > 0) & ~single)
+        asked = at[out.asked]
+        out.keys, out.place = np.unique(_pair_keys(h[asked], self.hash[asked]), return_inverse=True)
+        out.contexts, out.first, out.which = np.unique(h[at], return_index=True, return_inverse=True)
+        out.singles = np.bincount(out.which[single], minlength=len(out.contexts))
+        return out
+
+
+class _Pairs:
+    """Places ``at`` of tokens with a candidate context; which of them are ``asked`` for; their sorted distinct pairs ``keys``, and the ``place`` of
+    each among these; sorted distinct ``contexts``, the ``first`` use and ``which`` one of each place, and followers known to occur once."""
+
+
+def _answers(answers: pa.Table, level: int, keys: np.ndarray, contexts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts of a block's sorted keys, and the strengths of its sorted contexts."""
+    out, strength = np.zeros(len(keys), np.int64), np.zeros(len(contexts), np.uint8)
+    cuts, of_contexts = B.range_cuts(keys, n), B.range_cuts(contexts, n)
     mine = answers.filter(pa.compute.equal(answers.column("level"), level))
     for p, data, more in zip(*(mine.column(c).to_pylist() for c in ("part", "counts", "more"))):
         out[cuts[p] : cuts[p + 1]] = B.unpack(data, "i8")
         if more is not None:
-            strength[cuts[p] : cuts[p + 1]] = B.unpack(more, "u1")
+            strength[of_contexts[p] : of_contexts[p + 1]] = B.unpack(more, "u1")
     return out, strength
 
 
-def _send(number: int, level: int, n: int, keys: np.ndarray, counts: np.ndarray, more=None) -> pa.Table:
-    """``more(a, b)``: what goes with the keys from place a to b."""
+def _send(number: int, level: int, n: int, keys: np.ndarray, counts: np.ndarray, contexts=None, more=None) -> pa.Table:
+    """``more(a, b, c, d)``: what goes with the keys from place a to b and the contexts from c to d."""
     cuts = B.range_cuts(keys, n)
+    others = cuts if contexts is None else B.range_cuts(contexts, n)
     rows = []
-    for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        if b > a:
-            extra = b"".join(len(x).to_bytes(8, "little") + x for x in (more(a, b) if more else ()))
+    for p in range(n):
+        (a, b), (c, d) = cuts[p : p + 2], others[p : p + 2]
+        if b > a or d > c:
+            extra = b"".join(len(x).to_bytes(8, "little") + x for x in (more(a, b, c, d) if more else ()))
             rows.append((number, p, level, B.pack_sorted(keys[a:b]), B.pack(counts[a:b].astype(np.int64)), extra))
     return B.batch_of(_SENT, rows)
 
@@ -230,10 +252,11 @@ def _sum(table: pa.Table):
     return keys, totals, place, [len(s) for s in sent]
 
 
-def _reply(table: pa.Table, part: int, level: int, totals, place, sizes, strengths=None, extra: list[tuple] = ()) -> pa.Table:
+def _reply(table: pa.Table, part: int, level: int, totals, place, sizes, strengths: list | None = None, extra: list[tuple] = ()) -> pa.Table:
+    """``strengths``: of the contexts that each list has named."""
     cuts = np.cumsum(sizes)[:-1]
     told = [B.pack(t) for t in np.split(totals[place], cuts)]
-    more = [None] * len(told) if strengths is None else [B.pack(t) for t in np.split(strengths[place], cuts)]
+    more = [None] * len(told) if strengths is None else [B.pack(t) for t in strengths]
     rows = [(b, part, level, None, t, m) for b, t, m in zip(table.column("block").to_pylist(), told, more)]
     return B.batch_of(_SENT, rows + list(extra))
 
@@ -249,21 +272,23 @@ class Model:
         self.tokens, self.distinct, self.n, self.least = tokens, distinct, n, least
 
     def chances(self, b: Block, answers: pa.Table, depth: int):
-        """(corpus count of each token, its chance after the longest state of at most ``depth`` tokens, counts of the contexts of one token more)."""
-        count = _answers(answers, 0, b.words, self.n[0])[0][b.codes]
+        """(corpus count of each token, its chance after the longest state of at most ``depth`` tokens, counts of the contexts of one token more, of the pairs)."""
+        none = np.empty(0, np.uint64)
+        count = _answers(answers, 0, b.words, none, self.n[0])[0][b.codes]
         chance = (count + 1) / (self.tokens + self.distinct + 1)
-        own = b.first_contexts(count)
+        own, shorter = b.first_contexts(count), count
         for d in range(1, depth + 1):
-            at, _, keys, place = b.pairs(d, own, self.least)
-            told, strengths = _answers(answers, d, keys, self.n[d])
+            p = b.pairs(d, own, shorter, self.least)
+            told, strengths = _answers(answers, d, p.keys, p.contexts, self.n[d])
             total = np.zeros(len(b.codes), np.int64)
-            total[at] = told[place]
-            which = strengths[place]
-            at, which = at[which > 0], which[which > 0]
+            total[p.at] = shorter[p.at]  # known where it is not asked
+            total[p.at[p.asked]] = told[p.place]
+            which = strengths[p.which]
+            at, which = p.at[which > 0], which[which > 0]
             strength = STRENGTHS[which - 1]
             chance[at] = (total[at] + strength * chance[at]) / (own[at] + strength)
-            own = b.next_contexts(total)
-        return count, chance, own
+            own, shorter = b.next_contexts(total), total
+        return count, chance, own, shorter
 
 
 def _send_pairs(model: Model, depth: int):
@@ -271,18 +296,19 @@ def _send_pairs(model: Model, depth: int):
         if not table.num_rows:
             return B.batch_of(_SENT, [])
         b = Block(table)
-        _, chance, own = model.chances(b, answers, depth - 1)
-        at, context, keys, place = b.pairs(depth, own, model.least)
-        counts = np.bincount(place, weights=b.train[at], minlength=len(keys))
-        some = np.zeros(len(keys), np.int64)
-        some[place] = np.arange(len(at))  # any occurrence of the pair: context and parent's chance are the same in all
-        context, own, chance = context[some], own[at[some]], chance[at[some]].astype(np.float32)
+        _, chance, own, shorter = model.chances(b, answers, depth - 1)
+        p = b.pairs(depth, own, shorter, model.least)
+        asked = p.at[p.asked]
+        counts = np.bincount(p.place, weights=b.train[asked], minlength=len(p.keys))
+        some = np.zeros(len(p.keys), np.int64)
+        some[p.place] = np.arange(len(asked))  # any occurrence of the pair: context and parent's chance are the same in all
+        which, chance, own = p.which[p.asked][some], chance[asked[some]].astype(np.float32), own[p.at[p.first]]
 
-        def more(a, b):
-            contexts, first, which = np.unique(context[a:b], return_index=True, return_inverse=True)
-            return [B.pack(which.astype(np.int32)), B.pack(chance[a:b]), B.pack_sorted(contexts), B.pack(own[a:b][first])]
+        def more(a, b, c, d):
+            places = np.diff(which[a:b] - c, prepend=0).astype(np.int32)  # pairs are nearly in the order of their contexts
+            return [B.pack(places), B.pack(chance[a:b]), B.pack_sorted(p.contexts[c:d]), B.pack(own[c:d]), B.pack(p.singles[c:d])]
 
-        return _send(b.number, depth, model.n[depth], keys, counts, more)
+        return _send(b.number, depth, model.n[depth], p.keys, counts, p.contexts, more)
 
     return run
 
@@ -290,19 +316,22 @@ def _send_pairs(model: Model, depth: int):
 def _sum_pairs(depth: int):
     def run(key, table):
         keys, totals, place, sizes = _sum(table)
-        context, own, chance = np.empty(len(keys), np.uint64), np.empty(len(keys), np.int64), np.empty(len(keys))
-        at = 0
-        for data, n in zip(table.column("more").to_pylist(), sizes):
-            which, parent, contexts, counts = _more(data)
-            which, mine = B.unpack(which, "i4"), place[at : at + n]
-            context[mine], own[mine] = B.unpack_sorted(contexts, "u8")[which], B.unpack(counts, "i8")[which]
-            chance[mine] = B.unpack(parent, "f4")
+        lists = [_more(data) for data in table.column("more").to_pylist()]
+        named = [B.unpack_sorted(x[2], "u8") for x in lists]
+        used, which = np.unique(np.concatenate(named), return_inverse=True)
+        named = np.split(which, np.cumsum([len(x) for x in named])[:-1])
+        context, chance = np.empty(len(keys), np.int64), np.empty(len(keys))
+        own, singles, at = np.empty(len(used), np.int64), np.zeros(len(used)), 0
+        for (places, parent, _, counts, once), mine, n in zip(lists, named, sizes):
+            pairs = place[at : at + n]
+            context[pairs], chance[pairs] = mine[np.cumsum(B.unpack(places, "i4"))], B.unpack(parent, "f4")
+            own[mine] = B.unpack(counts, "i8")
+            singles[mine] += B.unpack(once, "i8")  # a list names a context once
             at += n
-        used, first, which = np.unique(context, return_index=True, return_inverse=True)
-        level = Level(used, own[first])
+        level = Level(used, own)
         seen = totals > 0
-        level.decide(which[seen], totals[seen].astype(float), chance[seen])
-        return _reply(table, key[0].as_py(), depth, totals, place, sizes, level.strength[which])
+        level.decide(context[seen], totals[seen].astype(float), chance[seen], singles)
+        return _reply(table, key[0].as_py(), depth, totals, place, sizes, [level.strength[mine] for mine in named])
 
     return run
 
@@ -317,7 +346,7 @@ def _score(model: Model, depth: int):
         if not table.num_rows:
             return B.batch_of(schema, [])
         b = Block(table)
-        count, chance, _ = model.chances(b, answers, depth)
+        count, chance, _, _ = model.chances(b, answers, depth)
         sums = [
             np.add.reduceat(x, b.first)
             for x in ((count > 0).astype(np.int64), np.log10((count + 1) / (model.tokens + model.distinct + 1)), np.log10(chance))
@@ -337,7 +366,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, range_k
     least = max(LEAST, share * tokens)
     # pairs per block are at most its tokens; packed codes take about two bytes each
     n = [B.ranges(size[0] or 0, range_keys)] + [B.ranges((size[2] or 0) // 4, range_keys)] * depth
-    n[1:] = [min(x, 1 << 16) for x in n[1:]]  # a context's pairs stay together
+    n[1:] = [min(x, 1 << 24) for x in n[1:]]  # a context's pairs stay together
     sent = by_block.applyInArrow(_send_words(n[0]), SENT)
     done = store(sent.groupBy("part").applyInArrow(_sum_words, SENT))
     distinct = sum(int(B.unpack(r["counts"], "i8")[0]) for r in done.filter(F.col("block") == _STATS).collect())  # one row per range
@@ -346,5 +375,6 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, range_k
     for d in range(1, depth + 1):
         sent = by_block.cogroup(told.groupBy("block")).applyInArrow(_send_pairs(model, d), SENT)
         told = told.unionByName(store(sent.groupBy("part").applyInArrow(_sum_pairs(d), SENT)))
+        release(docs.sparkSession)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by_block.cogroup(told.groupBy("block")).applyInArrow(_score(model, depth), out)
