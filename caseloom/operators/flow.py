@@ -112,6 +112,40 @@ def prefix_pairs(seqs: DataFrame) -> DataFrame:
     return df.select(F.slice("seq", F.lit(1), F.col("i")).alias("ctx"), F.element_at("seq", F.col("i") + 1).alias("nxt"))
 
 
+#: A prefix: its length without addstart, and two running sums of hashes of (token, place).
+NODE = ["depth", "sum_a", "sum_b"]
+
+
+def prefix_trie(rows: DataFrame, order: list[str], token: str = "task") -> DataFrame:
+    """The prefixes of all cases as a tree: ``(depth, sum_a, sum_b, nxt, to_depth, to_sum_a, to_sum_b, n, prob, caseid)``.
+
+    One row per prefix and token after it, with the node that both lead to and a case that passes here; the empty prefix (addstart alone)
+    is all zeros, and addend leads nowhere. A prefix is known by sums that a scan carries through the case, so one row per event
+    moves, whatever the length of the cases. ``with_contexts`` writes prefixes out.
+    """
+    df = O.row_index(rows.withColumn("nxt", F.col(token)), ["caseid"], order, "to_depth")
+    part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "nxt", "to_depth"), F.lit(1 << 36))
+    df = df.withColumns({"_a": part(1), "_b": part(2)})
+    df = O.scan(df, ["caseid"], order, {"to_sum_a": ("sum", F.col("_a"), "upto"), "to_sum_b": ("sum", F.col("_b"), "upto")})
+    steps = df.select(
+        (F.col("to_depth") - 1).alias("depth"), (F.col("to_sum_a") - F.col("_a")).alias("sum_a"), (F.col("to_sum_b") - F.col("_b")).alias("sum_b"),
+        "nxt", "to_depth", "to_sum_a", "to_sum_b", "caseid",
+    )
+    ends = df.groupBy("caseid").agg(F.max("to_depth").alias("depth"), F.sum("_a").alias("sum_a"), F.sum("_b").alias("sum_b"))
+    none = [F.lit(None).cast(k).alias("to_" + c) for c, k in zip(NODE, ("int", "long", "long"))]
+    steps = steps.unionByName(ends.select(*NODE, F.lit(ADD_END).alias("nxt"), *none, "caseid"))
+    n = steps.groupBy(*NODE, "nxt").agg(F.count("*").alias("n"), *[F.first("to_" + c).alias("to_" + c) for c in NODE], F.min("caseid").alias("caseid"))
+    total = n.groupBy(*NODE).agg(F.sum("n").alias("all"))
+    return n.join(total, NODE).withColumn("prob", F.round(F.col("n") / F.col("all"), 10)).drop("all")
+
+
+def with_contexts(trie: DataFrame, rows: DataFrame, order: list[str], token: str = "task") -> DataFrame:
+    """``(ctx, nxt, n, prob)``: the trie with its prefixes written out, each from a case that passes it."""
+    seqs = O.gather(rows, ["caseid"], order, {"seq": token})
+    ctx = F.concat(F.array(F.lit(ADD_START)), F.slice("seq", F.lit(1), F.col("depth")))
+    return trie.join(seqs, "caseid").select(ctx.alias("ctx"), "nxt", "n", "prob")
+
+
 def ngram_pairs(seqs: DataFrame, n: int) -> DataFrame:
     """n-gram windows as (context, next); short sequences whole; for n > 2 also the shorter prefixes of
     the first n-1 tokens and suffixes of the last n-1."""

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from caseloom.model import ORDER
 from caseloom.operators import blocks as B
 from caseloom.operators import flow as W
 from caseloom.operators import profile as G
@@ -82,13 +83,15 @@ SEQ = "s as (select caseid, list_concat(['addstart'], list_concat(list(task orde
 @query("f6_prefix_model", sql("l3", "with " + SEQ.format(v="l3", o="start_ts,pos") + """,
 p as (select array_to_string(q[1:i],'>') ctx, q[i+1] nxt from (select q, unnest(range(1, len(q))) i from s) z)""" + TRANS))
 def _(spark, d):
-    return _model(W.transitions(W.prefix_pairs(W.bounded_sequences(l3(spark, d)))))
+    log = l3(spark, d)
+    return _model(W.with_contexts(W.prefix_trie(log, ORDER), log, ORDER))
 
 
 @query("f6_prefix_model_conversations", sql("l6", "with " + SEQ.format(v="l6", o="pos") + """,
 p as (select array_to_string(q[1:i],'>') ctx, q[i+1] nxt from (select q, unnest(range(1, len(q))) i from s) z)""" + TRANS))
 def _(spark, d):
-    return _model(W.transitions(W.prefix_pairs(W.bounded_sequences(l6(spark, d), ["pos"]))))
+    log = l6(spark, d)
+    return _model(W.with_contexts(W.prefix_trie(log, ["pos"]), log, ["pos"]))
 
 
 NGRAM = """, z as (select q, len(q) l from s),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from caseloom.model import ORDER
 from caseloom.operators import arrivals as A
 from caseloom.operators import blocks as B
 from caseloom.operators import context as X
@@ -168,8 +169,7 @@ def _cases(spark, d):
 
 @query("f13_sample_prefix", None)
 def _(spark, d):
-    model = W.transitions(W.prefix_pairs(W.bounded_sequences(l3(spark, d))))
-    return P.sample_sequences(spark, model, _cases(spark, d)).select("caseid", F.array_join("seq", ">").alias("seq"))
+    return P.sample_trie(spark, W.prefix_trie(l3(spark, d), ORDER), _cases(spark, d)).select("caseid", F.array_join("seq", ">").alias("seq"))
 
 
 @query("f13_sample_trigram", None)

@@ -310,3 +310,28 @@ def test_roles_that_look_alike_keep_their_columns(spark):
 
     names = WI.role_columns(["Role 1", "Role-1", "role_1", "Other"])
     assert names == {"Role 1": "role_1", "Role-1": "role_1_2", "role_1": "role_1_3", "Other": "other"}
+
+
+def test_prefix_trie_is_the_prefix_model(spark):
+    from caseloom.model import ORDER
+
+    log = seqs(spark, "ABC", "ACB", "AAD", "DED", "A", "ABCABC", "ABC")
+    model = W.transitions(W.prefix_pairs(W.bounded_sequences(log)))
+    trie = W.prefix_trie(log, ORDER)
+    rows = lambda df: sorted(((tuple(r["ctx"]), r["nxt"], r["n"], r["prob"]) for r in df.collect()))
+    assert rows(W.with_contexts(trie, log, ORDER)) == rows(model)
+    drawn = lambda df: sorted(map(tuple, (r["seq"] for r in df.collect())))
+    assert drawn(P.sample_trie(spark, trie, 30, seed=4)) == drawn(P.sample_sequences(spark, model, 30, seed=4))
+
+
+def test_times_over_a_long_chain_of_links(spark):
+    from caseloom.operators import context as X
+
+    n = 50_000
+    rows = [(1, k, k, [k - 1] if k else None, 1, 2) for k in range(n)] + [(2, 0, 0, None, 5, 10), (2, 1, 1, [0], 1, 1), (2, 2, 2, [0, 1, 9], 3, 1)]
+    df = spark.createDataFrame(rows, "caseid int, idx int, key int, last array<int>, wait_us long, proc_us long")
+    df = df.withColumn("arrival", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    got = X.assemble_links(df).select("caseid", "idx", *[(F.unix_micros(F.col(c).cast("timestamp")) % 1_000_000).alias(c) for c in ("start_ts", "end_ts")])
+    by = {(r["caseid"], r["idx"]): (r["start_ts"], r["end_ts"]) for r in got.collect()}
+    assert by[1, 0] == (0, 2) and by[1, n - 1] == (3 * (n - 1), 3 * (n - 1) + 2)
+    assert [by[2, k] for k in range(3)] == [(0, 10), (11, 12), (15, 16)]

@@ -12,7 +12,7 @@ NAMES = [
     "e15_next_task", "e16_duration_bins", "e17_occurrence", "p1_timeline_contained", "p6_thin_arrivals", "a1_gaps_per_day",
     "a2_gaps_global", "a4_renumber", "a5_window_gaps", "a7_moving_count", "f1_dfg", "f3_footprint_loops", "f9_steps", "f10_causal_links",
     "w1_expanded", "w2_wip", "w4_occupancy", "w6_mean_states", "m5_mae_pairs", "t6_assemble_linear", "n1_ngrams", "n4_arrival_ngrams",
-    "c5_enabling_time", "c15_apply_alignment", "e06_traces", "e18_case_profile", "m3_dl_cases", "m6_dl_mae_cases", "s2_xes", "v4_full_sentences",
+    "f6_prefix_model", "c5_enabling_time", "c15_apply_alignment", "e06_traces", "e18_case_profile", "m3_dl_cases", "m6_dl_mae_cases", "s2_xes", "v4_full_sentences",
     "g2_distributions", "a6_window_stats", "w5_features_own_role",
 ]
 # sessions and conversations are short: segments of four rows
