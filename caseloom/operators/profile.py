@@ -212,19 +212,52 @@ def task_names(log: DataFrame, most: int = 100_000) -> list[str]:
     return sorted(r["task"] for r in rows)
 
 
+def user_task_profile(log: DataFrame) -> DataFrame:
+    """Frequency of every task for every user, zero-filled."""
+    counts = task_user_counts(real_rows(log))
+    grid = counts.select("user").distinct().crossJoin(counts.select("task").distinct())  # that is the output
+    grid = grid.join(counts, ["user", "task"], "left")
+    return grid.select("user", "task", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def user_vectors(log: DataFrame) -> DataFrame:
     """``(user, vec)``: counts per task in name order, zero-filled."""
-    log = real_rows(log)
-    names = F.array(*[F.lit(t) for t in task_names(log)])
-    per = task_user_counts(log).groupBy("user").agg(F.map_from_entries(F.collect_list(F.struct("task", "n"))).alias("m"))
-    return per.select("user", F.transform(names, lambda t: F.coalesce(F.col("m")[t], F.lit(0)).cast("double")).alias("vec"), names.alias("tasks"))
+    return O.gather(user_task_profile(log), ["user"], ["task"], {"vec": "n"}).withColumn("vec", F.col("vec").cast("array<double>"))
 
 
-def user_task_profile(log: DataFrame) -> DataFrame:
-    """Frequency of every task for every user, zero-filled."""
-    return user_vectors(log).select("user", F.explode(F.arrays_zip("tasks", "vec")).alias("e")).select(
-        "user", F.col("e.tasks").alias("task"), F.col("e.vec").cast("long").alias("n")
-    )
+def similar_profiles(counts: DataFrame, threshold: float) -> DataFrame:
+    """``counts(id, feature, n)`` -> ``(a, b, r)``: pairs whose Pearson correlation over all features is above a positive threshold.
+
+    Absent features count as 0, so with T features, mean m and weights w = n / |n - m| the correlation is w_a . w_b - T m_a m_b (means in
+    the same unit). Features go from rare to frequent. If a pair has no common one before the rest of a's weights has a norm of
+    ``threshold`` and of ``sqrt(T) m_a`` at most, then w_a . w_b <= rest * sqrt(1 + T m_b^2) <= threshold + T m_a m_b: it cannot pass. So only
+    pairs that share a feature in both such beginnings are measured, and frequent features make no lists. Profiles are meant
+    to be distinct (see ``similar_users``). Constant profiles have no correlation.
+    """
+    if threshold <= 0:
+        raise ValueError("pairs without a common feature pass a threshold that is not positive")
+    counts = store(counts)
+    features = counts.groupBy("feature").agg(F.count("*").alias("df"))
+    t = features.agg(F.count("*").cast("double").alias("t"))
+    n = F.col("n").cast("double")
+    stats = counts.groupBy("id").agg(F.sum(n).alias("s1"), F.sum(n * n).alias("s2"), F.count("*").alias("k")).crossJoin(t)  # one row
+    # squared distance from the mean; a profile with the same number everywhere has none
+    stats = stats.filter("not (k = t and s2 * t = s1 * s1)").withColumn("scale", F.sqrt(F.col("s2") - F.col("s1") * F.col("s1") / F.col("t")))
+    stats = store(stats.select("id", "scale", "t", (F.col("s1") / (F.col("t") * F.col("scale"))).alias("m")))
+    rows = counts.join(stats, "id").join(features, "feature").select("id", "feature", "df", (n / F.col("scale")).alias("w"), "t", "m")
+    rows = O.scan(O.segment(rows, ["id"], "df"), ["id"], ["df", "feature"], {"before": ("sum", F.col("w") * F.col("w"), "before")})
+    norm2 = 1 + F.col("t") * F.col("m") * F.col("m")
+    limit = F.least(F.lit(threshold), F.sqrt("t") * F.col("m"))
+    rows = store(rows.select("id", "feature", "w", (F.sqrt(F.greatest(norm2 - F.col("before"), F.lit(0.0))) > limit * (1 - 1e-9)).alias("head")))
+    heads = rows.filter("head").select("feature", F.col("id").alias("a"))
+    pairs = heads.join(heads.withColumnRenamed("a", "b"), "feature").filter("a < b").select("a", "b").distinct()
+    left = rows.select(F.col("id").alias("a"), "feature", F.col("w").alias("wa"))
+    right = rows.select(F.col("id").alias("b"), "feature", F.col("w").alias("wb"))
+    dot = pairs.join(left, "a").join(right, ["b", "feature"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    mean = stats.select("id", "m", "t")
+    dot = dot.join(mean.select(F.col("id").alias("a"), F.col("m").alias("ma"), "t"), "a").join(mean.select(F.col("id").alias("b"), F.col("m").alias("mb")), "b")
+    out = dot.select("a", "b", (F.col("dot") - F.col("t") * F.col("ma") * F.col("mb")).alias("r"))
+    return out.filter(F.col("r") > threshold)
 
 
 def _block_pairs(vectors: DataFrame) -> DataFrame:
@@ -264,31 +297,22 @@ def profile_correlation(log: DataFrame) -> DataFrame:
 
 
 def similar_users(log: DataFrame, threshold: float) -> DataFrame:
-    """Edges ``(a, b)`` that connect the same users as all pairs with r above the threshold.
+    """Edges ``(a, b)`` that connect the same users as all pairs with r above the (positive) threshold.
 
-    Per block pair only a spanning set leaves the task: each user points at the smallest user of its
-    local component.
+    Users with proportional profiles are one profile for the pairs, and are linked to its smallest user.
     """
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, r, _ = _correlate(pdf)
-        names = np.unique(np.concatenate([a, b]))
-        ia, ib = np.searchsorted(names, a), np.searchsorted(names, b)
-        x, y = np.nonzero(np.nan_to_num(r, nan=-2.0) > threshold)
-        x, y = ia[x], ib[y]
-        label = np.arange(len(names))
-        while True:
-            new = label.copy()
-            np.minimum.at(new, x, label[y])
-            np.minimum.at(new, y, label[x])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        keep = label != np.arange(len(names))
-        return pd.DataFrame({"a": names[keep], "b": names[label[keep]]})
-
-    return _block_pairs(user_vectors(log)).groupBy("bi", "bj").applyInPandas(forest, "a string, b string")
+    counts = task_user_counts(real_rows(log)).withColumn("n", F.col("n").cast("double"))
+    every = counts.agg(F.countDistinct("task").alias("t"))
+    total = counts.groupBy("user").agg(F.sum("n").alias("all"))
+    shares = counts.join(total, "user").select("user", F.struct("task", (F.col("n") / F.col("all")).alias("share")).alias("e"))
+    profiles = shares.groupBy("user").agg(F.array_sort(F.collect_list("e")).alias("p")).crossJoin(every)  # one row
+    flat = (F.size("p") == F.col("t")) & (F.size(F.array_distinct(F.col("p")["share"])) == 1)
+    profiles = store(profiles.filter(~flat).select("user", "p"))
+    same = store(profiles.groupBy("p").agg(F.min("user").alias("b")))
+    links = profiles.join(same, "p").select(F.col("user").alias("a"), "b").filter("a <> b")
+    heads = same.select(F.col("b").alias("id"), F.explode("p").alias("e"))
+    heads = heads.join(counts, (F.col("id") == counts["user"]) & (F.col("e.task") == counts["task"])).select("id", F.col("e.task").alias("feature"), "n")
+    return links.unionByName(similar_profiles(heads, threshold).select("a", "b"))
 
 
 def discover_roles(log: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -109,3 +109,36 @@ def test_nearest_sequences(spark, swaps):
         pairs = {tuple(row) for row in N.candidates(a.filter("x is not null"), b, limit, swaps).collect()}
         assert {(i, j) for i, j in np.argwhere(d <= limit).tolist()} <= pairs
         assert limit > 1 or len(pairs) < 0.25 * d.size
+
+
+def test_similar_profiles(spark):
+    from caseloom.operators import profile as G
+
+    r = np.random.default_rng(7)
+    dense = np.zeros((90, 40), int)
+    for k in range(90):
+        own = r.choice(40, r.integers(1, 9), replace=False)
+        dense[k, own] = r.integers(1, 20, len(own))
+    dense[60:75] = dense[:15] * 3 + (r.random((15, 40)) < 0.05)
+    dense[75:80] = dense[1]
+    dense[80] = 4  # constant: no correlation
+    dense[81] = 4
+    dense[81, 3] = 5
+    counts = [(int(i), int(j), int(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
+    df = spark.createDataFrame(counts, "id long, feature long, n long")
+    with np.errstate(invalid="ignore"):
+        c = np.corrcoef(dense)
+    for t in (0.1, 0.5, 0.7, 0.95):
+        got = {(x["a"], x["b"]): x["r"] for x in G.similar_profiles(df, t).collect()}
+        want = {(i, j): c[i, j] for i in range(90) for j in range(i + 1, 90) if c[i, j] > t + 1e-9}
+        assert want.keys() <= got.keys() and all(c[k] > t - 1e-9 for k in got)
+        assert all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_roles_link_proportional_profiles(spark):
+    from caseloom.operators import profile as G
+
+    rows = [(f"u{k}", t, n * (k + 1)) for k in range(6) for t, n in (("A", 2), ("B", 1))] + [("v", t, 1) for t in "CD"] + [("w", t, 1) for t in "ABCDE"]
+    log = spark.createDataFrame([(u, t) for u, t, n in rows for _ in range(n)], "user string, task string")
+    edges = {(x["a"], x["b"]) for x in G.similar_users(log, 0.7).collect()}
+    assert edges == {(f"u{k}", "u0") for k in range(1, 6)}
