@@ -113,9 +113,14 @@ def _item(k: int):
     return lambda v: v[k]
 
 
+#: Sentences that one task trains on, at most; the tasks' vectors are put together after each pass.
+SENTENCES = 200_000
+
+
 def token_embedding(words: DataFrame, width: int, window: int = 5, seed: int = 1) -> DataFrame:
     """``(name, vec)`` of every token by skip-gram training over the sentences."""
-    model = Word2Vec(vectorSize=width, minCount=0, windowSize=window, seed=seed, inputCol="words", outputCol="v", maxIter=1).fit(words)
+    tasks = max(1, -(-words.count() // SENTENCES))
+    model = Word2Vec(vectorSize=width, minCount=0, windowSize=window, seed=seed, inputCol="words", outputCol="v", maxIter=1, numPartitions=tasks).fit(words)
     return model.getVectors().select(F.col("word").alias("name"), vector_to_array("vector").alias("vec"))
 
 

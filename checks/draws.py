@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from caseloom.model import ORDER
 from caseloom.operators import arrivals as A
 from caseloom.operators import flow as W
+from caseloom.operators.profile import shares_per_task
+from checks import graph as C
 from checks import synthetic as Y
-from checks.base import QUERIES, l3, query, sql
+from checks.base import QUERIES, l2, l3, query, sql
 
 
 def _bad(condition):
@@ -62,3 +65,40 @@ def _(spark, d):
     )
 
 
+def _far(drawn, model, keys, item):
+    """Number of items whose drawn number is more than five standard deviations (and one) from the model's share."""
+    n = drawn.groupBy(*keys, item).agg(F.count("*").alias("k"))
+    total = drawn.groupBy(*keys).agg(F.count("*").alias("all"))
+    df = model.select(*keys, item, "prob").join(total, keys).join(n, [*keys, item], "left")
+    mean = F.col("all") * F.col("prob")
+    away = F.abs(F.coalesce("k", F.lit(0)) - mean)
+    return df.agg(_bad(away <= 1 + 5 * F.sqrt(mean * F.greatest(1 - F.col("prob"), F.lit(0.0)))).alias("far"))
+
+
+@query("k12_draws_hold", sql("l2", "select count(*) n, count(distinct pos) places, 0 strangers, 0 far from l2"))
+def _(spark, d):
+    """Every row draws one user of its task, each as often as its share says."""
+    log = l2(spark, d)
+    df = QUERIES["k12_weighted_choice"](spark, d).withColumnRenamed("drawn", "user")
+    known = log.select("task", "user").distinct().withColumn("known", F.lit(True))
+    out = df.join(known, ["task", "user"], "left").agg(F.count("*").alias("n"), F.countDistinct("pos").alias("places"), _bad(F.coalesce("known", F.lit(False))).alias("strangers"))
+    model = shares_per_task(log, "user").withColumnRenamed("share", "prob")
+    return out.crossJoin(_far(df, model, ["task"], "user"))  # two single rows
+
+
+@query("f13_shares_hold", sql("l3", "select count(distinct caseid) cases, 0 far from l3"))
+def _(spark, d):
+    """After every prefix the tokens are drawn as often as the model says."""
+    df = QUERIES["f13_sample_prefix"](spark, d).withColumn("seq", F.split("seq", ">"))
+    log = l3(spark, d)
+    model = W.with_contexts(W.prefix_trie(log, ORDER), log, ORDER)
+    return df.agg(F.count("*").alias("cases")).crossJoin(_far(W.prefix_pairs(df), model, ["ctx"], "nxt"))  # two single rows
+
+
+@query("c11_draws_hold", sql("l8", "with " + C.GRAPH + ", " + C.BR + " select count(distinct gate) gates, count(*) paths, 0 outside, 0 sums from gp"))
+def _(spark, d):
+    """Every path of a gateway gets a share, and they add up to 1 but for their rounding."""
+    df = QUERIES["c11_branch_random"](spark, d)
+    sums = df.groupBy("gate").agg(F.sum("prob").alias("s"), F.count("*").alias("k"))
+    sums = sums.agg(F.count("*").alias("gates"), _bad(F.abs(F.col("s") - 1) <= 0.005 * F.col("k") + 1e-9).alias("sums"))
+    return df.agg(F.count("*").alias("paths"), _bad(F.col("prob").between(0, 1)).alias("outside")).crossJoin(sums)  # two single rows
