@@ -211,7 +211,7 @@ def _(spark, d):
 def _(spark, d):
     arr = A.case_arrivals(l3(spark, d))
     s = arr.agg(F.max("ts").alias("t"), F.count("*").alias("n")).first()
-    return P.arrivals_from_windows(P.window_model(A.window_gaps(arr, [4])), s["t"], s["n"])
+    return P.arrivals_from_windows(P.window_model(A.window_gaps(arr)), s["t"], s["n"])
 
 
 @query("a11_best_window", None)
