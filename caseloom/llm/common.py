@@ -51,12 +51,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, per_buc
 
     The first of ``order`` may be any small set of classes. Rows are dealt to buckets by a hash of all columns,
     bucket sizes are counted, and each row's number is the size of what lies before plus its place in the bucket,
-    so no task holds a whole key. Equal rows are interchangeable.
+    so no task holds a whole key. Equal rows are interchangeable; where they crowd a bucket, all rows are dealt by hash and place of reading, from
+    a table that fixes the deal.
     """
     total = df.count()
     n = max(1, -(-total // per_bucket))
     h = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
-    df = df.withColumn("_h", h).withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(n)))
+    bucket = F.pmod(F.shiftright("_h", 20), F.lit(n))
+    df = df.withColumn("_h", h)
+    if n > 1 and df.groupBy(bucket.alias("_b")).count().agg(F.max("count")).first()[0] > 2 * per_bucket:
+        df = store(df.withColumn("_h", F.xxhash64("_h", F.monotonically_increasing_id())))
+    df = df.withColumn("_b", bucket)
     cells = [*keys, *order, "_b"]
     sizes = df.groupBy(*cells).count()
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order, "_b").rowsBetween(Window.unboundedPreceding, -1)
