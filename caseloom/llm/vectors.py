@@ -20,7 +20,7 @@ The sort is a range partitioning by (pass, label, length, hash, random); the las
 window does not cross from one task to the next; the next pass draws other borders.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null
-label, link with nothing. Vectors of different lengths do not link. Repeated rows are vectors of their own and link.
+label, link with nothing. Vectors of different lengths do not link. Repeated rows, and rows that share an id, are vectors of their own.
 A null ``vec_id`` gives null for its component. An empty table gives no rows. Only ``vec_id``, ``embedding`` and
 ``label`` are read.
 """
@@ -50,9 +50,9 @@ TILE = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``(row, vec_id, label, size, v)`` of vectors that can link; v as doubles."""
+    """``(row, label, size, v)`` of the vectors that can link, from ``(row, vec_id, embedding, label)``; v as doubles."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select("vec_id", "label", v.alias("v")).filter("label is not null and vec_id is not null and v is not null")
+    rows = vectors.filter("vec_id is not null").select("row", "label", v.alias("v")).filter("label is not null and v is not null")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.filter(sound & F.exists("v", lambda x: x != 0)).withColumn("size", F.size("v"))
 
@@ -76,13 +76,13 @@ def _hashes(passes: int, seed: int):
                 signs = (_matrix(part.column(3)) @ planes[size] > 0).reshape(len(part), passes, BITS)
                 packed = np.packbits(signs, axis=2)
                 hashes = pa.array([[h.tobytes() for h in row] for row in packed], pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([*part.columns, hashes], names=["vec_id", "label", "size", "v", "hashes"])
+                yield pa.RecordBatch.from_arrays([*part.columns, hashes], names=["row", "label", "size", "v", "hashes"])
 
     return run
 
 
 def _windows(window: int, threshold: float):
-    """Sorted rows (pass, label, size, vec_id, v) -> linked pairs of neighbours."""
+    """Sorted rows (pass, label, size, row, v) -> linked pairs of neighbours."""
 
     def run(batches):
         keys, ids, vecs = np.empty((0, 3), np.int64), np.empty(0, np.int64), None
@@ -121,7 +121,7 @@ def _count_links(threshold: float):
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             left, right = g["side"].to_numpy() != 1, g["side"].to_numpy() != 0
             same = left & right
-            ids = g["vec_id"].to_numpy()
+            ids = g["row"].to_numpy()
             for a in range(0, int(left.sum()), TILE):
                 rows = np.flatnonzero(left)[a : a + TILE]
                 near = x[rows] @ x[right].T >= threshold
@@ -132,8 +132,8 @@ def _count_links(threshold: float):
                     out.append((ids[rows], near.sum(axis=1)))
                     out.append((ids[right], near.sum(axis=0)))
         if not out:
-            return pd.DataFrame({"vec_id": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
-        return pd.DataFrame({"vec_id": np.concatenate([o[0] for o in out]), "n": np.concatenate([o[1] for o in out])})
+            return pd.DataFrame({"row": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
+        return pd.DataFrame({"row": np.concatenate([o[0] for o in out]), "n": np.concatenate([o[1] for o in out])})
 
     return run
 
@@ -159,52 +159,49 @@ def linked_pairs(rows: DataFrame, threshold: float, passes: int | None = None, w
 
 def _round(rows: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
     spark = rows.sparkSession
-    hashed = rows.select("vec_id", "label", "size", "v").mapInArrow(
-        _hashes(passes, seed), "vec_id long, label long, size int, v array<double>, hashes array<binary>"
+    hashed = rows.select("row", "label", "size", "v").mapInArrow(
+        _hashes(passes, seed), "row long, label long, size int, v array<double>, hashes array<binary>"
     )
     hashed = store(hashed)
-    every = hashed.select("vec_id", "label", "size", "v", F.posexplode("hashes").alias("pass", "hash"))
-    every = every.withColumn("spread", F.xxhash64("vec_id", "pass"))
+    every = hashed.select("row", "label", "size", "v", F.posexplode("hashes").alias("pass", "hash"))
+    every = every.withColumn("spread", F.xxhash64("row", "pass"))
     order = ["pass", "label", "size", "hash", "spread"]
     every = every.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
-    pairs = every.select("pass", "label", "size", "vec_id", "v").mapInArrow(_windows(window, threshold), "a long, b long")
+    pairs = every.select("pass", "label", "size", "row", "v").mapInArrow(_windows(window, threshold), "a long, b long")
     return pairs.filter("a <> b").distinct()
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` -> ``(vec_id, n_links, component_id, kept)``, one row per row."""
     vectors = vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("long"))
+    vectors = store(vectors.withColumn("row", F.monotonically_increasing_id()))  # ids may repeat
     rows = usable(vectors)
     pairs = store(linked_pairs(rows, threshold, passes, window))
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    roots = store(components(nodes, pairs).select("id", F.col("root").alias("component")))
-    again = vectors.groupBy("vec_id").count().filter("count > 1 and vec_id is not null")  # repeated ids are linked with themselves
-    roots = store(roots.union(again.join(roots, again["vec_id"] == roots["id"], "left_anti").select("vec_id", "vec_id")))
-    members = rows.join(roots, F.col("vec_id") == F.col("id")).drop("id")
-    members = store(members)
+    roots = store(components(nodes, pairs).select(F.col("id").alias("row"), F.col("root").alias("component")))
+    members = store(rows.join(roots, "row"))
     tiles = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    small = max(4 * parts(vectors.sparkSession), members.count() // (8 * TILE))
     members = members.join(store(tiles), "component")
     # component of one tile: many of them in a group; larger ones: each pair of tiles is a group
-    own = F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int")
     others = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1),
         lambda j: F.struct(
             F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(j == own, 2).when(own < j, 0).otherwise(1).alias("side")
         ),
     )
-    members = members.withColumn("t", F.explode(others)).select("component", "label", "size", "vec_id", "v", "tiles", "t.*")
-    deal = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(4 * parts(vectors.sparkSession)))).otherwise(F.xxhash64("component", "i", "j"))
+    members = members.withColumn("t", F.explode(others)).select("component", "label", "size", "row", "v", "tiles", "t.*")
+    deal = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(small))).otherwise(F.xxhash64("component", "i", "j"))
     counts = members.withColumn("deal", deal).groupBy("deal", F.when(F.col("tiles") > 1, F.col("i")).alias("ti"), F.when(F.col("tiles") > 1, F.col("j")).alias("tj"))
-    counts = counts.applyInPandas(_count_links(threshold), "vec_id long, n long")
-    counts = counts.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    copies = rows.groupBy("vec_id").count()
-    counts = counts.join(copies, "vec_id").select("vec_id", (F.col("n") / F.col("count")).cast("long").alias("n_links"))
-    info = roots.select(F.col("id").alias("vec_id"), "component").join(counts, "vec_id", "left")
-    out = vectors.select("vec_id", "embedding", "label").join(store(info), "vec_id", "left")
-    able = F.col("label").isNotNull() & F.col("embedding").isNotNull()
+    counts = counts.applyInPandas(_count_links(threshold), "row long, n long").groupBy("row").agg(F.sum("n").alias("n_links"))
+    info = vectors.select("row", "vec_id").join(roots, "row")
+    least = info.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    info = info.select("row", "component").join(least, "component").join(counts, "row", "left")
+    out = vectors.select("row", "vec_id").join(store(info), "row", "left")
     return out.select(
         "vec_id",
-        F.coalesce(F.when(able, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component_id", "vec_id").alias("component_id"),
+        (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"),
     )

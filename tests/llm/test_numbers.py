@@ -85,6 +85,10 @@ def test_vectors_empty_and_repeated(spark):
     assert vectors.near_vectors(spark.createDataFrame([], kind)).count() == 0
     got = vectors.near_vectors(spark.createDataFrame([(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0)], kind)).collect()
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in got) == [(0, 0, None), (1, 1, 1), (1, 1, 1)]
+    # rows that share an id have links of their own
+    rows = [(k, [1.0, 0.01 * k], 0) for k in range(4)] + [(1, [0.0, 1.0], 0), (4, [0.0, 0.0], 0), (4, [1.0, 0.0], 0), (0, None, 0), (2, [1.0, 0.0], None)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, kind))
+    assert as_rows(got, "vec_id", "n_links", "component_id", "kept") == sorted(plain_links(rows), key=repr)
 
 
 # ---- archives
