@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
@@ -19,6 +19,7 @@ from caseloom.functions import ordered as O
 from caseloom.functions import vec as V
 from caseloom.functions.rand import hash_order, uniform
 from caseloom.model import ORDER
+from caseloom.operators.clustering import mean_shift, spherical_mixture
 from caseloom.operators.profile import shares_per_task, task_names
 from caseloom.session import cut
 
@@ -147,13 +148,13 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 
 def clusters(df: DataFrame, method: str, k: int = 3, bandwidth: float | None = None, seed: int = 1) -> DataFrame:
-    """``(id, vec, cluster)`` from ``(id, vec)`` by ``kmeans``, ``gmm`` or ``mean_shift``."""
+    """``(id, vec, cluster)`` from ``(id, vec)`` by ``kmeans``, ``gmm`` (spherical) or ``mean_shift``."""
     if method == "mean_shift":
         return mean_shift(df, bandwidth)
-    est = KMeans(k=k, seed=seed) if method == "kmeans" else GaussianMixture(k=k, seed=seed, maxIter=50)
-    est = est.setFeaturesCol("features").setPredictionCol("cluster")
+    if method == "gmm":
+        return spherical_mixture(df, k, seed)
     v = _vectors(df)
-    return est.fit(v).transform(v).select("id", "vec", "cluster")
+    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v).select("id", "vec", "cluster")
 
 
 def _tiles(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -172,54 +173,6 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def mean_shift(df: DataFrame, bandwidth: float, tol: float = 1e-3, most: int = 100) -> DataFrame:
-    """Flat-kernel mean shift: every point moves to the mean of the points within the bandwidth until it
-    rests; resting places within the bandwidth of each other are one cluster."""
-    from caseloom.functions.components import components
-
-    points = cut(df.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")))
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "s": [], "n": []})
-        x, y = np.vstack(a["vec"]), np.vstack(b["vec"])
-        near = (_distances(x, y) <= bandwidth).astype(float)
-        return pd.DataFrame({"id": a["id"].to_numpy(), "s": list(near @ y), "n": near.sum(axis=1).astype(int)})
-
-    kind = dict(points.dtypes)["id"]
-    seeds = points
-    for _ in range(most):
-        got = _tiles(seeds, points).groupBy("ti", "tj").applyInPandas(tile, f"id {kind}, s array<double>, n long").filter("n > 0")
-        total = V.sum_vectors(got, ["id"], "s", "s").join(got.groupBy("id").agg(F.sum("n").alias("n")), "id")
-        moved = cut(
-            seeds.join(total, "id").select("id", "vec", F.transform("s", lambda x: x / F.col("n")).alias("new"))
-        )
-        far = moved.filter(V.distance(F.col("vec"), F.col("new")) > tol * bandwidth).limit(1).count()
-        seeds = moved.select("id", F.col("new").alias("vec"))
-        if not far:
-            break
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        near = _distances(np.vstack(a["vec"]), np.vstack(b["vec"])) <= bandwidth
-        j = np.argmax(near, axis=1)  # one link per row and tile; the rest follows through the linked point
-        i = np.flatnonzero(near.any(axis=1))
-        return pd.DataFrame({"a": a["id"].to_numpy()[i], "b": b["id"].to_numpy()[j[i]]})
-
-    spots = seeds.withColumn("spot", F.transform("vec", lambda x: F.round(x / (bandwidth / 100)))).groupBy("spot").agg(F.min(F.struct("id", "vec")).alias("m"))
-    spots = cut(spots.select("spot", "m.id", "m.vec"))
-    edges = _tiles(spots.select("id", "vec"), spots.select("id", "vec")).groupBy("ti", "tj").applyInPandas(link, f"a {kind}, b {kind}")
-    comp = components(spots.select("id"), edges)
-    ranked = O.global_index(comp.select("root").distinct(), ["root"], "c")
-    name = comp.join(ranked, "root").select("id", (F.col("c") - 1).alias("cluster"))
-    by_spot = spots.join(name, "id").select("spot", "cluster")
-    where = seeds.select("id", F.transform("vec", lambda x: F.round(x / (bandwidth / 100))).alias("spot")).join(by_spot, "spot").select("id", "cluster")
-    return points.join(where, "id")
-
-
 def decompose(df: DataFrame, method: str, k: int = 3) -> DataFrame:
     """``(id, vec)`` in k dimensions by ``pca`` (centred) or ``svd`` (truncated, not centred)."""
     v = _vectors(df)
