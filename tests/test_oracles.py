@@ -8,7 +8,7 @@ from tests.conftest import SF
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # long runs without an oracle; their parts are covered one by one
-SLOW = {"flow_generate_log", "a11_best_window", "v7_mean_shift", "n8_roll_forward", "m7_tsd_match", "v3b_factor_embedding_times"}
+SLOW = {"flow_generate_log", "a11_best_window", "n8_roll_forward", "m7_tsd_match", "v3b_factor_embedding_times"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
