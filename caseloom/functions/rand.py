@@ -57,6 +57,39 @@ def lognormal(u1: Column, u2: Column, mean: Column, var: Column) -> Column:
     return F.exp(normal(u1, u2, F.log(mean) - s2 / 2, F.sqrt(s2)))
 
 
+def _mixed(seed: np.ndarray, salt: int) -> np.ndarray:
+    """Uniforms in (0, 1) from 64-bit seeds and a number of the draw."""
+    x = seed + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / _TWO53
+
+
+@F.pandas_udf(DoubleType())
+def normal_above(h: pd.Series, low: pd.Series) -> pd.Series:
+    """Standard normal draws above ``low``, exact at any bound; ``h`` is a 64-bit hash that seeds each row.
+
+    Up to 0.5 normals are redrawn until one is above; beyond, exponentials that start at the bound are redrawn until accepted. A null
+    bound gives null.
+    """
+    a = low.to_numpy(float)
+    out = np.full(len(a), np.nan)
+    seed = h.to_numpy("int64").view("uint64")
+    rate = (np.maximum(a, 0) + np.sqrt(np.maximum(a, 0) ** 2 + 4)) / 2
+    todo, step = np.flatnonzero(~np.isnan(a)), 0
+    with np.errstate(over="ignore"):
+        while len(todo):
+            u, v = _mixed(seed[todo], 2 * step + 1), _mixed(seed[todo], 2 * step + 2)
+            tail = a[todo] > 0.5
+            z = np.where(tail, a[todo] - np.log(u) / rate[todo], np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v))
+            ok = np.where(tail, v < np.exp(-((z - rate[todo]) ** 2) / 2), z > a[todo])
+            out[todo[ok]] = z[ok]
+            todo = todo[~ok]
+            step += 1
+    return pd.Series([None if np.isnan(z) else z for z in out], dtype=object)
+
+
 @F.pandas_udf(DoubleType())
 def gamma(h: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
     """Gamma draws; ``h`` is a 64-bit hash that seeds each row (squeeze method, redrawn until accepted)."""
@@ -71,11 +104,7 @@ def gamma(h: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
 
         def draw(ix, salt):
-            x = seed[ix] + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            return ((x >> np.uint64(11)).astype(float) + 0.5) / _TWO53
+            return _mixed(seed[ix], salt)
 
         extra = draw(np.arange(len(k)), 1)
         while len(todo):

@@ -335,3 +335,24 @@ def test_times_over_a_long_chain_of_links(spark):
     by = {(r["caseid"], r["idx"]): (r["start_ts"], r["end_ts"]) for r in got.collect()}
     assert by[1, 0] == (0, 2) and by[1, n - 1] == (3 * (n - 1), 3 * (n - 1) + 2)
     assert [by[2, k] for k in range(3)] == [(0, 10), (11, 12), (15, 16)]
+
+
+@pytest.mark.parametrize("low", [-2.5, 0.0, 0.7, 4.0])
+def test_normal_draws_above_a_bound(spark, low):
+    """Mean and share above a further point as the truncated normal has them; no draw at or below the bound."""
+    import statistics
+
+    from caseloom.functions import rand as R
+
+    n = 20_000
+    df = spark.range(n).select("id", R.normal_above(F.xxhash64("id"), F.lit(low)).alias("z"))
+    z = np.array([r["z"] for r in df.collect()])
+    phi = statistics.NormalDist()
+    above = phi.cdf(-low)
+    mean = phi.pdf(low) / above
+    assert (z > low).all() and abs(z.mean() - mean) < 5 * z.std() / n**0.5
+    share = phi.cdf(-low - 0.3) / above
+    assert abs((z > low + 0.3).mean() - share) < 5 * (share * (1 - share) / n) ** 0.5
+    again = df.repartition(3).orderBy("id").collect()
+    assert [r["z"] for r in again] == list(z)
+    assert spark.range(1).select(R.normal_above(F.col("id"), F.lit(None).cast("double")).alias("z")).first()["z"] is None
