@@ -10,8 +10,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,6 +171,31 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def right_vectors(rows: DataFrame, k: int) -> np.ndarray:
+    """The first k right singular vectors of ``rows(vec)`` as columns; the largest entry of each is positive.
+
+    Tasks add up products of dimensions; their (dimensions x dimensions) sums reach the driver.
+    """
+
+    def products(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.vstack(pdf["vec"])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = (g.ravel() for g in np.indices(total.shape))
+            yield pd.DataFrame({"i": i, "j": j, "x": total.ravel()})
+
+    sums = rows.select("vec").mapInPandas(products, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    d = max((r["i"] for r in sums), default=-1) + 1
+    gram = np.zeros((d, d))
+    for r in sums:
+        gram[r["i"], r["j"]] = r["x"]
+    basis = np.linalg.eigh(gram)[1][:, ::-1][:, :k]
+    return basis * np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])]) if d else basis
+
+
 def decompose(df: DataFrame, method: str, k: int = 3) -> DataFrame:
     """``(id, vec)`` in k dimensions by ``pca`` (centred) or ``svd`` (truncated, not centred)."""
     v = _vectors(df)
@@ -180,9 +203,8 @@ def decompose(df: DataFrame, method: str, k: int = 3) -> DataFrame:
         v = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(v).transform(v)
         out = PCA(k=k, inputCol="centred", outputCol="pc").fit(v).transform(v)
         return out.select("id", vector_to_array("pc").alias("vec"))
-    rows = df.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    svd = RowMatrix(rows.select("vec").rdd.map(lambda r: Vectors.dense(r["vec"]))).computeSVD(k, computeU=False)
-    basis = svd.V.toArray()  # one small column per dimension
+    rows = df.filter("vec is not null").select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    basis = right_vectors(rows, k)
     dims = [V.dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in basis[:, c]])) for c in range(basis.shape[1])]
     return rows.select("id", F.array(*dims).alias("vec"))
 

@@ -78,3 +78,15 @@ def test_clusters_of_nothing_and_of_one_point(spark):
         assert E.clusters(frame(spark, []), method, bandwidth=1.0).count() == 0
         got = E.clusters(frame(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None)]), method, k=1, bandwidth=1.0).collect()
         assert [(r["id"], r["cluster"]) for r in sorted(got)] == [(1, 0), (2, 0)]
+
+
+def test_truncated_decomposition(spark):
+    x = np.random.default_rng(2).normal(1, 2, (200, 7)) * np.arange(1, 8)
+    df = frame(spark, [(int(i), [float(v) for v in row]) for i, row in enumerate(x)])
+    got = np.array([r["vec"] for r in sorted(E.decompose(df, "svd", k=3).collect())])
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    want = u[:, :3] * s[:3]
+    assert np.allclose(np.abs(got), np.abs(want), rtol=1e-6, atol=1e-6)
+    v = vt[:3].T
+    assert np.allclose(got, x @ (v * np.sign(v[np.abs(v).argmax(axis=0), range(3)])), rtol=1e-6, atol=1e-6)
+    assert E.decompose(frame(spark, []), "svd").count() == 0
