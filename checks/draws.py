@@ -102,3 +102,18 @@ def _(spark, d):
     sums = df.groupBy("gate").agg(F.sum("prob").alias("s"), F.count("*").alias("k"))
     sums = sums.agg(F.count("*").alias("gates"), _bad(F.abs(F.col("s") - 1) <= 0.005 * F.col("k") + 1e-9).alias("sums"))
     return df.agg(F.count("*").alias("paths"), _bad(F.col("prob").between(0, 1)).alias("outside")).crossJoin(sums)  # two single rows
+
+
+@query("v8_decompositions_hold", sql("", """select m method, count(*) n, 0 lean, 0 unordered from embeddings, (select unnest(['pca','svd']) m) z where embedding is not null group by 1"""))
+def _(spark, d):
+    """New dimensions of all rows are orthogonal and come in the order of their energy."""
+    out = None
+    for m in ("pca", "svd"):
+        v = QUERIES[f"v8_{m}"](spark, d).select(*[F.element_at("vec", k + 1).alias(f"x{k}") for k in range(3)])
+        e = {f"e{a}{b}": F.sum(F.col(f"x{a}") * F.col(f"x{b}")) for a in range(3) for b in range(a, 3)}
+        s = v.agg(F.count("*").alias("n"), *[x.alias(k) for k, x in e.items()])
+        lean = sum((F.abs(f"e{a}{b}") > 1e-6 * F.sqrt(F.col(f"e{a}{a}") * F.col(f"e{b}{b}"))).cast("long") for a, b in ((0, 1), (0, 2), (1, 2)))
+        order = (F.col("e00") < F.col("e11")).cast("long") + (F.col("e11") < F.col("e22")).cast("long")
+        one = s.select(F.lit(m).alias("method"), "n", lean.alias("lean"), order.alias("unordered"))
+        out = one if out is None else out.unionByName(one)
+    return out
