@@ -19,9 +19,12 @@ from caseloom.functions.rand import hash_order, uniform
 from caseloom.model import ORDER
 from caseloom.operators.clustering import mean_shift, spherical_mixture
 from caseloom.operators.profile import shares_per_task, task_names
-from caseloom.session import cut
+from caseloom.session import cut, store
 
-TILE = 1024
+#: Distances that a task holds at once.
+CELLS = 1 << 22
+#: Vectors of a tile, least and most, and tiles that are made before tiles grow.
+TILE, MOST, SPREAD = 256, 16_384, 16
 
 
 def embedding_width(log: DataFrame) -> DataFrame:
@@ -155,20 +158,26 @@ def clusters(df: DataFrame, method: str, k: int = 3, bandwidth: float | None = N
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v).select("id", "vec", "cluster")
 
 
-def _tiles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of both sides by tile pair (``side`` 0 and 1), each tile about TILE rows."""
-    ta, tb = (max(1, math.ceil(x.count() / TILE)) for x in (left, right))
-    key = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
-    a = left.withColumns({"ti": key(ta), "tj": F.explode(F.sequence(F.lit(0), F.lit(tb - 1))), "side": F.lit(0)})
-    b = right.withColumns({"tj": key(tb), "ti": F.explode(F.sequence(F.lit(0), F.lit(ta - 1))), "side": F.lit(1)})
-    return a.unionByName(b)
+def _tile_pairs(df: DataFrame) -> DataFrame:
+    """Each row with the pairs of tiles ``(ti, tj)``, ti <= tj, that its tile (``at``) is in: any two tiles meet once."""
+    n = df.count()
+    tiles = max(1, math.ceil(n / min(MOST, max(TILE, math.ceil(n / SPREAD)))))
+    own = F.pmod(F.xxhash64("id", F.lit(tiles)), F.lit(tiles)).cast("int")
+    every = df.withColumns({"at": own, "_u": F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))})
+    return every.withColumns({"ti": F.least("at", "_u"), "tj": F.greatest("at", "_u")}).drop("_u")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)))
-    for k in range(0, len(a), 32):  # a few rows at a time keeps the differences in the cache
-        out[k : k + 32] = np.sqrt(((a[k : k + 32, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return out
+    """Distances from inner products; where these lose digits (near vectors, or not finite), from the differences."""
+    na, nb = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)
+    out = na + nb
+    floor = 1e-5 * out
+    out -= 2 * (a @ b.T)
+    i, j = np.nonzero(~(out > floor) | ~np.isfinite(out))
+    for k in range(0, len(i), 1 << 16):
+        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        out[x, y] = ((a[x] - b[y]) ** 2).sum(axis=1)
+    return np.sqrt(out, out=out)
 
 
 def right_vectors(rows: DataFrame, k: int) -> np.ndarray:
@@ -210,33 +219,58 @@ def decompose(df: DataFrame, method: str, k: int = 3) -> DataFrame:
 
 
 def silhouette(df: DataFrame) -> DataFrame:
-    """One row: the mean silhouette (Euclid) of ``(id, vec, cluster)``; points alone in a cluster give 0.
+    """One row: the mean silhouette (Euclid) of ``(id, vec, cluster)``; points alone in a cluster give 0."""
+    return silhouettes(df, {0: F.col("cluster")}).agg(F.max("silhouette").alias("silhouette"))
+
+
+def silhouettes(df: DataFrame, clusterings: dict[str, Column]) -> DataFrame:
+    """``(method, silhouette)`` of several clusterings of ``(id, vec)``, from one pass over the distances.
 
     Tiles sum the distances per point and cluster, so no pair leaves its task.
     """
-    pts = df.select("id", "cluster", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    cols = [f"c{k}" for k in range(len(clusterings))]
+    pts = store(df.select("id", "vec", *[c.cast("string").alias(n) for n, c in zip(cols, clusterings.values())]))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "own": [], "other": [], "s": [], "n": []})
-        d = _distances(np.vstack(a["vec"]), np.vstack(b["vec"]))
-        names, code = np.unique(b["cluster"], return_inverse=True)
-        hot = np.eye(len(names))[code]
-        sums = d @ hot
-        i, j = (g.ravel() for g in np.indices(sums.shape))
-        return pd.DataFrame({"id": a["id"].to_numpy()[i], "own": a["cluster"].to_numpy()[i], "other": names[j], "s": sums.ravel(), "n": hot.sum(axis=0).astype(int)[j]})
-
-    kind = dict(pts.dtypes)
-    schema = f"id {kind['id']}, own {kind['cluster']}, other {kind['cluster']}, s double, n long"
-    part = _tiles(pts, pts).groupBy("ti", "tj").applyInPandas(tile, schema)
-    per = part.groupBy("id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        pair, one = pdf[["ti", "tj"]].iloc[0], pdf["ti"].iloc[0] == pdf["tj"].iloc[0]
+        sides = [pdf[pdf["at"] == t].reset_index(drop=True) for t in ([pair["ti"]] if one else pair)]
+        if any(side.empty for side in sides):
+            return pd.DataFrame({"id": [], "k": [], "own": [], "other": [], "s": [], "n": []}).astype({"own": str, "other": str})
+        x, y = (np.vstack(side["vec"]).astype(float) for side in (sides[0], sides[-1]))
+        found = [[pd.factorize(side[c]) for c in cols] for side in sides]  # codes of the clusters, -1 for null
+        hots = [[np.eye(len(names) + 1)[:, : len(names)][code] for code, names in f] for f in found]
+        wide = [np.hstack(h) for h in hots]
+        sums = [np.zeros((len(x), wide[-1].shape[1])), np.zeros((len(y), wide[0].shape[1]))]
+        some = max(1, CELLS // len(y))
+        for k in range(0, len(x), some):
+            d = _distances(x[k : k + some], y)
+            sums[0][k : k + some] = d @ wide[-1]
+            if not one:
+                sums[1] += d.T @ wide[0][k : k + some]
+        out = []
+        for at, side in enumerate(sides):
+            begin, (codes, hot) = 0, (found[at - 1], hots[at - 1])
+            for k, c in enumerate(cols):
+                names, size = list(codes[k][1]), hot[k].sum(axis=0)
+                s = sums[at][:, begin : begin + len(names)]
+                begin += len(names)
+                if one:  # so that every row has one, whatever the clusters
+                    names, size, s = [*names, None], np.r_[size, 0], np.hstack([s, np.zeros((len(s), 1))])
+                i, j = (g.ravel() for g in np.indices(s.shape))
+                other = np.array(names, dtype=object)
+                out.append(pd.DataFrame({"id": side["id"].to_numpy()[i], "k": k, "own": side[c].to_numpy()[i], "other": other[j], "s": s.ravel(), "n": size.astype(int)[j]}))
+        return pd.concat(out)
+
+    schema = f"id {dict(pts.dtypes)['id']}, k int, own string, other string, s double, n long"
+    part = _tile_pairs(pts).groupBy("ti", "tj").applyInPandas(tile, schema)
+    per = part.groupBy("k", "id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     same = F.col("own") == F.col("other")
-    ab = per.groupBy("id").agg(
+    ab = per.groupBy("k", "id").agg(
         F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b")
     )
     val = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return ab.agg(F.avg(val).alias("silhouette"))
+    method = F.element_at(F.array(*[F.lit(m) for m in clusterings]), F.col("k") + 1)
+    return ab.groupBy("k").agg(F.avg(val).alias("silhouette")).select(method.alias("method"), "silhouette")
 
 
 def calinski_harabasz(df: DataFrame) -> DataFrame:
@@ -259,5 +293,10 @@ def best_clustering(scores: DataFrame, ascending: bool = False) -> DataFrame:
     return scores.orderBy(*o).limit(1)
 
 
-def scores(df: DataFrame, name: Column) -> DataFrame:
-    return silhouette(df).crossJoin(calinski_harabasz(df)).select(name.alias("method"), "silhouette", "calinski_harabasz")  # two single rows
+def scores(df: DataFrame, clusterings: dict[int, Column]) -> DataFrame:
+    """``(method, silhouette, calinski_harabasz)`` of clusterings of ``(id, vec)``; a few rows, stored."""
+    disperse = None
+    for m, c in clusterings.items():
+        one = calinski_harabasz(df.withColumn("cluster", c)).withColumn("method", F.lit(m))
+        disperse = one if disperse is None else disperse.unionByName(one)
+    return cut(disperse.join(silhouettes(df, clusterings), "method", "left").select("method", "silhouette", "calinski_harabasz"))

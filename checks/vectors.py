@@ -143,10 +143,7 @@ select 'highest' pick, * from (select * from sc order by silhouette desc, calins
 union all select 'lowest', * from (select * from sc order by silhouette, calinski_harabasz limit 1) b"""))
 def _(spark, d):
     p = points(spark, d)
-    rows = None
-    for m in (2, 3, 5, 10):
-        s = E.scores(p.withColumn("cluster", F.col("cluster") % m), F.lit(m))
-        rows = s if rows is None else rows.unionByName(s)
+    rows = E.scores(p, {m: F.col("cluster") % m for m in (2, 3, 5, 10)})
     rows = rows.select(F.col("method").alias("mm"), F.round("silhouette", 6).alias("silhouette"), F.round("calinski_harabasz", 6).alias("calinski_harabasz"))
     hi, lo = E.best_clustering(rows), E.best_clustering(rows, ascending=True)
     return hi.select(F.lit("highest").alias("pick"), "*").unionByName(lo.select(F.lit("lowest").alias("pick"), "*"))
