@@ -3,9 +3,12 @@
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from caseloom.functions import distance as D
 from caseloom.model import LIFECYCLE
 from caseloom.operators import blocks as B
+from caseloom.operators import embed as E
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -27,3 +30,56 @@ def test_block_model_runs_its_input_once(spark):
     got = B.block_model(life).filter("kind = 'first'").collect()
     assert [(r["token"], r["n"], r["prob"]) for r in got] == [("[A | E]", 5, 1.0)]
     assert seen.value == len(rows)
+
+
+def plain_silhouette(rows):
+    """Pairs one by one."""
+    out = []
+    for i, (x, c) in enumerate(rows):
+        far = {}
+        for j, (y, o) in enumerate(rows):
+            if o is not None:
+                far.setdefault(o, []).append(float(np.linalg.norm(np.array(x) - np.array(y))))
+        own = far.pop(c, [])
+        if c is None or len(own) < 2:
+            out.append(0.0)
+            continue
+        a, b = sum(own) / (len(own) - 1), min((sum(v) / len(v) for v in far.values()), default=None)
+        out.append((b - a) / max(a, b) if b is not None and max(a, b) else 0.0)
+    return sum(out) / len(out)
+
+
+def test_silhouettes_of_several_clusterings_read_the_points_once(spark, monkeypatch):
+    monkeypatch.setattr(E, "TILE", 4)
+    monkeypatch.setattr(E, "CELLS", 16)
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=3).tolist(), None if k == 7 else k % 4) for k in range(30)] + [(30 + k, [1.0, 1.0, 1.0], 5) for k in range(3)] + [(40, [1.0, 1.0, 1.0 + 1e-7], 0)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "id long, vec array<double>, cluster int")
+    df = df.mapInArrow(count, df.schema)
+    ways = {1: F.col("cluster"), 2: F.col("cluster") % 2}
+    got = {r["method"]: r["silhouette"] for r in E.silhouettes(df, ways).collect()}
+    assert seen.value == len(rows)
+    want = {1: plain_silhouette([(v, c) for _, v, c in rows]), 2: plain_silhouette([(v, None if c is None else c % 2) for _, v, c in rows])}
+    assert got.keys() == want.keys() and all(abs(got[m] - want[m]) < 1e-9 for m in want)
+
+
+def test_distance_tables_equal_the_pairwise_distances():
+    rng = np.random.default_rng(1)
+    draw = lambda n, size, letters: [rng.integers(1, letters + 1, rng.integers(0, size + 1)) for _ in range(n)]
+    for letters, size in ((2, 5), (3, 9), (6, 14), (1, 4)):
+        left, right = draw(20, size, letters), draw(17, size, letters)
+        i, j = (g.ravel() for g in np.indices((20, 17)))
+        (a, la), (b, lb) = D.pad(left), D.pad(right)
+        assert (D.damerau_levenshtein_table(left, right).ravel() == D.damerau_levenshtein(a[i], la[i], b[j], lb[j], letters)).all()
+        sides = [[(s, rng.random(len(s)) * rng.integers(0, 2, len(s)), rng.random(len(s))) for s in side] for side in (left, right)]
+        (pa, wa), (pb, wb) = ([D.pad([s[k] for s in side], dtype=float)[0] for k in (1, 2)] for side in sides)
+        par = rng.random((letters + 1, letters + 1)) < 0.5
+        want = D.timed_distance(a[i], la[i], pa[i], wa[i], b[j], lb[j], pb[j], wb[j], par)
+        assert (D.timed_distance_table(*sides, par).ravel() == want).all()
