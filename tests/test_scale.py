@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from caseloom.functions import distance as D
@@ -32,6 +33,18 @@ def test_block_model_runs_its_input_once(spark):
     assert seen.value == len(rows)
 
 
+def test_blocks_may_begin_with_activities_without_a_name(spark):
+    rows = []
+    for k, (t, d) in enumerate([("A", "+"), ("A", "-"), ("B", "+"), (None, "+"), ("B", "-"), (None, "-"), ("E", "+"), ("E", "-")]):
+        rows.append(("c", t, "u", T0 + dt.timedelta(minutes=k), "start" if d == "+" else "complete", k))
+    # pairing drops activities without a name, so the items are tried on rows of their own
+    acts = [{"pos": p, "task": t, "next": None, "next_act": None, "block_end": 9, "is_first": True} for p, t in ((2, "B"), (3, None))]
+    batch = pa.RecordBatch.from_pylist([{"token": "[A | E]", "acts": acts}])
+    items = pa.Table.from_batches(B._block_items([batch])).to_pylist()
+    assert [e["names"] for e in items[0]["item"]] == [[None], ["B"]]
+    assert B.block_model(spark.createDataFrame(rows, LIFECYCLE)).filter("kind = 'first'").count() == 1
+
+
 def plain_silhouette(rows):
     """Pairs one by one."""
     out = []
