@@ -37,7 +37,7 @@ def test_blocks_may_begin_with_activities_without_a_name(spark):
     rows = []
     for k, (t, d) in enumerate([("A", "+"), ("A", "-"), ("B", "+"), (None, "+"), ("B", "-"), (None, "-"), ("E", "+"), ("E", "-")]):
         rows.append(("c", t, "u", T0 + dt.timedelta(minutes=k), "start" if d == "+" else "complete", k))
-    # pairing drops activities without a name, so the items are tried on rows of their own
+    # the items are tried on rows of their own, where the unnamed activity is one of the first
     acts = [{"pos": p, "task": t, "next": None, "next_act": None, "block_end": 9, "is_first": True} for p, t in ((2, "B"), (3, None))]
     batch = pa.RecordBatch.from_pylist([{"token": "[A | E]", "acts": acts}])
     items = pa.Table.from_batches(B._block_items([batch])).to_pylist()
