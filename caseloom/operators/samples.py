@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -126,6 +128,26 @@ def flat_features(grams: DataFrame, n: int) -> DataFrame:
     return grams.select(*keep, *[c.cast("double").alias(f"x{k}") for k, c in enumerate(cols)])
 
 
+#: Rows that one task of a training pass reads, about.
+PART_ROWS = 1_000_000
+
+
+def training_rows(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """``rows`` of ``flat_features`` cached for training, in partitions of ``part_rows`` rows, or one per core if that is more.
+
+    Boosting is hundreds of passes, and every task of a pass reports to the driver, so there are no more partitions than the
+    rows need. Rows are dealt and sorted by their keys: a model does not depend on the order in which they arrive.
+    """
+    rows = rows.cache()
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / part_rows))
+    if rows.rdd.getNumPartitions() <= n:
+        return rows
+    packed = rows.repartition(n, "caseid", "ngram_num").sortWithinPartitions(*rows.columns).cache()
+    packed.count()
+    rows.unpersist()
+    return packed
+
+
 def duration_model(train: DataFrame, target: str, n: int, depths=(2, 4), trees: int = 5, seed: int = 1):
     """Boosted trees over the flat features, the depth chosen on a held-out part by mean absolute error."""
     x = VectorAssembler(inputCols=[f"x{k}" for k in range(3 * n + 8)], outputCol="features")

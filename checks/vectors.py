@@ -257,7 +257,7 @@ def fitted(spark, d, n=3):
     log = P.timeline_contained(l3(spark, d))
     ids = S.category_index(l3(spark, d), "task")
     rows = lambda part: N.flat_features(N.sliding_ngrams(N.event_features(log.filter(F.col("split") == part), ids), n), n)
-    train = rows("train").cache()
+    train = N.training_rows(rows("train"))
     models = {t: N.duration_model(train, "y_" + t, n) for t in ("proc", "wait")}
     return models, rows("test"), ids
 

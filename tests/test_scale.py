@@ -10,6 +10,7 @@ from caseloom.functions import distance as D
 from caseloom.model import LIFECYCLE
 from caseloom.operators import blocks as B
 from caseloom.operators import embed as E
+from caseloom.operators import samples as N
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -96,3 +97,13 @@ def test_distance_tables_equal_the_pairwise_distances():
         par = rng.random((letters + 1, letters + 1)) < 0.5
         want = D.timed_distance(a[i], la[i], pa[i], wa[i], b[j], lb[j], pb[j], wb[j], par)
         assert (D.timed_distance_table(*sides, par).ravel() == want).all()
+
+
+def test_training_rows_are_as_few_partitions_as_they_need(spark):
+    rows = spark.range(0, 1000, 1, 40).select(F.concat(F.lit("c"), F.col("id") % 7).alias("caseid"), F.col("id").alias("ngram_num"))
+    got = N.training_rows(rows)
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert N.training_rows(rows, 50).rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    few = spark.range(0, 10, 1, 2).select(F.lit("c").alias("caseid"), F.col("id").alias("ngram_num"))
+    assert N.training_rows(few).rdd.getNumPartitions() == 2
