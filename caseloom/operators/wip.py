@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import ordered as O
 from caseloom.model import END, ORDER, START
 from caseloom.operators.shape import to_lifecycle
+from caseloom.session import store
 
 
 def expanded(log: DataFrame) -> DataFrame:
@@ -104,21 +105,38 @@ def attach_features(log: DataFrame, roles: DataFrame, mode: str = "all", dual: b
     df = log
     if mode == "own":
         df = O.neighbours(df, ["caseid"], ORDER, next={"next_role": "role"})
-    wip, twip = process_wip(log), task_wip(log)
-    occ = all_occupancies(log, roles) if mode == "all" else role_occupancy(log, roles)
+    df = store(df)  # the changes of three kinds and the joins read it
+    wip, twip = process_wip(df), task_wip(df)
+    if mode == "all":
+        states = _states(wip.join(all_occupancies(df, roles), "ts", "left"), {"t_wip": ("task", twip)})
+    else:
+        occ = store(role_occupancy(df, roles))
+        states = _states(wip, {"t_wip": ("task", twip), "oc": ("role", occ.withColumnRenamed("occupancy", "oc"))})
+    states = store(states)
+    kinds = {"t_wip": "task"} if mode == "all" else {"t_wip": "task", "oc": "role"}
     for tag, ts in (("st", "start_ts"), ("end", "end_ts"))[: 2 if dual else 1]:
-        df = df.join(wip.select(F.col("ts").alias(ts), F.col("wip").alias(f"{tag}_wip")), ts, "left")
-        df = df.join(twip.select("task", F.col("ts").alias(ts), F.col("t_wip").alias(f"{tag}_t_wip")), ["task", ts], "left")
-        if mode == "all":
-            cols = [c for c in occ.columns if c != "ts"]
-            df = df.join(occ.select(F.col("ts").alias(ts), *[F.col(c).alias(c[: -len("_oc")] + f"_{tag}_oc") for c in cols]), ts, "left")
-        else:
-            df = df.join(occ.select("role", F.col("ts").alias(ts), F.col("occupancy").alias(f"{tag}_oc")), ["role", ts], "left")
+        at = states.withColumnsRenamed({c: c[: -len("_oc")] + f"_{tag}_oc" for c in states.columns if c.endswith("_oc")})
+        at = at.withColumnsRenamed({"ts": ts, "wip": f"{tag}_wip"} | {k: f"_{k}" for k in kinds})
+        df = df.join(at, ts, "left")
+        df = df.withColumns({f"{tag}_{k}": F.when(F.col(c).isNotNull(), F.try_element_at(f"_{k}", c)) for k, c in kinds.items()})
+        df = df.drop(*[f"_{k}" for k in kinds])
     if mode == "own":
-        df = _last_occupancy(df, occ).withColumn("next_oc", F.coalesce("next_oc", F.lit(0.0)))
+        df = _last_occupancy(store(df), occ).withColumn("next_oc", F.coalesce("next_oc", F.lit(0.0)))
     return df
 
 
+def _states(wip: DataFrame, values: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """``wip`` with, per timestamp, the values of the keys that change at it as maps: name -> (key column, table).
+
+    A timestamp has a key once, so a map is at most the vocabulary; all values then join by time in one shuffle.
+    """
+    for name, (key, df) in values.items():
+        pair = F.struct(F.col(key).alias("key"), F.col(name).alias("value"))
+        maps = df.filter(F.col(key).isNotNull()).groupBy("ts").agg(F.map_from_entries(F.collect_list(pair)).alias(name))
+        wip = wip.join(maps, "ts", "left")
+    return wip
+
+
 def _last_occupancy(df: DataFrame, occ: DataFrame) -> DataFrame:
     """Occupancy of the next role as of the activity's start: markers and probes in one ordered pass."""
     marks = occ.select(F.col("role").alias("r"), F.col("ts").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("caseid"), F.col("occupancy").alias("v"))

@@ -11,6 +11,7 @@ from caseloom.model import LIFECYCLE
 from caseloom.operators import blocks as B
 from caseloom.operators import embed as E
 from caseloom.operators import samples as N
+from caseloom.operators import wip as X
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -107,3 +108,32 @@ def test_training_rows_are_as_few_partitions_as_they_need(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
     few = spark.range(0, 10, 1, 2).select(F.lit("c").alias("caseid"), F.col("id").alias("ngram_num"))
     assert N.training_rows(few).rdd.getNumPartitions() == 2
+
+
+def test_features_read_their_log_once(spark):
+    rows = [(f"c{c}", t, u, T0 + dt.timedelta(minutes=c + k), T0 + dt.timedelta(minutes=c + k + 2), 10 * c + k, r)
+            for c in range(4) for k, (t, u, r) in enumerate([("Start", "Start", None), ("a", "u1", "R1"), ("b", "u2", "R2"), (None, None, None), ("End", "End", None)])]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    log = spark.createDataFrame(rows, "caseid string, task string, user string, start_ts timestamp_ntz, end_ts timestamp_ntz, pos long, role string")
+    log = log.mapInArrow(count, log.schema)
+    roles = spark.createDataFrame([("u1", "R1"), ("u2", "R2"), ("u3", "R2")], "user string, role string")
+    got = {(r["caseid"], r["pos"]): r for r in X.attach_features(log, roles, mode="own").collect()}
+    assert seen.value == len(rows) == len(got)
+
+    def state(at, hit):
+        return sum((r[3] <= at) - (r[4] <= at) for r in rows if hit(r))
+
+    for r in rows:
+        g = got[r[0], r[5]]
+        for tag, at in (("st", r[3]), ("end", r[4])):
+            if r[6] is not None:
+                assert g[f"{tag}_t_wip"] == state(at, lambda x: x[1] == r[1] and x[6] is not None)
+                assert g[f"{tag}_oc"] == state(at, lambda x: x[6] == r[6]) / (1 if r[6] == "R1" else 2)
+            elif r[1] is None:
+                assert g[f"{tag}_t_wip"] is None and g[f"{tag}_oc"] is None
