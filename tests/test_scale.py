@@ -10,6 +10,8 @@ from caseloom.functions import distance as D
 from caseloom.model import LIFECYCLE
 from caseloom.operators import blocks as B
 from caseloom.operators import embed as E
+from caseloom.operators import profile as G
+from caseloom.operators import sample as P
 from caseloom.operators import samples as N
 from caseloom.operators import wip as X
 
@@ -137,3 +139,21 @@ def test_features_read_their_log_once(spark):
                 assert g[f"{tag}_oc"] == state(at, lambda x: x[6] == r[6]) / (1 if r[6] == "R1" else 2)
             elif r[1] is None:
                 assert g[f"{tag}_t_wip"] is None and g[f"{tag}_oc"] is None
+
+
+def test_window_draws_stop_for_widths_that_have_enough(spark, monkeypatch):
+    rows = [(1, k, d, G.EXPONENTIAL, 0.0, 300.0, 0.0, 9) for k in range(1, 25) for d in range(7)]
+    rows += [(12, 1, 0, G.FIXED, 9000.0, 0.0, 0.0, 4), (12, 2, 3, G.GAMMA, 20000.0, 4e6, 0.0, 1), (12, 1, 4, G.FIXED, 0.0, 0.0, 0.0, 50)]
+    model = spark.createDataFrame(rows, "w int, window int, weekday int, dname string, mean double, arg1 double, arg2 double, num int")
+    start, asked = dt.datetime(2024, 1, 1), []
+    real = P.draw_distribution
+    monkeypatch.setattr(P, "draw_distribution", lambda d, *a: asked.append(d.select("w", "id").distinct().collect()) or real(d, *a))
+    got = P.arrivals_from_windows(model, start, 100).collect()
+    slots = [tuple(r) for part in asked for r in part]
+    assert len(slots) == len(set(slots))  # no window is drawn twice
+    assert max(i for w, i in slots if w == 1) < 60 * 24 <= max(i for w, i in slots if w == 12)
+    times = {w: [r["timestamp"] for r in sorted(got, key=lambda r: r["n"]) if r["w"] == w] for w in (1, 12)}
+    assert all(len(t) == 100 and t == sorted(t) and t[0] > start for t in times.values())
+    fixed = [t for t in times[12] if t.weekday() == 0]
+    assert {(t.hour, t.minute) for t in fixed} == {(2, 30), (5, 0), (7, 30), (10, 0)}
+    assert {t.weekday() for t in times[12]} == {0, 3}
