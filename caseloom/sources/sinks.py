@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,21 @@ def xes_traces(life: DataFrame) -> DataFrame:
     return df.select(F.array(_pair(CONCEPT, F.col("caseid"))).alias("string"), F.transform("ev", lambda x: x["e"]).alias("event"))
 
 
-def write_xes(life: DataFrame, path: str, mode: str = "error") -> None:
+#: Bytes of XML in one file of a written log, about; a trace is never parted.
+XES_FILE_BYTES = 128 << 20
+#: Bytes of tags, keys and the timestamp around one event's values.
+XES_EVENT_BYTES = 320
+
+
+def write_xes(life: DataFrame, path: str, mode: str = "error", file_bytes: int = XES_FILE_BYTES) -> None:
+    """One folder of XML files. Text is many times larger than the shuffled rows it comes from, so the number of files
+    follows the size of the text: a reader takes a file in one task."""
+    values = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("task", "transition", "user")), F.lit(XES_EVENT_BYTES))
+    size = life.agg(F.sum(values.cast("long"))).first()[0] or 0
+    parts = math.ceil(size / file_bytes)
+    if parts > 1:
+        # grouping keeps this number of partitions; one of its own would be made smaller by the size of the shuffled rows
+        life = life.repartition(parts, "caseid")
     xes_traces(life).write.format("xml").option("rootTag", "log").option("rowTag", "trace").mode(mode).save(path)
 
 

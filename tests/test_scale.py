@@ -14,6 +14,8 @@ from caseloom.operators import profile as G
 from caseloom.operators import sample as P
 from caseloom.operators import samples as N
 from caseloom.operators import wip as X
+from caseloom.sources import logs as L
+from caseloom.sources import sinks as SK
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -157,3 +159,14 @@ def test_window_draws_stop_for_widths_that_have_enough(spark, monkeypatch):
     fixed = [t for t in times[12] if t.weekday() == 0]
     assert {(t.hour, t.minute) for t in fixed} == {(2, 30), (5, 0), (7, 30), (10, 0)}
     assert {t.weekday() for t in times[12]} == {0, 3}
+
+
+def test_xes_files_are_as_many_as_their_text_needs(spark, tmp_path):
+    rows = [(f"c{c}", f"task {k}", None if k == 1 else "u", T0 + dt.timedelta(minutes=k), "start", k) for c in range(40) for k in range(3)]
+    life = spark.createDataFrame(rows, LIFECYCLE).repartition(1)
+    path = str(tmp_path / "log")
+    SK.write_xes(life, path, file_bytes=4096)
+    files = list((tmp_path / "log").glob("part-*"))
+    assert len(files) > 5 and max(f.stat().st_size for f in files) < 5 * 4096
+    got = sorted(tuple(r) for r in L.read_xes(spark, path).select("caseid", "task", "user", "ts", "transition", "pos").collect())
+    assert got == sorted((c, t, u or SK.NO_RESOURCE, ts, tr, k) for c, t, u, ts, tr, k in rows)
