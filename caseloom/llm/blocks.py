@@ -84,11 +84,14 @@ def in_blocks(size_column: int, limit: int = BLOCK_BYTES):
     return run
 
 
-def bucketed(df: DataFrame) -> DataFrame:
-    """``df(block, ...)`` as a table in the shared folder, bucketed by block: grouping by block needs no shuffle."""
+def bucketed(df: DataFrame, *folders: str) -> DataFrame:
+    """``df(block, ...)`` as a table in the shared folder, bucketed by block: grouping by block needs no shuffle.
+
+    Rows that differ in the columns ``folders`` are in folders of their own.
+    """
     spark = df.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(parts(spark), "block").sortBy("block")
+    writer = df.write.partitionBy(*folders).bucketBy(parts(spark), "block").sortBy("block")
     writer.option("path", scratch(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def store_alone(df: DataFrame) -> DataFrame:
+    """``store``, for a frame that nothing else is read from: the shuffles it took are removed at once, not when the driver collects garbage."""
+    with alone(df.sparkSession):
+        return store(df)
+
+
+@contextmanager
+def alone(spark: SparkSession):
+    """Shuffles of the actions within are removed when these end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more; other files of their folders go with them."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -79,4 +106,4 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, per_buc
     )
 
 
-__all__ = ["ready", "table", "parts", "scratch", "store", "checkpoint_dir", "ascii_lower", "fresh", "numbered"]
+__all__ = ["ready", "table", "parts", "scratch", "store", "store_alone", "alone", "discard", "checkpoint_dir", "ascii_lower", "fresh", "numbered"]

@@ -10,9 +10,14 @@ scored by the longest suffix of what stands before it that is a state.
 Every level counts all (context, next token) pairs of the corpus. Counting goes by blocks (see ``blocks``): documents become word
 codes in one pass, and each level sends one packed list of distinct pairs per block and key range. Words, contexts and pairs are
 known by 64-bit hashes; a pair's first 16 bits are its context's, so a range holds all pairs of its contexts and decides alone
-which of them are states. It answers each pair with its count and its context's strength. A pair is the next level's
+which of them are states. It answers each pair with its count and each context with its strength. A pair is the next level's
 context, so a block reads the counts of its contexts from the last level's answers, and no list of contexts is gathered anywhere.
 
+What moves is small numbers. Once words are counted, they are numbered by falling count, so a word's number tells its count (``Numbers``
+holds where each count begins), frequent words have short numbers, and the blocks are stored again with these instead of hashes. A list names each
+context once by its words' numbers, and a pair by its next token; ranges make the hashes of these and the parent's chances, from the counts of the shorter pairs.
+The shuffles of a level are removed when its answers are stored.
+
 Defined results: a null or empty text is one end token. A null ``doc_id`` belongs to the training part. Repeated rows count and are
 scored once each. Without training rows all counts are 0. An empty table gives no rows. Only ``doc_id`` and
 ``text`` are read.
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm import blocks as B
-from caseloom.llm.common import store
+from caseloom.llm.common import alone, discard, store_alone
 
 DEPTH = 3
 #: Least number of a context.
@@ -38,13 +43,15 @@ GAIN = 0.02
 STRENGTHS = np.array([4.0, 32.0, 256.0])
 BLOCK_BYTES = 8 << 20
 
-CODED = "block long, ids array<long>, sizes binary, held binary, codes binary, words binary, n_keys long, train_tokens long"
+CODED = "block long, ids array<long>, sizes binary, held binary, codes binary, words binary, n_keys long, train_tokens long, counts binary, kind int"
 SENT = "block long, part int, level int, keys binary, counts binary, more binary"
 _SENT = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("more", pa.binary())])
 _CODED = pa.schema([
     ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("held", pa.binary()), ("codes", pa.binary()),
-    ("words", pa.binary()), ("n_keys", pa.int64()), ("train_tokens", pa.int64()),
+    ("words", pa.binary()), ("n_keys", pa.int64()), ("train_tokens", pa.int64()), ("counts", pa.binary()), ("kind", pa.int32()),
 ])
+#: Kinds of rows of a coded block: its words and their counts are in a row of their own, which goes when words have numbers.
+_TOKENS, _WORDS = 0, 1
 _STATS = -1
 #: Bits of a pair's key that are its context's; ranges are cut by these only.
 _OF_CONTEXT = np.uint64(0xFFFF << 48)
@@ -77,12 +84,14 @@ def _coded_row(number: int, ids: list, texts: list) -> pa.RecordBatch:
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     held = np.array([is_held_out(i) for i in ids])
-    train = int(np.array(sizes)[~held].sum())
-    row = (
-        number, ids, B.pack(np.array(sizes, np.int64)), B.pack_bits(held), B.pack(rank[np.concatenate(flat)]),
-        B.pack_sorted(words[order]), len(words), train,
-    )
-    return B.batch_of(_CODED, [row]).to_batches()[0]
+    train = np.repeat(~held, sizes)
+    flat = rank[np.concatenate(flat)]
+    counts = np.bincount(flat[train], minlength=len(words)).astype(np.int64)
+    rows = [
+        (number, ids, B.pack(np.array(sizes, np.int64)), B.pack_bits(held), B.pack(flat), None, len(words), int(train.sum()), None, _TOKENS),
+        (number, None, None, None, None, B.pack_sorted(words[order]), 0, 0, B.pack(counts), _WORDS),
+    ]
+    return B.batch_of(_CODED, rows).to_batches()[0]
 
 
 def _code(batches):
@@ -112,6 +121,18 @@ def _extend(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return _mix(context * np.uint64(0xD6E8FEB86659FD93) + token + np.uint64(0x632BE59BD9B4E019))
 
 
+def _hash(tokens: list[np.ndarray]) -> np.ndarray:
+    """Hash of a context from its tokens' hashes, the oldest first."""
+    h = tokens[0]
+    for t in tokens[1:]:
+        h = _extend(h, t)
+    return h
+
+
+def _ranges_of(context: np.ndarray, n: int) -> np.ndarray:
+    return (context >> np.uint64(48)).astype(np.int64) * n >> 16
+
+
 def _pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (context & _OF_CONTEXT) | (_extend(context, token) & ~_OF_CONTEXT)
 
@@ -136,7 +157,7 @@ class Level:
 
 
 class Block:
-    """A block's tokens, and what each level says of them."""
+    """A block's tokens, as places in its sorted ``words`` (their numbers)."""
 
     def __init__(self, table: pa.Table):
         get = {c: table.column(c)[0].as_py() for c in ("block", "ids", "sizes", "held", "codes", "words")}
@@ -147,25 +168,14 @@ class Block:
         self.words = B.unpack_sorted(get["words"], "u8")
         self.first = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(~self.held, self.sizes)
-        self.hash = self.words[self.codes]
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.codes[self.train], minlength=len(self.words))
 
     def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the ``depth`` tokens before each token, whether there are as many)."""
         n = len(self.codes)
-        end = self.hash[self.sizes[0] - 1]  # every document's last token; the one before stands for the beginning
-        before = np.concatenate([np.repeat(end, depth), self.hash])
+        tokens = _mix(self.words)[self.codes]
+        before = np.concatenate([np.repeat(tokens[-1], depth), tokens])  # a document's last token stands for the next one's beginning
         place = np.arange(n) - np.repeat(self.first, self.sizes)
-        h = before[:n]
-        for j in range(1, depth):
-            h = _extend(h, before[j : j + n])
-        return h, place >= depth - 1
-
-    def first_contexts(self, count: np.ndarray) -> np.ndarray:
-        """Of each place, the corpus count of the token before it."""
-        return self.next_contexts(count, count[self.sizes[0] - 1])
+        return _hash([before[j : j + n] for j in range(depth)]), place >= depth - 1
 
     def next_contexts(self, total: np.ndarray, at_first: int = 0) -> np.ndarray:
         """Of each place, the count of the context that the place before makes with its own."""
@@ -173,38 +183,45 @@ class Block:
         own[self.first] = at_first
         return own
 
-    def pairs(self, depth: int, own: np.ndarray, least: float):
-        """Tokens whose context is a candidate: (places, contexts, sorted distinct pairs, their place among them)."""
-        h, ok = self.contexts(depth)
-        at = np.flatnonzero(ok & (own >= least))
-        keys, place = np.unique(_pair_keys(h[at], self.hash[at]), return_inverse=True)
-        return at, h[at], keys, place
-
-
-def _answers(answers: pa.Table, level: int, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Corpus counts of a block's sorted keys, and the strengths of their contexts."""
-    out, strength = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint8)
-    cuts = B.range_cuts(keys, n)
-    mine = answers.filter(pa.compute.equal(answers.column("level"), level))
-    for p, data, more in zip(*(mine.column(c).to_pylist() for c in ("part", "counts", "more"))):
-        out[cuts[p] : cuts[p + 1]] = B.unpack(data, "i8")
-        if more is not None:
-            strength[cuts[p] : cuts[p + 1]] = B.unpack(more, "u1")
-    return out, strength
-
-
-def _send(number: int, level: int, n: int, keys: np.ndarray, counts: np.ndarray, more=None) -> pa.Table:
-    """``more(a, b)``: what goes with the keys from place a to b."""
-    cuts = B.range_cuts(keys, n)
-    rows = []
-    for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        if b > a:
-            extra = b"".join(len(x).to_bytes(8, "little") + x for x in (more(a, b) if more else ()))
-            rows.append((number, p, level, B.pack_sorted(keys[a:b]), B.pack(counts[a:b].astype(np.int64)), extra))
-    return B.batch_of(_SENT, rows)
-
-
-def _more(data: bytes) -> list[bytes]:
+
+class Pairs:
+    """A block's distinct pairs of one depth, of contexts that are candidates, in the order of their words' numbers.
+
+    ``of`` numbers each place's context within the block. Contexts and pairs go to ranges by the context's hash;
+    ``by_range`` and ``contexts_by_range`` are their places in the order sent, and the cuts say where each range begins.
+    """
+
+    def __init__(self, b: Block, depth: int, of: np.ndarray, own: np.ndarray, least: float, n: int):
+        h, ok = b.contexts(depth)
+        self.at = np.flatnonzero(ok & (own >= least))
+        bits = np.uint64(len(b.words).bit_length())
+        keys, self.place = np.unique(of[self.at].astype(np.uint64) << bits | b.codes[self.at].astype(np.uint64), return_inverse=True)
+        some = np.zeros(len(keys), np.int64)
+        some[self.place] = self.at
+        self.some = some  # any occurrence of a pair: what is known of its context and its shorter pairs is the same in all
+        new = np.diff(keys >> bits, prepend=np.uint64(1 << 63)) != 0
+        self.which, self.some_context = np.cumsum(new) - 1, some[new]
+        part = _ranges_of(h[self.some_context], n)
+        self.contexts_by_range = np.argsort(part, kind="stable")
+        self.by_range = np.argsort(part[self.which], kind="stable")
+        self.context_cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n))])
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(part[self.which], minlength=n))])
+
+    def answers(self, answers: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Corpus counts of the pairs, and the strengths of their contexts."""
+        out, strength = np.zeros(len(self.some), np.int64), np.zeros(len(self.some_context), np.uint8)
+        mine = answers.filter(pa.compute.equal(answers.column("level"), level))
+        for p, data, more in zip(*(mine.column(c).to_pylist() for c in ("part", "counts", "more"))):
+            out[self.by_range[self.cuts[p] : self.cuts[p + 1]]] = B.unpack(data, "i8")
+            strength[self.contexts_by_range[self.context_cuts[p] : self.context_cuts[p + 1]]] = B.unpack(more, "u1")
+        return out, strength[self.which]
+
+
+def _frame(columns: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in columns)
+
+
+def _unframe(data: bytes) -> list[bytes]:
     out, at = [], 0
     while at < len(data):
         n = int.from_bytes(data[at : at + 8], "little")
@@ -214,56 +231,127 @@ def _more(data: bytes) -> list[bytes]:
 
 
 def _send_words(n: int):
-    def run(key, table):
-        b = Block(table)
-        return _send(b.number, 0, n, b.words, b.word_counts())
+    def run(batches):
+        for batch in batches:
+            for block, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words, counts = B.unpack_sorted(words, "u8"), B.unpack(counts, "i8")
+                cuts = B.range_cuts(words, n)
+                rows = [(block, p, 0, B.pack_sorted(words[x:y]), B.pack(counts[x:y]), None) for p, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+                yield from B.batch_of(_SENT, rows).to_batches()
 
     return run
 
 
-def _sum(table: pa.Table):
-    """(distinct keys, totals, place of each sent key, sizes of the lists)."""
-    sent = [B.unpack_sorted(x, "u8") for x in table.column("keys").to_pylist()]
-    counts = np.concatenate([B.unpack(x, "i8") for x in table.column("counts").to_pylist()])
-    keys, place = np.unique(np.concatenate(sent), return_inverse=True)
-    totals = np.bincount(place, weights=counts, minlength=len(keys)).astype(np.int64)
-    return keys, totals, place, [len(s) for s in sent]
+def _sum(keys: list[np.ndarray], counts: list[np.ndarray]):
+    """(distinct keys, totals, place of each sent key)."""
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+    return distinct, totals, place
 
 
-def _reply(table: pa.Table, part: int, level: int, totals, place, sizes, strengths=None, extra: list[tuple] = ()) -> pa.Table:
-    cuts = np.cumsum(sizes)[:-1]
-    told = [B.pack(t) for t in np.split(totals[place], cuts)]
-    more = [None] * len(told) if strengths is None else [B.pack(t) for t in np.split(strengths[place], cuts)]
-    rows = [(b, part, level, None, t, m) for b, t, m in zip(table.column("block").to_pylist(), told, more)]
-    return B.batch_of(_SENT, rows + list(extra))
+def _split(x: np.ndarray, lists: list) -> list[bytes]:
+    """Packed parts of ``x``, as long as each of ``lists``."""
+    return [B.pack(t) for t in np.split(x, np.cumsum([len(y) for y in lists])[:-1])]
 
 
 def _sum_words(key, table):
-    keys, totals, place, sizes = _sum(table)
-    distinct = (_STATS, key[0].as_py(), 0, None, B.pack(np.array([(totals > 0).sum()], np.int64)), None)
-    return _reply(table, key[0].as_py(), 0, totals, place, sizes, extra=[distinct])
+    """A word's answer is its place in its range by falling count; the range's counts and how many words have each go to the driver."""
+    part = key[0].as_py()
+    sent = [B.unpack_sorted(x, "u8") for x in table.column("keys").to_pylist()]
+    _, totals, place = _sum(sent, [B.unpack(x, "i8") for x in table.column("counts").to_pylist()])
+    at = np.empty(len(totals), np.int64)
+    at[np.argsort(-totals, kind="stable")] = np.arange(len(totals))
+    values, number = np.unique(totals, return_counts=True)
+    rows = [(b, part, 0, None, t, None) for b, t in zip(table.column("block").to_pylist(), _split(at[place], sent))]
+    return B.batch_of(_SENT, [*rows, (_STATS, part, 0, None, B.pack(values[::-1]), B.pack(number[::-1].astype(np.int64)))])
+
+
+class Numbers:
+    """Numbers of words by falling count; words of one count go by range, then by their place there."""
+
+    def __init__(self, parts: list[int], values: list[np.ndarray], numbers: list[np.ndarray]):
+        sizes = np.array([len(v) for v in values], np.int64)
+        part = np.repeat(np.array(parts, np.int64), sizes)
+        value, number = (np.concatenate([np.empty(0, np.int64), *x]) for x in (values, numbers))
+        order = np.lexsort((part, -value))
+        start = np.empty(len(order), np.int64)
+        start[order] = np.cumsum(number[order]) - number[order]
+        #: range -> (places there at which a count begins, numbers at which it does)
+        self.starts = {p: (np.cumsum(n) - n, s) for p, n, s in zip(parts, numbers, np.split(start, np.cumsum(sizes)[:-1]))}
+        self.values, first = np.unique(-value[order], return_index=True)
+        self.values, self.first = -self.values, start[order][first]
+        self.distinct, self.kind = int(number[value > 0].sum()), "i4" if number.sum() < 1 << 31 else "i8"
+
+    def of(self, part: int, at: np.ndarray) -> np.ndarray:
+        places, numbers = self.starts[part]
+        group = np.searchsorted(places, at, "right") - 1
+        return numbers[group] + at - places[group]
+
+
+def _number_words(numbers: Numbers):
+    """The blocks again, with numbers for hashes. What the ranges answer, one after the other, is in the order of the hashes."""
+
+    def run(key, table, answers):
+        if not table.num_rows:
+            return B.batch_of(_CODED, [])
+        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "counts"))))
+        known = np.concatenate([numbers.of(p, B.unpack(data, "i8")) for p, data in told])
+        order = np.argsort(known)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        codes = rank[B.unpack(table.column("codes")[0].as_py(), "i4")]
+        new = {"codes": B.pack(codes), "words": B.pack_sorted(known[order].astype(np.uint64))}
+        return B.batch_of(_CODED, [tuple(new.get(c, table.column(c)[0].as_py()) for c in _CODED.names)])
+
+    return run
 
 
 class Model:
-    def __init__(self, tokens: int, distinct: int, n: list[int], least: float):
-        self.tokens, self.distinct, self.n, self.least = tokens, distinct, n, least
-
-    def chances(self, b: Block, answers: pa.Table, depth: int):
-        """(corpus count of each token, its chance after the longest state of at most ``depth`` tokens, counts of the contexts of one token more)."""
-        count = _answers(answers, 0, b.words, self.n[0])[0][b.codes]
-        chance = (count + 1) / (self.tokens + self.distinct + 1)
-        own = b.first_contexts(count)
+    def __init__(self, tokens: int, numbers: Numbers, n: int, least: float):
+        self.tokens, self.distinct, self.n, self.least = tokens, numbers.distinct, n, least
+        self.values, self.first, self.kind = numbers.values, numbers.first, numbers.kind
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        return self.values[np.searchsorted(self.first, words.astype(np.int64), "right") - 1]
+
+    def root(self, count: np.ndarray) -> np.ndarray:
+        return (count + 1) / (self.tokens + self.distinct + 1)
+
+
+class Told:
+    """What the answers up to a depth say of each place of a block."""
+
+    def __init__(self, model: Model, b: Block, answers: pa.Table, depth: int):
+        counts = model.count(b.words)
+        self.count = counts[b.codes]
+        #: after the longest state of at most ``depth`` tokens
+        self.chance = model.root(self.count)
+        #: by depth: counts of contexts, of pairs in states, and one more than the state's place in STRENGTHS
+        self.own, self.total, self.state = [b.next_contexts(self.count, counts[b.codes[-1]])], [], []
+        self.of = np.concatenate([b.codes[-1:], b.codes[:-1]])
         for d in range(1, depth + 1):
-            at, _, keys, place = b.pairs(d, own, self.least)
-            told, strengths = _answers(answers, d, keys, self.n[d])
-            total = np.zeros(len(b.codes), np.int64)
-            total[at] = told[place]
-            which = strengths[place]
-            at, which = at[which > 0], which[which > 0]
-            strength = STRENGTHS[which - 1]
-            chance[at] = (total[at] + strength * chance[at]) / (own[at] + strength)
-            own = b.next_contexts(total)
-        return count, chance, own
+            own, pairs = self.own[-1], self.pairs(model, b, d)
+            told, strengths = pairs.answers(answers, d)
+            total, state, self.of = np.zeros(len(b.codes), np.int64), np.zeros(len(b.codes), np.uint8), np.zeros(len(b.codes), np.int64)
+            total[pairs.at], state[pairs.at] = told[pairs.place], strengths[pairs.place]
+            self.of[pairs.at[pairs.at < len(b.codes) - 1] + 1] = pairs.place[pairs.at < len(b.codes) - 1]
+            self.chance = _blend(self.chance, total, own, state)
+            self.own.append(b.next_contexts(total))
+            self.total.append(np.where(state > 0, total, 0))
+            self.state.append(state)
+
+    def pairs(self, model: Model, b: Block, depth: int) -> Pairs:
+        """Tokens whose context of ``depth`` tokens is a candidate, all answers up to which are known."""
+        return Pairs(b, depth, self.of, self.own[-1], model.least, model.n)
+
+
+def _blend(chance: np.ndarray, total: np.ndarray, own: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Chances after contexts one token longer; as they are where these are no states."""
+    at = np.flatnonzero(state)
+    strength = STRENGTHS[state[at] - 1]
+    chance = chance.copy()
+    chance[at] = (total[at] + strength * chance[at]) / (own[at] + strength)
+    return chance
 
 
 def _send_pairs(model: Model, depth: int):
@@ -271,38 +359,56 @@ def _send_pairs(model: Model, depth: int):
         if not table.num_rows:
             return B.batch_of(_SENT, [])
         b = Block(table)
-        _, chance, own = model.chances(b, answers, depth - 1)
-        at, context, keys, place = b.pairs(depth, own, model.least)
-        counts = np.bincount(place, weights=b.train[at], minlength=len(keys))
-        some = np.zeros(len(keys), np.int64)
-        some[place] = np.arange(len(at))  # any occurrence of the pair: context and parent's chance are the same in all
-        context, own, chance = context[some], own[at[some]], chance[at[some]].astype(np.float32)
-
-        def more(a, b):
-            contexts, first, which = np.unique(context[a:b], return_index=True, return_inverse=True)
-            return [B.pack(which.astype(np.int32)), B.pack(chance[a:b]), B.pack_sorted(contexts), B.pack(own[a:b][first])]
-
-        return _send(b.number, depth, model.n[depth], keys, counts, more)
+        told = Told(model, b, answers, depth - 1)
+        pairs = told.pairs(model, b, depth)
+        counts = np.bincount(pairs.place, weights=b.train[pairs.at], minlength=len(pairs.some)).astype(np.int64)[pairs.by_range]
+        some, context = pairs.some[pairs.by_range], pairs.some_context[pairs.contexts_by_range]
+        follow = np.bincount(pairs.which, minlength=len(context)).astype(np.int32)[pairs.contexts_by_range]
+        words = b.words.astype(model.kind)
+        before = [words[b.codes[context - j]] for j in range(depth, 0, -1)]
+        of_context = [follow, *(x[context] for x in told.own[1:]), *(x[context] for x in told.state)]
+        of_pair = [words[b.codes[some]], *(x[some] for x in told.total)]
+        rows = []
+        for p in np.flatnonzero(np.diff(pairs.cuts)):
+            x, y = slice(*pairs.context_cuts[p : p + 2]), slice(*pairs.cuts[p : p + 2])
+            columns = [B.pack_sorted(before[0][x]), *(B.pack(c[x]) for c in before[1:] + of_context)]
+            rows.append((b.number, int(p), depth, _frame(columns), B.pack(counts[y]), _frame([B.pack(c[y]) for c in of_pair])))
+        return B.batch_of(_SENT, rows)
 
     return run
 
 
-def _sum_pairs(depth: int):
+def _sum_pairs(model: Model, depth: int):
+    kinds = [*[model.kind] * (depth - 1), "i4", *["i8"] * (depth - 1), *["u1"] * (depth - 1)]
+
     def run(key, table):
-        keys, totals, place, sizes = _sum(table)
-        context, own, chance = np.empty(len(keys), np.uint64), np.empty(len(keys), np.int64), np.empty(len(keys))
-        at = 0
-        for data, n in zip(table.column("more").to_pylist(), sizes):
-            which, parent, contexts, counts = _more(data)
-            which, mine = B.unpack(which, "i4"), place[at : at + n]
-            context[mine], own[mine] = B.unpack_sorted(contexts, "u8")[which], B.unpack(counts, "i8")[which]
-            chance[mine] = B.unpack(parent, "f4")
-            at += n
-        used, first, which = np.unique(context, return_index=True, return_inverse=True)
-        level = Level(used, own[first])
+        contexts, keys, own, chance, which, at = [], [], [], [], [], 0
+        counts = [B.unpack(x, "i8") for x in table.column("counts").to_pylist()]
+        for c, p in zip(*(table.column(c).to_pylist() for c in ("keys", "more"))):
+            oldest, *rest = _unframe(c)
+            rest = [B.unpack(x, k) for x, k in zip(rest, kinds, strict=True)]
+            before, (follow, *known) = [B.unpack_sorted(oldest, model.kind), *rest[: depth - 1]], rest[depth - 1 :]
+            owns, states = [model.count(before[-1]), *known[: depth - 1]], known[depth - 1 :]
+            token, *totals = (B.unpack(x, k) for x, k in zip(_unframe(p), [model.kind, *["i8"] * (depth - 1)], strict=True))
+            mine = np.repeat(np.arange(len(follow)), follow)
+            parent = model.root(model.count(token))
+            for total, o, state in zip(totals, owns, states):
+                parent = _blend(parent, total, o[mine], state[mine])
+            contexts.append(_hash([_mix(x.astype(np.uint64)) for x in before]))
+            keys.append(_pair_keys(contexts[-1][mine], _mix(token.astype(np.uint64))))
+            own.append(owns[-1])
+            chance.append(parent)
+            which.append(mine + at)
+            at += len(follow)
+        distinct, totals, place = _sum(keys, counts)
+        used, context = np.unique(np.concatenate(contexts), return_inverse=True)
+        counted, parent, of = np.empty(len(used), np.int64), np.empty(len(distinct)), np.empty(len(distinct), np.int64)
+        counted[context], parent[place], of[place] = np.concatenate(own), np.concatenate(chance), context[np.concatenate(which)]
+        level = Level(used, counted)
         seen = totals > 0
-        level.decide(which[seen], totals[seen].astype(float), chance[seen])
-        return _reply(table, key[0].as_py(), depth, totals, place, sizes, level.strength[which])
+        level.decide(of[seen], totals[seen].astype(float), parent[seen])
+        told = zip(table.column("block").to_pylist(), _split(totals[place], keys), _split(level.strength[context], contexts))
+        return B.batch_of(_SENT, [(b, key[0].as_py(), depth, None, t, m) for b, t, m in told])
 
     return run
 
@@ -317,10 +423,11 @@ def _score(model: Model, depth: int):
         if not table.num_rows:
             return B.batch_of(schema, [])
         b = Block(table)
-        count, chance, _ = model.chances(b, answers, depth)
+        told = Told(model, b, answers, depth)
+        count, chance = told.count, told.chance
         sums = [
             np.add.reduceat(x, b.first)
-            for x in ((count > 0).astype(np.int64), np.log10((count + 1) / (model.tokens + model.distinct + 1)), np.log10(chance))
+            for x in ((count > 0).astype(np.int64), np.log10(model.root(count)), np.log10(chance))
         ]
         cols = [b.ids, b.held, b.sizes, sums[0], np.full(len(b.ids), model.tokens), sums[1], sums[2]]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -330,21 +437,28 @@ def _score(model: Model, depth: int):
 
 def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = 0.0, range_keys: int = B.RANGE_KEYS) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per row: token counts, unigram score and suffix-tree score (log10)."""
-    coded = B.bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_code, CODED))
-    by_block = coded.groupBy("block")
-    size = coded.agg(F.sum("n_keys"), F.sum("train_tokens"), F.sum(F.octet_length("codes"))).first()
+    spark = docs.sparkSession
+    coded = B.bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_code, CODED), "kind")
+    tokens_of, words_of = coded.filter(F.col("kind") == _TOKENS), coded.filter(F.col("kind") == _WORDS)
+    size = tokens_of.agg(F.sum("n_keys"), F.sum("train_tokens"), F.sum(F.octet_length("codes"))).first()
     tokens = size[1] or 0
     least = max(LEAST, share * tokens)
     # pairs per block are at most its tokens; packed codes take about two bytes each
-    n = [B.ranges(size[0] or 0, range_keys)] + [B.ranges((size[2] or 0) // 4, range_keys)] * depth
-    n[1:] = [min(x, 1 << 16) for x in n[1:]]  # a context's pairs stay together
-    sent = by_block.applyInArrow(_send_words(n[0]), SENT)
-    done = store(sent.groupBy("part").applyInArrow(_sum_words, SENT))
-    distinct = sum(int(B.unpack(r["counts"], "i8")[0]) for r in done.filter(F.col("block") == _STATS).collect())  # one row per range
-    model = Model(tokens, distinct, n, least)
-    told = done.filter("block >= 0")
+    n, n_pairs = B.ranges(size[0] or 0, range_keys), min(B.ranges((size[2] or 0) // 4, range_keys), 1 << 16)  # a context's pairs stay together
+    sent = words_of.select("block", "words", "counts").mapInArrow(_send_words(n), SENT)
+    done = store_alone(sent.groupBy("part").applyInArrow(_sum_words, SENT))
+    discard(words_of)
+    stats = done.filter(F.col("block") == _STATS).select("part", "counts", "more").collect()  # one row per range
+    numbers = Numbers([r[0] for r in stats], *([B.unpack(r[k], "i8") for r in stats] for k in (1, 2)))
+    model = Model(tokens, numbers, n_pairs, least)
+    told = done.filter(F.col("block") != _STATS)
+    with alone(spark):
+        numbered = B.bucketed(tokens_of.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_number_words(numbers), CODED))
+    discard(tokens_of, done)
+    by_block = numbered.groupBy("block")
+    told = spark.createDataFrame(_SENT.empty_table(), SENT)
     for d in range(1, depth + 1):
         sent = by_block.cogroup(told.groupBy("block")).applyInArrow(_send_pairs(model, d), SENT)
-        told = told.unionByName(store(sent.groupBy("part").applyInArrow(_sum_pairs(d), SENT)))
+        told = told.unionByName(store_alone(sent.groupBy("part").applyInArrow(_sum_pairs(model, d), SENT)))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by_block.cogroup(told.groupBy("block")).applyInArrow(_score(model, depth), out)

@@ -1,10 +1,13 @@
 """Vectors, archives, shards, packing, language model, classifier and pipeline."""
 
 import base64
+import glob
 import gzip
 import hashlib
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -334,6 +337,41 @@ def test_suffix_tree_empty(spark):
     assert got["train_tokens"] == 0 and got["n_known"] == 0 and got["base_score"] == 0
 
 
+def test_suffix_tree_leaves_no_shuffles(spark):
+    """When the model is learned, the disk holds the blocks and the answers, not what all levels sent."""
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(8000)]
+    weights = [1 / (k + 5) for k in range(8000)]
+    rows = [(k, " ".join(r.choices(vocabulary, weights, k=250))) for k in range(2000)]
+    size = sum(len(t) for _, t in rows)
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f: os.path.getsize(f) for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data") if os.path.exists(f)}
+
+    before = shuffled()
+    scored = suffix_lm.score_texts(docs(spark, rows).repartition(4))
+    for _ in range(50):
+        left = sum(n for f, n in shuffled().items() if f not in before)
+        if left < size / 20:
+            break
+        time.sleep(0.2)
+    assert left < size / 20
+    assert scored.count() == len(rows)
+
+
+def test_numbers_of_words_tell_their_counts():
+    counts = {0: [9, 4, 4, 1, 0], 3: [7, 4, 1, 1], 1: [9, 0]}  # of ranges' words, by falling count
+    sums = [np.unique(c, return_counts=True) for c in counts.values()]
+    numbers = suffix_lm.Numbers(list(counts), [v[::-1] for v, _ in sums], [n[::-1] for _, n in sums])
+    of = {p: numbers.of(p, np.arange(len(c))) for p, c in counts.items()}
+    assert sorted(x for n in of.values() for x in n) == list(range(11)) and numbers.distinct == 9
+    model = suffix_lm.Model(40, numbers, 1, 8)
+    for p, c in counts.items():
+        assert model.count(of[p]).tolist() == c
+    assert suffix_lm.Numbers([], [], []).distinct == 0
+
+
 # ---- classifier
 
 
