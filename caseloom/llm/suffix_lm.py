@@ -217,17 +217,18 @@ class Pairs:
         return out, strength[self.which]
 
 
-def _frame(columns: list[bytes]) -> bytes:
-    return b"".join(len(x).to_bytes(8, "little") + x for x in columns)
+def _frame(columns: list[np.ndarray]) -> bytes:
+    """Columns of equal length, of numbers from 0, as byte planes of the least width, compressed together: lists can be short."""
+    widths = bytes(next(w for w in (1, 2, 4, 8) if int(x.max()) < 1 << 8 * w) for x in columns)
+    planes = [x.astype(f"u{w}").view(np.uint8).reshape(len(x), w).T.tobytes() for x, w in zip(columns, widths)]
+    return bytes([len(columns)]) + widths + len(columns[0]).to_bytes(8, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
-def _unframe(data: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 8], "little")
-        out.append(data[at + 8 : at + 8 + n])
-        at += 8 + n
-    return out
+def _unframe(data: bytes) -> list[np.ndarray]:
+    widths, n = list(data[1 : 1 + data[0]]), int.from_bytes(data[1 + data[0] : 9 + data[0]], "little")
+    raw = pa.decompress(data[9 + data[0] :], decompressed_size=n * sum(widths), codec="zstd", asbytes=True)
+    planes = np.split(np.frombuffer(raw, np.uint8), np.cumsum(widths)[:-1] * n)
+    return [np.ascontiguousarray(x.reshape(w, n).T).view(f"u{w}").ravel().astype(np.int64) for x, w in zip(planes, widths)]
 
 
 def _send_words(n: int):
@@ -280,7 +281,7 @@ class Numbers:
         self.starts = {p: (np.cumsum(n) - n, s) for p, n, s in zip(parts, numbers, np.split(start, np.cumsum(sizes)[:-1]))}
         self.values, first = np.unique(-value[order], return_index=True)
         self.values, self.first = -self.values, start[order][first]
-        self.distinct, self.kind = int(number[value > 0].sum()), "i4" if number.sum() < 1 << 31 else "i8"
+        self.distinct = int(number[value > 0].sum())
 
     def of(self, part: int, at: np.ndarray) -> np.ndarray:
         places, numbers = self.starts[part]
@@ -309,7 +310,7 @@ def _number_words(numbers: Numbers):
 class Model:
     def __init__(self, tokens: int, numbers: Numbers, n: int, least: float):
         self.tokens, self.distinct, self.n, self.least = tokens, numbers.distinct, n, least
-        self.values, self.first, self.kind = numbers.values, numbers.first, numbers.kind
+        self.values, self.first = numbers.values, numbers.first
 
     def count(self, words: np.ndarray) -> np.ndarray:
         return self.values[np.searchsorted(self.first, words.astype(np.int64), "right") - 1]
@@ -363,39 +364,41 @@ def _send_pairs(model: Model, depth: int):
         pairs = told.pairs(model, b, depth)
         counts = np.bincount(pairs.place, weights=b.train[pairs.at], minlength=len(pairs.some)).astype(np.int64)[pairs.by_range]
         some, context = pairs.some[pairs.by_range], pairs.some_context[pairs.contexts_by_range]
-        follow = np.bincount(pairs.which, minlength=len(context)).astype(np.int32)[pairs.contexts_by_range]
-        words = b.words.astype(model.kind)
-        before = [words[b.codes[context - j]] for j in range(depth, 0, -1)]
-        of_context = [follow, *(x[context] for x in told.own[1:]), *(x[context] for x in told.state)]
-        of_pair = [words[b.codes[some]], *(x[some] for x in told.total)]
+        follow = np.bincount(pairs.which, minlength=len(context))[pairs.contexts_by_range]
+        words = b.words.astype(np.int64)
+        oldest, *newer = (words[b.codes[context - j]] for j in range(depth, 0, -1))
+        of_context = [*newer, follow, *(x[context] for x in told.own[1:]), *(x[context] for x in told.state)]
+        token, start = words[b.codes[some]], np.cumsum(follow) - follow
+        step = np.diff(token, prepend=0)
+        step[start] = token[start]  # a context's tokens ascend
+        of_pair = [counts, step, *(x[some] for x in told.total)]
         rows = []
         for p in np.flatnonzero(np.diff(pairs.cuts)):
             x, y = slice(*pairs.context_cuts[p : p + 2]), slice(*pairs.cuts[p : p + 2])
-            columns = [B.pack_sorted(before[0][x]), *(B.pack(c[x]) for c in before[1:] + of_context)]
-            rows.append((b.number, int(p), depth, _frame(columns), B.pack(counts[y]), _frame([B.pack(c[y]) for c in of_pair])))
+            columns = [np.diff(oldest[x], prepend=0), *(c[x] for c in of_context)]
+            rows.append((b.number, int(p), depth, _frame(columns), None, _frame([c[y] for c in of_pair])))
         return B.batch_of(_SENT, rows)
 
     return run
 
 
 def _sum_pairs(model: Model, depth: int):
-    kinds = [*[model.kind] * (depth - 1), "i4", *["i8"] * (depth - 1), *["u1"] * (depth - 1)]
-
     def run(key, table):
-        contexts, keys, own, chance, which, at = [], [], [], [], [], 0
-        counts = [B.unpack(x, "i8") for x in table.column("counts").to_pylist()]
+        contexts, keys, counts, own, chance, which, at = [], [], [], [], [], [], 0
         for c, p in zip(*(table.column(c).to_pylist() for c in ("keys", "more"))):
-            oldest, *rest = _unframe(c)
-            rest = [B.unpack(x, k) for x, k in zip(rest, kinds, strict=True)]
-            before, (follow, *known) = [B.unpack_sorted(oldest, model.kind), *rest[: depth - 1]], rest[depth - 1 :]
+            columns = _unframe(c)
+            before, follow, known = [np.cumsum(columns[0]), *columns[1:depth]], columns[depth], columns[depth + 1 :]
             owns, states = [model.count(before[-1]), *known[: depth - 1]], known[depth - 1 :]
-            token, *totals = (B.unpack(x, k) for x, k in zip(_unframe(p), [model.kind, *["i8"] * (depth - 1)], strict=True))
+            count, step, *totals = _unframe(p)
+            token, start = np.cumsum(step), np.cumsum(follow) - follow
+            token -= np.repeat(token[start] - step[start], follow)
             mine = np.repeat(np.arange(len(follow)), follow)
             parent = model.root(model.count(token))
             for total, o, state in zip(totals, owns, states):
                 parent = _blend(parent, total, o[mine], state[mine])
             contexts.append(_hash([_mix(x.astype(np.uint64)) for x in before]))
             keys.append(_pair_keys(contexts[-1][mine], _mix(token.astype(np.uint64))))
+            counts.append(count)
             own.append(owns[-1])
             chance.append(parent)
             which.append(mine + at)

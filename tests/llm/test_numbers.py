@@ -372,6 +372,13 @@ def test_numbers_of_words_tell_their_counts():
     assert suffix_lm.Numbers([], [], []).distinct == 0
 
 
+def test_lists_of_pairs_are_as_they_were_sent():
+    columns = [np.array([0, 255, 3]), np.array([256, 0, 65_535]), np.array([0, 1 << 16, 1 << 31]), np.array([1 << 40, 0, 7]), np.zeros(3, np.int64)]
+    assert [x.tolist() for x in suffix_lm._unframe(suffix_lm._frame(columns))] == [x.tolist() for x in columns]
+    many = [np.arange(300) % 5, np.full(300, 2)]
+    assert len(suffix_lm._frame(many)) < 120
+
+
 # ---- classifier
 
 
