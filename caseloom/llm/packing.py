@@ -14,13 +14,17 @@ empty table gives no rows. Only ``doc_id`` and ``text`` are read, so further col
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +32,28 @@ from caseloom.llm.common import store
 
 #: Pieces of one cell, about.
 CELL = 50_000
-#: Known chunks that one task remembers with their ids; above it the memory is emptied and refilled.
-REMEMBERED = 1_000_000
-#: UTF-8 of characters below U+0180 has lower bytes only; normalising does not change their lengths, but for one.
-PLAIN, DOTTED = 0xC6, "\u0130".encode()
+#: Known chunks, and known words, that one task remembers with their ids; above it the memory is emptied and refilled.
+REMEMBERED, REMEMBERED_WORDS = 1_000_000, 1_000_000
+#: Characters that normalising only lower-cases, one for one; what is none of them, or may begin a special token.
+PLAIN = [c for c in map(chr, range(0x180)) if c != "\u0130"]
+ODD = re.compile("[^\0-\u017f]|\u0130|<\\|")
+#: What the tokenizer does to a text before it looks for tokens; words of plain characters are cut by this pattern.
+STEPS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _plain(kind: str) -> str:
+    return "".join(re.escape(c) for c in PLAIN if unicodedata.category(c)[0] == kind)
+
+
+WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_plain('L')}]+|[{_plain('N')}]|[^\t-\r \x85\xa0{_plain('L')}{_plain('N')}]+")
+#: Bytes of text that are split at once, about.
+STRETCH = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,56 +61,83 @@ class Encoder:
     """Token ids as little-endian bytes.
 
     The tokenizer never joins text across ASCII white space, so a text's ids are those of its chunks in turn, and
-    chunks seen before need no new call. It is broadcast, so a worker process keeps what it knows from task to task.
+    chunks seen before need no new call. New chunks of plain characters are lower-cased and cut into words as the
+    tokenizer does it, so that it meets each word once, however it is written and whatever stands beside it. The encoder
+    is broadcast, so a worker process keeps what it knows from task to task.
     """
 
     def __init__(self, vocabulary: str):
-        self.vocabulary, self.tokenizer, self.known = vocabulary, None, {}
+        self.vocabulary, self.tokenizer, self.known, self.words = vocabulary, None, {}, {}
 
     def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "tokenizer": None, "known": {}}
+        return {"vocabulary": self.vocabulary, "tokenizer": None, "known": {}, "words": {}}
 
     def _start(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(self.vocabulary)
+        from tokenizers.pre_tokenizers import Sequence, WhitespaceSplit
+
+        self.tokenizer, self.merger = Tokenizer.from_str(self.vocabulary), Tokenizer.from_str(self.vocabulary)
+        steps = json.loads(self.vocabulary)
+        normal, split = steps["normalizer"] or {}, steps["pre_tokenizer"] or {}
+        self.cuts = normal.get("normalizers", []) + split.get("pretokenizers", []) == STEPS
+        if self.cuts:  # the merger gets words, with a space between them
+            self.merger.normalizer = None
+            self.merger.pre_tokenizer = Sequence([WhitespaceSplit(), self.tokenizer.pre_tokenizer[1]])
         tokens = self.tokenizer.get_vocab()
         self.size = np.zeros(max(tokens.values()) + 1, np.int64)  # bytes that each token stands for
         for token, number in tokens.items():
             self.size[number] = len(token.removesuffix("</w>"))
 
-    def _encode_each(self, chunks: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        self.known.update((c, array("I", f.ids).tobytes()) for c, f in zip(chunks, found))
+    def _encode_each(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        tokenizer = tokenizer or self.tokenizer
+        return [array("I", f.ids).tobytes() for f in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_joined(self, chunks: list[bytes]) -> None:
-        """All chunks in one call; token lengths tell where each ends. If they do not fit, one by one."""
-        found = self.tokenizer.encode_batch_fast([b" ".join(chunks).decode()], add_special_tokens=False)[0]
-        ids = np.array(found.ids, "<u4")
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """All words in one call; token lengths tell where each ends. If they do not fit, one by one."""
+        text = " ".join(words)
+        ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         at = np.cumsum(self.size[ids])
-        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        ends = np.cumsum(np.fromiter(map(len, text.encode().split(b" ")), np.int64, len(words)))
         last = np.searchsorted(at, ends)
         if len(ids) and last[-1] == len(ids) - 1 and (at[last] == ends).all():
             data, cuts = ids.tobytes(), (4 * (last + 1)).tolist()
-            self.known.update((c, data[a:b]) for c, a, b in zip(chunks, [0, *cuts], cuts))
-        else:
-            self._encode_each(chunks)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.tokenizer is None:
-            self._start()
-        chunks = [t.encode().split() for t in texts]
+            return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+        return self._encode_each(words, self.merger)
+
+    def _encode_plain(self, chunks: list[str]) -> list[bytes]:
+        cut = list(map(WORD.findall, " ".join(chunks).lower().split(" ")))
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words.clear()
+        new = list(set().union(*cut).difference(self.words))
+        if new:
+            self.words.update(zip(new, self._encode_words(new)))
+        get = self.words.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*chunks).difference(self.known)) if chunks else []
-        plain = [c for c in new if max(c) < PLAIN and b"<|" not in c and DOTTED not in c]
-        if plain:
-            self._encode_joined(plain)
-        if len(plain) < len(new):
-            self._encode_each(list(set(new).difference(plain)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        found = list(map(self.known.get, chunks))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        odd = [k for k in new if not self.cuts or ODD.search(chunks[k])]
+        plain = sorted(set(new).difference(odd)) if odd else new
+        for some, encode in ((plain, self._encode_plain), (odd, self._encode_each)):
+            texts = [chunks[k] for k in some]
+            for k, text, ids in zip(some, texts, encode(texts) if some else ()):
+                self.known[text] = found[k] = ids
+        return found
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        if self.tokenizer is None:
+            self._start()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        chunks = split.flatten().dictionary_encode()
+        ids = pa.array(self._encode(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(chunks.indices)
+        at = np.append(np.cumsum(pc.binary_length(ids)), 0)  # the last is where the first begins
+        ends = at[np.cumsum(pc.list_value_length(split)) - 1].tolist()
+        data = bytes(ids.buffers()[2] or b"")
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def pieces_of(encoder, length: int, end: int):
@@ -96,10 +145,11 @@ def pieces_of(encoder, length: int, end: int):
         encode, last = encoder.value, np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(ids), 200):
+            stretch = np.cumsum(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64) // STRETCH
+            cuts = [*np.flatnonzero(np.diff(stretch, prepend=-1)).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:]):
                 out = []
-                some = [x or "" for x in texts.slice(a, 200).to_pylist()]
-                for doc, data in zip(ids[a : a + 200], encode(some)):
+                for doc, data in zip(ids[a:b], encode(texts.slice(a, b - a))):
                     data += last
                     for k, at in enumerate(range(0, len(data), 4 * length)):
                         part = data[at : at + 4 * length]

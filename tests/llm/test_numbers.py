@@ -4,14 +4,17 @@ import base64
 import glob
 import gzip
 import hashlib
+import json
 import math
 import os
 import random
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +265,63 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), vocabulary_path()).count() == 0
 
 
+def vocabulary():
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        return f.read()
+
+
+def test_packing_characters():
+    """Ids are those of the tokenizer for any character below U+0180 in any company, and for others among them."""
+    from tokenizers import Tokenizer
+
+    low = [chr(c) for c in range(0x180)]
+    r = random.Random(3)
+    rows = [x for c in low for x in (c, f"a{c}b", f"A{c}'S{c}{c}1{c}", f"1{c}2 {c}. {c}É")]
+    rows += ["".join(r.choices(low + ["'", " ", "<|", "\u0301", "\u2019", "Σ", "你", "\u2028"], k=r.randint(1, 12))) for _ in range(5000)]
+    rows += ["I'LL they've 'start x--'s <|endoftext|> <|", " \t", "", None, "\x85\xa0", "a\xa0b\x1cc"]
+    t = Tokenizer.from_str(vocabulary())
+    want = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in rows]
+    encode = packing.Encoder(vocabulary())
+    assert encode(pa.array(rows, pa.string())) == want
+    assert [encode(pa.array([x], pa.string()))[0] for x in rows] == want  # now from memory
+    assert encode(pa.array([], pa.string())) == [] and encode(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
+def test_packing_other_steps():
+    """A tokenizer that prepares texts in another way gets whole chunks."""
+    from tokenizers import Tokenizer
+
+    steps = json.loads(vocabulary())
+    steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]+"
+    rows = ["ab12 x's, Ab12.", "12 é3", ""]
+    t = Tokenizer.from_str(json.dumps(steps))
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in rows]
+    assert packing.Encoder(json.dumps(steps))(pa.array(rows)) == want
+
+
+def test_packing_meets_words_once(monkeypatch):
+    """A word in other case or beside other marks costs no further call of the tokenizer."""
+    encode = packing.Encoder(vocabulary())
+    first, again = encode(pa.array(["lorem ipsum , . ( ) dolor", "(Lorem, IPSUM) dolor."]))
+    monkeypatch.setattr(encode, "_encode_words", None)
+    monkeypatch.setattr(encode, "_encode_each", None)
+    assert encode(pa.array(["Dolor, (ipsum) LOREM.", "(lorem, ipsum) Dolor."]))[1] == again
+    assert len(first) and set(encode.words) == {"lorem", "ipsum", "dolor", ",", ".", "(", ")"}
+
+
+@pytest.mark.parametrize("name", ["STRETCH", "REMEMBERED", "REMEMBERED_WORDS"])
+def test_packing_small_memory(monkeypatch, name):
+    rows = texts() + [None, ""]
+    want = packing.Encoder(vocabulary())(pa.array(rows, pa.string()))
+    monkeypatch.setattr(packing, name, 50)
+    encode = packing.Encoder(vocabulary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["doc_id", "text"])
+    run = packing.pieces_of(SimpleNamespace(value=encode), 1 << 30, 1)
+    got = [x for out in run([batch.slice(0, 0), batch, batch.slice(3)]) for x in out.to_pylist()]
+    end = np.array([1], "<u4").tobytes()
+    assert [(x["doc_id"], x["ids_crc32"]) for x in got] == [(k, zlib.crc32(want[k] + end)) for k in [*range(len(rows)), *range(3, len(rows))]]
+
+
 # ---- language model
 
 
