@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,30 @@ def test_pieces_count_like_the_whole(monkeypatch):
             assert all((a == b).all() for a, b in zip(whole, languages.ngrams(t)))
 
 
+@pytest.mark.parametrize("limits", [{}, {"GROUP": 40}, {"GROUP_TEXTS": 1}, {"DENSE": 10}])
+def test_texts_are_counted_together(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(languages, name, value)
+    monkeypatch.setattr(languages, "ngrams", None)  # for long texts only
+    rows = [(t, lang) for _, t, lang in language_rows() if lang] + [("ΑΣ ΣΑΣ", "el"), ("\0a\0 b", "en"), ("中文 字符", "zz")]
+    batch = pa.RecordBatch.from_pydict({"lang": [lang for _, lang in rows], "text": [t for t, _ in rows]})
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    got, want = Counter(), Counter()
+    for out in languages._count_grams([batch]):
+        for r in out.to_pylist():
+            got[r["lang"], r["gram"]] += r["n"]
+    for t, lang in rows:
+        for g, n in plain_grams(t).items():
+            want[lang, number(g)] += n
+    assert got == want
+    top = 30
+    places = [{"lang": a, "gram": b, "place": k} for a in sorted({a for a, _ in want}) for k, (_, b) in enumerate(sorted((-n, b) for (x, b), n in want.items() if x == a)[:top])]
+    texts = pa.RecordBatch.from_pydict({"text": [t for t, _ in rows], "p": ["und"] * len(rows), "s": [0.0] * len(rows)})
+    answers = [(r["p"], r["s"]) for out in languages._predict(languages.Profiles(places, top), 0, 1, 2)([texts]) for r in out.to_pylist()]
+    plain = plain_languages([(None, t, lang) for t, lang in rows], top)
+    assert sorted(answers, key=repr) == sorted([(lang, s) for _, lang, s in plain], key=repr)
+
+
 def test_held_out_accuracy(spark):
     from caseloom.llm.queries import op12_languages
 
