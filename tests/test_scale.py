@@ -118,6 +118,30 @@ def test_distances_take_many_cells_at_once():
     (a, la), (b, lb) = D.pad([left[k % 40] for k in range(200)]), D.pad(right[:200])
     one = seconds(lambda: D.damerau_levenshtein(a, la, b, lb, 5)) / 200
     assert seconds(lambda: D.damerau_levenshtein_table(left, right)) / 40_000 < one / 40
+    # with times (before: a seventeenth)
+    par = np.zeros((6, 6), bool)
+    par[1, 2] = par[2, 1] = True
+    left, right = ([(s, rng.random(len(s)), rng.random(len(s))) for s in side] for side in (left, right))
+    ((a, la), (b, lb)), (pa, wa), (pb, wb) = (
+        [D.pad([x[0] for x in side]) for side in ([left[k % 40] for k in range(200)], right[:200])],
+        *([D.pad([x[k] for x in side], dtype=float)[0] for k in (1, 2)] for side in ([left[k % 40] for k in range(200)], right[:200])),
+    )
+    one = seconds(lambda: D.timed_distance(a, la, pa, wa, b, lb, pb, wb, par)) / 200
+    assert seconds(lambda: D.timed_distance_table(left, right, par)) / 40_000 < one / 28
+
+
+def test_timed_tables_of_few_sequences(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(D, "TIMED", 3)
+    for letters in (1, 2, 4):
+        par = rng.random((letters + 1, letters + 1)) < 0.5
+        # times beyond 1, and none: a replacement can cost more than 1
+        left, right = ([(rng.integers(1, letters + 1, n), 3 * rng.random(n) * rng.integers(0, 2, n), rng.random(n) * rng.integers(0, 2, n)) for n in rng.integers(0, 9, 11)] for _ in range(2))
+        i, j = (g.ravel() for g in np.indices((11, 11)))
+        (a, la), (b, lb) = (D.pad([s[0] for s in side]) for side in (left, right))
+        (pa, wa), (pb, wb) = ([D.pad([s[k] for s in side], dtype=float)[0] for k in (1, 2)] for side in (left, right))
+        want = D.timed_distance(a[i], la[i], pa[i], wa[i], b[j], lb[j], pb[j], wb[j], par)
+        assert (D.timed_distance_table(left, right, par).ravel() == want).all()
 
 
 def test_words_of_bits_hand_on_their_carries(monkeypatch):
