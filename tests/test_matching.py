@@ -142,3 +142,97 @@ def test_roles_link_proportional_profiles(spark):
     log = spark.createDataFrame([(u, t) for u, t, n in rows for _ in range(n)], "user string, task string")
     edges = {(x["a"], x["b"]) for x in G.similar_users(log, 0.7).collect()}
     assert edges == {(f"u{k}", "u0") for k in range(1, 6)}
+
+
+def plain_auction(c, epsilon):
+    """All free cases bid at once; the highest bid wins, ties by the later case."""
+    n, m = c.shape
+    price, owner = np.zeros(m), np.full(m, -1)
+    while len(free := np.setdiff1d(np.arange(n), owner)):
+        bids = {}
+        for i in free:
+            order = np.lexsort((np.arange(m), c[i] + price))[:2]
+            v = (c[i] + price)[order]
+            bids.setdefault(order[0], []).append((price[order[0]] + v[-1] - v[0] + epsilon, i))
+        for j, offers in bids.items():
+            price[j], owner[j] = max(offers)
+    return {(int(owner[j]), int(j)) for j in np.flatnonzero(owner >= 0)}
+
+
+@pytest.mark.parametrize("held", [0, 60, 1 << 20])
+def test_auction_asks_for_few_costs(monkeypatch, held):
+    """Only the cheapest right cases of each left one are held; the matching is that of the whole matrix."""
+    from caseloom.operators import metrics as M
+
+    monkeypatch.setattr(M, "HELD", held)
+    monkeypatch.setattr(M, "LEAST", 2)
+    r = np.random.default_rng(9)
+    for n, m in ((1, 1), (1, 4), (12, 12), (12, 20), (20, 21)):
+        c = r.integers(1, 6, (n, m)) / 10 + (r.random((n, m)) if m == 20 else 0)
+        asked = []
+
+        def tiles(prices, most, cases=None):
+            asked.append(most)
+            for i in range(n) if cases is None else cases.tolist():
+                order = np.lexsort((np.arange(m), c[i] + prices))[:most]
+                js, end = np.sort(order).astype(np.int32), order[-1]
+                bound, last = ((c[i] + prices)[end], int(end)) if m > most else (np.inf, m)
+                yield {"i": i, "js": js.tobytes(), "costs": c[i][js].tobytes(), "bound": bound, "last": last}
+
+        got = M.auction(tiles, n, m, 0.01)
+        assert {(i, j) for i, j, _ in got} == plain_auction(c, 0.01)
+        assert all(x == c[i, j] for i, j, x in got)
+        assert held < 1 << 20 or len(asked) == 1
+    assert M.auction(tiles, 0, 3, 0.01) == []
+    with pytest.raises(ValueError):
+        M.auction(tiles, 3, 2, 0.01)
+
+
+def words_log(spark, texts, seed):
+    import datetime as dt
+
+    r, t0 = random.Random(seed), dt.datetime(2024, 1, 1)
+    rows = []
+    for k, w in enumerate(texts):
+        at = t0
+        for p, x in enumerate(w):
+            end = at + dt.timedelta(minutes=r.randint(0, 50))
+            rows.append((f"c{k}", x, "u", at, end, p))
+            at = at + dt.timedelta(minutes=r.randint(1, 60))
+    return spark.createDataFrame(rows, "caseid string, task string, user string, start_ts timestamp_ntz, end_ts timestamp_ntz, pos long")
+
+
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("sizes", [(23, 30), (30, 23)])
+def test_matched_score_in_few_jobs(spark, monkeypatch, small, sizes):
+    from caseloom.functions.distance import damerau_levenshtein_table, timed_distance
+    from caseloom.operators import flow as W
+    from caseloom.operators import metrics as M
+
+    if small:  # several tiles of both sides, and costs that are asked for again
+        for name, value in (("MOST", 7), ("TILE", 3), ("HELD", 100), ("LEAST", 4)):
+            monkeypatch.setattr(M, name, value)
+    r = random.Random(4)
+    sides = [["".join(r.choice("ABC") for _ in range(r.randint(2, 9))) for _ in range(n)] for n in sizes]
+    log, sim = (words_log(spark, x, seed) for seed, x in enumerate(sides))
+    a, b, names = M.paired_profiles(log, sim)
+    a, b = (sorted(x.collect(), key=lambda row: row["caseid"]) for x in (a, b))
+    x, y = ([row["codes"] for row in side] for side in (a, b))
+    longest = np.maximum.outer([len(s) for s in x], [len(s) for s in y])
+    parallel, _ = M._settings("tsd", None, None, names, W.footprint(log))
+    tsd = np.empty(longest.shape)
+    one = lambda row: [np.array([row[c]]) for c in ("codes", "p", "w")]
+    for i, p in enumerate(a):
+        for j, q in enumerate(b):
+            (s, sp, sw), (t, tp, tw) = one(q), one(p)
+            tsd[i, j] = timed_distance(s, np.array([s.size]), sp, sw, t, np.array([t.size]), tp, tw, parallel)[0]
+    for metric, c, epsilon in (("dl", damerau_levenshtein_table(x, y) / longest, 0.01), ("tsd", tsd / longest, 0.02)):
+        c = c.T if len(a) > len(b) else c
+        pairs = plain_auction(c, epsilon)
+        group = f"match-{metric}-{small}-{sizes}"
+        spark.sparkContext.setJobGroup(group, metric)
+        got = M.matched_score(log, sim, metric, epsilon).first()["sim_val"]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("other", "other")
+        assert got == pytest.approx(1 - np.mean([c[i, j] for i, j in pairs]), abs=1e-12)
+        assert small or jobs < 60
