@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.session import checkpoint_dir, prepare, store
+from caseloom.session import alone, checkpoint_dir, discard, prepare, store
 
 #: Rows of one Arrow batch; texts can be long, so fewer than Spark's default.
 BATCH_ROWS = 2000
@@ -40,26 +39,6 @@ def store_alone(df: DataFrame) -> DataFrame:
         return store(df)
 
 
-@contextmanager
-def alone(spark: SparkSession):
-    """Shuffles of the actions within are removed when these end."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of stored tables that nothing reads any more; other files of their folders go with them."""
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

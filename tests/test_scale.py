@@ -1,10 +1,12 @@
 """What grows with the input: steps that are read several times run once."""
 
 import datetime as dt
+import os
 import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions import distance as D
@@ -228,3 +230,63 @@ def test_xes_files_are_as_many_as_their_text_needs(spark, tmp_path):
     assert len(files) > 5 and max(f.stat().st_size for f in files) < 5 * 4096
     got = sorted(tuple(r) for r in L.read_xes(spark, path).select("caseid", "task", "user", "ts", "transition", "pos").collect())
     assert got == sorted((c, t, u or SK.NO_RESOURCE, ts, tr, k) for c, t, u, ts, tr, k in rows)
+
+
+def test_what_a_part_was_made_from_is_deleted(spark):
+    from caseloom import session
+
+    def files():
+        return {os.path.join(a, f) for a, _, names in os.walk(session.checkpoint_dir(spark).removeprefix("file:")) for f in names if not f.startswith(".")}
+
+    before = files()
+    rows = session.store(spark.range(100))
+    mine = files() - before
+
+    def inner():
+        return session.cut(session.store(rows).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")))
+
+    def outer():
+        a = session.passing(spark, inner)
+        return session.cut(a).join(a.withColumnRenamed("s", "t"), "k")
+
+    got = session.passing(spark, outer)
+    assert {f.removeprefix("file://") for f in got.inputFiles()} | mine == {f for f in files() - before if f.endswith(".parquet")} | mine
+    assert not [f for f in files() - before if "/rdd-" in f]
+    assert sorted(tuple(r) for r in got.collect()) == [(k, sum(range(k, 100, 7)), sum(range(k, 100, 7))) for k in range(7)]
+    assert rows.count() == 100 and session._written == []
+    kept = files()
+    with pytest.raises(ZeroDivisionError):
+        session.passing(spark, lambda: session.cut(rows).limit(1 // 0))
+    assert files() == kept and session._written == []
+    session.discard(got)
+    assert files() - before == mine
+
+
+def test_generated_log_leaves_little_behind(spark):
+    """The parts of the generator go when they are used: what is left is what the last step reads."""
+    from caseloom import session
+    from caseloom.plans.generate import generate
+    from tests.test_matching import words_log
+
+    def size():
+        return sum(os.path.getsize(os.path.join(a, f)) for a, _, names in os.walk(session.checkpoint_dir(spark).removeprefix("file:")) for f in names if f.endswith(".parquet"))
+
+    from checks.base import lifecycle_of
+
+    log = words_log(spark, ["ABCAB", "ABD", "ACB", "BCA", "ABCD"] * 8, 3).withColumnRenamed("task", "name").withColumn("task", F.col("name")).drop("name")
+    vectors = spark.createDataFrame([(t, [float(k), 1.0]) for k, t in enumerate("ABCD")], "name string, vec array<double>")
+    before, written = size(), []
+    life = lifecycle_of(log.withColumn("seg", F.lit(0)))
+    old = session.store
+
+    def counting(df):
+        out = old(df)
+        written.append(sum(os.path.getsize(f.removeprefix("file:").removeprefix("//")) for f in out.inputFiles()))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("caseloom.operators.blocks", "caseloom.operators.sample", "caseloom.operators.nearest", "caseloom.session"):
+            patch.setattr(f"{name}.store", counting)
+        out = generate(log, life, vectors, 20, T0)
+        assert out.select("caseid").distinct().count() == 20
+    assert size() - before < sum(written) / 4
