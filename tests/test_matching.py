@@ -167,8 +167,10 @@ def test_auction_asks_for_few_costs(monkeypatch, held):
     monkeypatch.setattr(M, "HELD", held)
     monkeypatch.setattr(M, "LEAST", 2)
     r = np.random.default_rng(9)
-    for n, m in ((1, 1), (1, 4), (12, 12), (12, 20), (20, 21)):
+    for n, m in ((1, 1), (1, 4), (12, 12), (12, 20), (20, 21), (5, 9)):
         c = r.integers(1, 6, (n, m)) / 10 + (r.random((n, m)) if m == 20 else 0)
+        if m == 9:  # a case without costs takes what it gets
+            c[2] = np.nan
         asked = []
 
         def tiles(prices, most, cases=None):
@@ -181,7 +183,7 @@ def test_auction_asks_for_few_costs(monkeypatch, held):
 
         got = M.auction(tiles, n, m, 0.01)
         assert {(i, j) for i, j, _ in got} == plain_auction(c, 0.01)
-        assert all(x == c[i, j] for i, j, x in got)
+        assert all(x == c[i, j] or i == 2 and m == 9 for i, j, x in got)
         assert held < 1 << 20 or len(asked) == 1
     assert M.auction(tiles, 0, 3, 0.01) == []
     with pytest.raises(ValueError):
